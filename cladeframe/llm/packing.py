@@ -192,6 +192,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     ranked = ranked.join(start, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_salt", "_before")
     names = [f for f in cut.schema if f.name != "_salt"]
     where = ranked.columns.index("length"), ranked.columns.index("_rank")
+    kept, titles = [ranked.columns.index(f.name) for f in names], [f.name for f in names] + ["sequence_id", "offset"]
 
     def place(batches):
         for batch in batches:
@@ -199,8 +200,8 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
             run = table[np.searchsorted(keys, length * shift + rank, side="right") - 1]
             item = rank - run[:, 1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(ranked.columns.index(f.name)) for f in names] + [pa.array(run[:, 2] + item // run[:, 3]), pa.array(run[:, 4] + item % run[:, 3] * length)],
-                [f.name for f in names] + ["sequence_id", "offset"],
+                [batch.column(i) for i in kept] + [pa.array(run[:, 2] + item // run[:, 3]), pa.array(run[:, 4] + item % run[:, 3] * length)],
+                titles,
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", sequence_id long, offset long"
