@@ -7,7 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
+from .decontamination import contamination
+from .near_dedup import near_duplicates
 from .packing import best_fit_packing
+from .quality_classifier import quality
+from .token_counts import token_counts
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return token_counts(load(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    return quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), metadata=["n_chars"])
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
