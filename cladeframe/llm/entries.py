@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .decontamination import contamination
+from . import secret_scan
 from .near_dedup import near_duplicates
 from .packing import best_fit_packing
 from .quality_classifier import quality
 from .token_counts import token_counts
+from .url_filter import judge
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +31,21 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secret_scan.secrets(load(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url."""
+    return judge(load(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return best_fit_packing(load(spark, sf_dir, "documents"))
@@ -44,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_secret_scans": secret_scan.oracle()}
