@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .decontamination import contamination
-from . import secret_scan
+from . import quality_rules, secret_scan
 from .near_dedup import near_duplicates
 from .packing import best_fit_packing
 from .quality_classifier import quality
@@ -21,6 +21,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers of all documents."""
+    return quality_rules.quality_rules(load(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
     return quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), metadata=["n_chars"])
@@ -56,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scans": secret_scan.oracle()}
+    return {"op2_quality_rules": quality_rules.oracle(), "op6_secret_scans": secret_scan.oracle()}
