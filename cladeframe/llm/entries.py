@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load
 from .decontamination import contamination
 from . import quality_rules, secret_scan
+from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .packing import best_fit_packing
 from .quality_classifier import quality
@@ -41,6 +42,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(load(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed model's and the base score of all documents."""
+    return lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HALF, STEPS, TAIL, LEAST = 0.75, 3, 1e-9, 50
+HALF, STEPS, TAIL, LEAST = 0.75, 3, 1e-5, 50
 BROADCAST_GROUPS = 50_000  # rows of parameters, at most, that are broadcast (about 200 bytes each)
 WHITE = "[\\x20\\x09-\\x0D]"
 # name, SQL in both engines, floor of its deviation in thousandths
