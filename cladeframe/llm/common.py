@@ -170,3 +170,27 @@ def components(edges: DataFrame, what: str = "components", rounds: int = 60) ->
             drop(both)
             return label
     raise RuntimeError(f"components: not settled after {rounds} rounds")
+
+
+def links_in_buckets(keyed: DataFrame, verify) -> DataFrame:
+    """All verified links between ids that share a bucket, up to connection.
+
+    keyed: key, id long, distinct. verify(pairs a, b) returns those pairs that hold, a and b first. Members of a
+    bucket are paired with its least id, as many pairs as members. Where the components found so hold
+    together all of a bucket, its other pairs can't change the components; where a bucket still holds several,
+    the pairs across them are verified too. So no link between components is lost and no bucket is
+    expanded into all its pairs.
+    """
+    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    member = keep(keyed.join(shared, "key").select("key", "id", "pivot"), "buckets")
+    first = keep(member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    links = keep(verify(first).select("a", "b"), "links")
+    member = member.join(components(links), "id", "left").select("key", "id", "pivot", F.coalesce("label", "id").alias("label"))
+    member = keep(member, "labelled")
+    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    left = keep(member.join(mixed, "key").where("id <> pivot"), "mixed")
+    if left.limit(1).count():
+        x, y = left.select("key", F.col("id").alias("a"), F.col("label").alias("la")), left.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
+        rest = keep(x.join(y, "key").where("a < b and la <> lb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest")
+        links = links.unionByName(keep(verify(rest).select("a", "b"), "links"))
+    return links

@@ -13,6 +13,7 @@ from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .packing import best_fit_packing
 from .quality_classifier import quality
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 from .url_filter import judge
 
@@ -37,6 +38,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that stand in several documents."""
+    return repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secret_scan.secrets(load(spark, sf_dir, "documents"))

@@ -156,22 +156,8 @@ def near_duplicates(documents: DataFrame, least: float = common.SIMILAR, bands:
         "classes",
     )
     keyed = table.where("doc_id is not null").join(classes, "digest").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.explode("keys").alias("key"))
-    keyed = common.keep(keyed, "bands")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    member = common.keep(keyed.join(shared, "key").select("key", "rep", "pivot"), "buckets")
-    first = common.keep(member.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = common.keep(verify(first, documents, least), "links")
-    label = common.components(links)
-    # buckets that still hold several components
-    member = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "pivot", F.coalesce("label", "rep").alias("label"))
-    member = common.keep(member, "labelled")
-    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = member.join(mixed, "key").where("rep <> pivot")
-    x, y = left.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), left.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, "key").where("a < b and la <> lb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    rest = common.keep(rest, "rest")
-    more = common.keep(verify(rest, documents, least), "links")
-    links = links.unionByName(more)
+    keyed = common.keep(keyed.select("key", F.col("rep").alias("id")), "bands")
+    links = common.links_in_buckets(keyed, lambda pairs: verify(pairs, documents, least))
     label = common.components(links)
     count = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(count, "rep", "left")
