@@ -90,8 +90,10 @@ class WordIds(dict):
         plain, find = PLAIN.fullmatch, SPLIT.findall
         for w in new:
             t = w.decode("utf-8", "replace")
-            if t.isalpha() and plain(t):
+            if t.isalpha() and (t.isascii() or plain(t)):
                 text.append(t.lower())
+            elif t[-1] in ".," and t[:-1].isalpha() and (t.isascii() or plain(t)):
+                text.append((t[:-1].lower(), t[-1]))
             elif plain(t):
                 text.append(find(t.lower()))
             else:
