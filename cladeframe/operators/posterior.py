@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.session import ship
+
 
 # ------------------------------------------------------------------ numeric core
 
@@ -110,6 +112,7 @@ def carrier_counts(likelihoods: DataFrame) -> DataFrame:
         tail = lambda n: float(np.exp(np.logaddexp.reduce(dp[n:]))) if len(dp) > n else 0.0
         return pd.DataFrame([(key[0], len(pdf), k, lp, float(np.exp(dp[0])), tail(1), tail(2))], columns=["mut", "cells", "carriers", "log_p", "p_none", "p_one", "p_two"])
 
+    ship(likelihoods.sparkSession)
     return likelihoods.select("cell", "mut", "ll_mut", "ll_unmut").groupBy("mut").applyInPandas(one, "mut long, cells long, carriers long, log_p double, p_none double, p_one double, p_two double")
 
 
@@ -125,5 +128,6 @@ def site_posteriors(likelihoods: DataFrame, clusters: DataFrame, internal: int =
         label = "cell_specific" if carriers == 1 else "absent" if carriers == 0 else "successful_pass" if p["somatic"] >= 0.9 else "failed_pass"
         return pd.DataFrame([(key[0], p["somatic"], p["artifact"], p["germline"], label)], columns=["mut", "somatic", "artifact", "germline", "label"])
 
+    ship(likelihoods.sparkSession)
     rows = likelihoods.join(clusters, "cell").select("cell", "mut", "ll_mut", "ll_unmut", "cluster")
     return rows.groupBy("mut").applyInPandas(one, "mut long, somatic double, artifact double, germline double, label string")

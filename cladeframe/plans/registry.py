@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from cladeframe.session import ship
+
 from .fixtures import oracle
 
 QUERIES: dict[str, Callable] = {}
@@ -15,7 +17,12 @@ def query(name: str, sql: str | None = None, more: str = ""):
 
     def put(f):
         assert name not in QUERIES, name
-        QUERIES[name] = f
+
+        def run(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = oracle(sql, more)
         return f
