@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.session import ship  # noqa: F401
+
 SHINGLE = 5  # words in a shingle
 SIMILAR = 0.8  # least similarity of near duplicates
 
@@ -37,20 +36,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, wherever the driver imported it from."""
-    sc = spark.sparkContext
-    if getattr(sc, "_cladeframe_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="cladeframe")) / "cladeframe_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent).as_posix())
-    sc.addPyFile(str(target))
-    sc._cladeframe_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir;
     a local session without the setting (a test) gets a temporary one."""
@@ -172,25 +157,43 @@ def components(edges: DataFrame, what: str = "components", rounds: int = 60) ->
     raise RuntimeError(f"components: not settled after {rounds} rounds")
 
 
-def links_in_buckets(keyed: DataFrame, verify) -> DataFrame:
+def links_in_buckets(keyed: DataFrame, verify, tokens, least: float = SIMILAR) -> DataFrame:
     """All verified links between ids that share a bucket, up to connection.
 
-    keyed: key, id long, distinct. verify(pairs a, b) returns those pairs that hold, a and b first. Members of a
-    bucket are paired with its least id, as many pairs as members. Where the components found so hold
-    together all of a bucket, its other pairs can't change the components; where a bucket still holds several,
-    the pairs across them are verified too. So no link between components is lost and no bucket is
-    expanded into all its pairs.
+    keyed: key, id long, distinct. verify(pairs a, b) returns the pairs that hold, a and b first; a pair that
+    holds has a Jaccard similarity of its token sets of at least `least`. tokens(ids) returns id, v: distinct tokens (array
+    of long).
+
+    Members of a bucket are paired with its least id, as many pairs as members. Where the components
+    found so hold together all of a bucket, its other pairs can't change them. Members of other buckets are joined once
+    more, across components, by the tokens of their prefixes: in the order of rarity a pair this similar shares one
+    among the first (1 - least) n + 1 tokens of each, at places that leave enough to share. In a large group of
+    copies of one text the rare tokens are each copy's own edits, so copies too far from each other don't meet. No link
+    between components is lost and no bucket is expanded into all its pairs.
     """
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     member = keep(keyed.join(shared, "key").select("key", "id", "pivot"), "buckets")
     first = keep(member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = keep(verify(first).select("a", "b"), "links")
-    member = member.join(components(links), "id", "left").select("key", "id", "pivot", F.coalesce("label", "id").alias("label"))
+    member = member.join(components(links), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     member = keep(member, "labelled")
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = keep(member.join(mixed, "key").where("id <> pivot"), "mixed")
-    if left.limit(1).count():
-        x, y = left.select("key", F.col("id").alias("a"), F.col("label").alias("la")), left.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-        rest = keep(x.join(y, "key").where("a < b and la <> lb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest")
-        links = links.unionByName(keep(verify(rest).select("a", "b"), "links"))
-    return links
+    open_ = keep(member.join(mixed, "key", "left_semi").select("id", "label").distinct(), "open")
+    if not open_.limit(1).count():
+        return links
+    sets = keep(tokens(open_.select("id")).join(open_, "id").select("id", "label", "v"), "tokens")
+    flat = sets.select("id", "label", F.size("v").alias("n"), F.explode("v").alias("t"))
+    count = flat.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")  # a token of one id can't be shared; it still takes a place
+    ranked = flat.join(count, "t", "left").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.expr("CASE WHEN c IS NOT NULL THEN struct(c, t) END"))).alias("s"))
+    lone = F.expr("n - size(s)")
+    prefix = F.expr(f"greatest(0, n - cast(ceil({least}D * n - 1e-9) AS int) + 1 - (n - size(s)))")
+    ranked = ranked.withColumn("lone", lone).select("id", "label", "n", "lone", F.posexplode(F.slice("s", F.lit(1), prefix)).alias("i", "x"))
+    ranked = keep(ranked.select("id", "label", "n", F.col("x.t").alias("t"), F.expr("lone + i + 1").alias("p")), "prefixes")
+    main = ranked.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.expr("max_by(label, struct(c, label))").alias("main"), F.count("*").alias("k")).where("k > 1")
+    here = keep(ranked.join(main.select("t", "main"), "t"), "meeting")
+    x = here.where("label <> main").select("t", F.col("id").alias("xi"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("p").alias("xp"))
+    y = here.select("t", F.col("id").alias("yi"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("p").alias("yp"), "main")
+    enough = f"1 + least(xn - xp, yn - yp) >= {least}D / (1 + {least}D) * (xn + yn) - 1e-9"
+    rest = x.join(y, "t").where(f"xl <> yl AND (yl = main OR xi < yi) AND {enough}").select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
+    rest = keep(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    return links.unionByName(keep(verify(rest).select("a", "b"), "links"))

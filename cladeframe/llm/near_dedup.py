@@ -12,8 +12,8 @@ alignment is a longest increasing subsequence of matched places: n log n, no tab
 
 Scale. Identical word sequences become one class first (partial aggregation on a 128-bit digest), so
 copies cost one row each. Members of a bucket are compared with the bucket's least id: as many
-pairs as members. Only where the found links leave several components in one bucket are the rest
-of its pairs taken, between components, so that no link is lost. Python sees pairs in a stream sorted
+pairs as members. Where that leaves several components in one bucket, an exact prefix join between
+components follows (`common.links_in_buckets`), so that no link is lost. Python sees pairs in a stream sorted
 by pivot and holds one pivot at a time.
 """
 
@@ -104,18 +104,22 @@ def sketch(documents: DataFrame, bands: int = BANDS, take: int = TUPLE) -> DataF
     return common.pick(documents, "doc_id", "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>")
 
 
-def verify(pairs: DataFrame, documents: DataFrame, least: float) -> DataFrame:
-    """pairs: a, b long (ids of documents; a the pivot). Returns a, b, similarity >= least."""
-    pairs = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALT)))
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def shingle_arrays(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, v: the labelled shingles, in text order, of the named documents (doc_id, text)."""
 
     def cut(batches):
         for batch in batches:
             arrays = [_shingles(raw).view(np.int64) for raw in common.as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.list_(pa.int64()))], ["id", "v"])
 
-    texts = documents.select(F.col("doc_id").alias("id"), "text").join(named, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(cut, "id long, v array<long>")
-    texts = common.keep(texts, "shingles")
+    named = documents.select(F.col("doc_id").alias("id"), "text").join(ids.select("id"), "id", "left_semi")
+    return named.dropDuplicates(["id"]).mapInArrow(cut, "id long, v array<long>")
+
+
+def verify(pairs: DataFrame, documents: DataFrame, least: float) -> DataFrame:
+    """pairs: a, b long (ids of documents; a the pivot). Returns a, b, similarity >= least."""
+    pairs = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALT)))
+    texts = common.keep(shingle_arrays(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "shingles")
     pivots = pairs.select("a", "s").distinct().join(texts, F.col("a") == F.col("id")).select("a", "s", F.lit(0).alias("t"), F.col("a").alias("b"), "v")
     others = pairs.join(texts, F.col("b") == F.col("id")).select("a", "s", F.lit(1).alias("t"), "b", "v")
 
@@ -157,7 +161,7 @@ def near_duplicates(documents: DataFrame, least: float = common.SIMILAR, bands:
     )
     keyed = table.where("doc_id is not null").join(classes, "digest").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.explode("keys").alias("key"))
     keyed = common.keep(keyed.select("key", F.col("rep").alias("id")), "bands")
-    links = common.links_in_buckets(keyed, lambda pairs: verify(pairs, documents, least))
+    links = common.links_in_buckets(keyed, lambda pairs: verify(pairs, documents, least), lambda ids: shingle_arrays(documents, ids), least)
     label = common.components(links)
     count = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(count, "rep", "left")
