@@ -22,14 +22,26 @@ SIMILAR = 0.8  # least similarity of near duplicates
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only. An exact name wins over one that differs in case; the first of
     several equal names is taken. Columns of other names can't clash with later ones."""
-    places = []
-    for name in names:
-        found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not found:
-            raise ValueError(f"no column {name!r} among {df.columns}")
-        places.append(found[0])
-    plain = df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"_in{i}").alias(n) for i, n in zip(places, names)])
+    return plain(df).select(*[F.col(f"_in{place(df, n)}").alias(n) for n in names])
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """All columns by place, _in0, _in1, ..: names that can't clash."""
+    return df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> int:
+    """Where the column that `pick` takes is."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name!r} among {df.columns}")
+    return found[0]
+
+
+def decided(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of df whose doc_id is among ids (left_semi) or isn't (left_anti); a null doc_id is among none."""
+    rows, ids = plain(df), pick(ids, "doc_id").distinct().toDF("_id")
+    return rows.join(ids, F.col(f"_in{place(df, 'doc_id')}") == F.col("_id"), how).toDF(*df.columns)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -113,9 +113,11 @@ def redact(documents: DataFrame, scope: int = SCOPE, mark: str = MARK) -> DataFr
     """All columns of documents (doc_id, text and any others); every found span of a text replaced by `mark`, spans
     that touch by one. A null text stays null."""
     found = _all(common.keep(parts(documents), "parts"), scope).where("size(found) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("found").alias("_f")).dropDuplicates(["_d", "_h"])
-    out = documents.join(found, documents["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_h")), "left")
-    walk = f"aggregate(_f, struct(0 AS at, '' AS out), (a, x) -> CASE WHEN x.s < a.at OR (x.s = a.at AND a.at > 0) THEN struct(greatest(a.at, x.e) AS at, a.out AS out) ELSE struct(x.e AS at, concat(a.out, substring(text, a.at + 1, x.s - a.at), {quote(mark)}) AS out) END, a -> concat(a.out, substring(text, a.at + 1)))"
-    return out.withColumn("text", F.expr(f"CASE WHEN _f IS NULL THEN text ELSE {walk} END")).select(*documents.columns)
+    rows, at = common.plain(documents), common.place(documents, "text")
+    text = f"_in{at}"
+    out = rows.join(found, F.col(f"_in{common.place(documents, 'doc_id')}").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
+    walk = f"aggregate(_f, struct(0 AS at, '' AS out), (a, x) -> CASE WHEN x.s < a.at OR (x.s = a.at AND a.at > 0) THEN struct(greatest(a.at, x.e) AS at, a.out AS out) ELSE struct(x.e AS at, concat(a.out, substring({text}, a.at + 1, x.s - a.at), {quote(mark)}) AS out) END, a -> concat(a.out, substring({text}, a.at + 1)))"
+    return out.withColumn(text, F.expr(f"CASE WHEN _f IS NULL THEN {text} ELSE {walk} END")).drop("_d", "_h", "_f").toDF(*documents.columns)
 
 
 def _duck(name: str, pattern: str, group: int = 0) -> str:
