@@ -17,34 +17,31 @@ from cladeframe.llm.quality_classifier import quality
 from cladeframe.llm.secret_scan import redact
 
 
-def _decided(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is among ids (left_semi) or isn't (left_anti); null ids match each other."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), how).select(*docs.columns)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labelled ones among docs."""
     scored = common.keep(quality(docs, common.load(spark, sf_dir, "labels"), metadata=["n_chars"]), "scored")
-    return _decided(docs, scored.where("predicted = 0"), "left_anti")
+    return common.decided(docs, scored.where("predicted = 0"), "left_anti")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one of least doc_id."""
     gone = common.keep(near_duplicates(docs).where("NOT kept").select("doc_id"), "gone")
-    return _decided(docs, gone, "left_anti")
+    return common.decided(docs, gone, "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = common.keep(contamination(docs, common.load(spark, sf_dir, "benchmark")), "contaminated")
-    return _decided(docs, found.where("doc_id is not null"), "left_anti")
+    return common.decided(docs, found, "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are overwritten, and n_chars is counted again where there were any."""
+    """Every document stays; its secrets are overwritten and n_chars, where that column is, is counted again."""
     out = redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+    if "n_chars" not in docs.columns:
+        return out
+    rows, n, text = common.plain(out), f"_in{common.place(out, 'n_chars')}", f"_in{common.place(out, 'text')}"
+    return rows.withColumn(n, F.length(text).cast(rows.schema[n].dataType)).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
