@@ -177,11 +177,12 @@ def links_in_buckets(keyed: DataFrame, verify, tokens, least: float = SIMILAR) -
     of long).
 
     Members of a bucket are paired with its least id, as many pairs as members. Where the components
-    found so hold together all of a bucket, its other pairs can't change them. Members of other buckets are joined once
+    found so hold together all of a bucket, its other pairs can't change them. Members of other buckets are joined
     more, across components, by the tokens of their prefixes: in the order of rarity a pair this similar shares one
     among the first (1 - least) n + 1 tokens of each, at places that leave enough to share. In a large group of
-    copies of one text the rare tokens are each copy's own edits, so copies too far from each other don't meet. No link
-    between components is lost and no bucket is expanded into all its pairs.
+    copies of one text the rare tokens are each copy's own edits, so copies too far from each other don't meet. First
+    the ids of a token meet its most central id only, again as many pairs as ids; what then still is apart meets
+    pair by pair. No link between components is lost and no bucket is expanded into all its pairs.
     """
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     member = keep(keyed.join(shared, "key").select("key", "id", "pivot"), "buckets")
@@ -200,7 +201,15 @@ def links_in_buckets(keyed: DataFrame, verify, tokens, least: float = SIMILAR) -
     lone = F.expr("n - size(s)")
     prefix = F.expr(f"greatest(0, n - cast(ceil({least}D * n - 1e-9) AS int) + 1 - (n - size(s)))")
     ranked = ranked.withColumn("lone", lone).select("id", "label", "n", "lone", F.posexplode(F.slice("s", F.lit(1), prefix)).alias("i", "x"))
-    ranked = keep(ranked.select("id", "label", "n", F.col("x.t").alias("t"), F.expr("lone + i + 1").alias("p")), "prefixes")
+    ranked = keep(ranked.select("id", "label", "n", "lone", F.col("x.t").alias("t"), F.expr("lone + i + 1").alias("p")), "prefixes")
+    # the most central member of a token's ids, the one with the fewest tokens of its own, is the likeliest to link the others
+    centre = ranked.groupBy("t").agg(F.expr("min_by(struct(id, label), struct(lone, id))").alias("c"))
+    second = ranked.join(centre, "t").where("label <> c.label").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+    second = keep(second.join(first, ["a", "b"], "left_anti"), "centres")
+    links = links.unionByName(keep(verify(second).select("a", "b"), "links"))
+    label = components(links).toDF("id", "now")
+    ranked = ranked.join(label, "id", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+    first = first.unionByName(second)
     main = ranked.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.expr("max_by(label, struct(c, label))").alias("main"), F.count("*").alias("k")).where("k > 1")
     here = keep(ranked.join(main.select("t", "main"), "t"), "meeting")
     x = here.where("label <> main").select("t", F.col("id").alias("xi"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("p").alias("xp"))

@@ -112,14 +112,14 @@ def shingle_arrays(documents: DataFrame, ids: DataFrame) -> DataFrame:
             arrays = [_shingles(raw).view(np.int64) for raw in common.as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.list_(pa.int64()))], ["id", "v"])
 
-    named = documents.select(F.col("doc_id").alias("id"), "text").join(ids.select("id"), "id", "left_semi")
+    # never broadcast: the ids grow with the documents
+    named = documents.select(F.col("doc_id").alias("id"), "text").join(ids.select("id").hint("merge"), "id", "left_semi")
     return named.dropDuplicates(["id"]).mapInArrow(cut, "id long, v array<long>")
 
 
-def verify(pairs: DataFrame, documents: DataFrame, least: float) -> DataFrame:
-    """pairs: a, b long (ids of documents; a the pivot). Returns a, b, similarity >= least."""
+def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """pairs: a, b long (ids; a the pivot); texts: `shingle_arrays` of all of them. Returns a, b, similarity >= least."""
     pairs = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALT)))
-    texts = common.keep(shingle_arrays(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "shingles")
     pivots = pairs.select("a", "s").distinct().join(texts, F.col("a") == F.col("id")).select("a", "s", F.lit(0).alias("t"), F.col("a").alias("b"), "v")
     others = pairs.join(texts, F.col("b") == F.col("id")).select("a", "s", F.lit(1).alias("t"), "b", "v")
 
@@ -161,7 +161,10 @@ def near_duplicates(documents: DataFrame, least: float = common.SIMILAR, bands:
     )
     keyed = table.where("doc_id is not null").join(classes, "digest").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.explode("keys").alias("key"))
     keyed = common.keep(keyed.select("key", F.col("rep").alias("id")), "bands")
-    links = common.links_in_buckets(keyed, lambda pairs: verify(pairs, documents, least), lambda ids: shingle_arrays(documents, ids), least)
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    ids = common.keep(keyed.join(crowded, "key", "left_semi").select("id").distinct(), "members")
+    texts = common.keep(shingle_arrays(documents, ids), "shingles")  # read once, of all that any step compares
+    links = common.links_in_buckets(keyed, lambda pairs: verify(pairs, texts, least), lambda some: texts.join(some, "id", "left_semi"), least)
     label = common.components(links)
     count = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(count, "rep", "left")
