@@ -303,6 +303,41 @@ def test_lm(spark, corpus):
     assert [lm_scoring.lm_scores(x).count() for x in odd(spark)] == [0, 3, 2]
 
 
+def _taught(texts):
+    coder = lm_scoring.Coder(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256).tolist())
+    m = lm_scoring.Model(coder, *(np.zeros(lm_scoring._OFFSET[-1], np.float32) for _ in range(2)))
+    for _, *some in lm_scoring._chunks(texts):
+        _, bit, _, slots = coder.events(*some)
+        for k, s in enumerate(slots):
+            np.add.at(m.ones, lm_scoring._OFFSET[k] + s, bit)
+            np.add.at(m.zeros, lm_scoring._OFFSET[k] + s, 1 - bit)
+    return m.settle([])
+
+
+def test_lm_contexts_cross_words():
+    rng = random.Random(5)
+    words = [prose(rng, 1) for _ in range(40)]
+    texts = [" ".join(words[(i + k) % 40] for k in range(30)).encode() for i in range(40)]  # always in the same order
+    m = _taught(texts)
+    shuffled = texts[7].split()
+    rng.shuffle(shuffled)
+    as_taught, mixed = m.score([texts[7], b" ".join(shuffled)])
+    assert as_taught > mixed + 5
+    # white space counts too, and the order of two words
+    assert len({round(float(x), 6) for x in m.score([b"the on", b"on the", b"the\non", b"the  on"])}) == 4
+
+
+def test_lm_pieces_of_long_texts():
+    rng = random.Random(6)
+    texts = [prose(rng, 300).replace(" th", " \n th").encode(), b"", b"x" * 500 + b" y", b"  a  b  ", "é ü".encode() * 90]
+    coder = lm_scoring.Coder([1] * 256)
+    whole = coder.events(texts)
+    for most in (7, 64, 10_000):
+        parts = [(np.array(n)[own], bit, start, *slots) for n, *some in lm_scoring._chunks(texts, most) for own, bit, start, slots in [coder.events(*some)]]
+        for a, b in zip(map(np.concatenate, zip(*parts)), (*whole[:3], *whole[3])):
+            assert (a == b).all()
+
+
 def test_lm_probabilities_add_up():
     coder = lm_scoring.Coder([1] * 256)
     m = lm_scoring.Model(coder, np.zeros(lm_scoring._OFFSET[-1], np.float32), np.zeros(lm_scoring._OFFSET[-1], np.float32))
