@@ -306,12 +306,12 @@ def t14(s, d):
     from cladeframe.operators.posterior import carrier_counts
 
     ll = fx.obs(s, d).selectExpr("cell", "mut", "ln(0.05 + 0.9 * vaf) AS ll_mut", "ln(0.95 - 0.9 * vaf) AS ll_unmut")
-    return carrier_counts(ll.where("cell % 3 = 0"))
+    return carrier_counts(ll)
 
 
 @query("t17_site_posteriors")
 def t17(s, d):
     from cladeframe.operators.posterior import site_posteriors
 
-    ll = fx.obs(s, d).selectExpr("cell", "mut", "ln(0.05 + 0.9 * vaf) AS ll_mut", "ln(0.95 - 0.9 * vaf) AS ll_unmut").where("cell % 3 = 0")
+    ll = fx.obs(s, d).selectExpr("cell", "mut", "ln(0.05 + 0.9 * vaf) AS ll_mut", "ln(0.95 - 0.9 * vaf) AS ll_unmut")
     return site_posteriors(ll, fx.cells(s, d).select("cell", F.col("cell_type").alias("cluster")), 1)
