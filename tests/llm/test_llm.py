@@ -231,6 +231,18 @@ def test_repeated_passages(spark):
     assert [substring_dedup.repeated_passages(x).count() for x in odd(spark)] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("n", [51, 60, 120])
+def test_passages_reach_to_their_ends(spark, n):
+    rng = random.Random(n)
+    passage, docs, where = prose(rng, n), [], {}
+    for i in range(12):
+        before, after = rng.randint(10, 60), rng.randint(10, 60)
+        docs.append(prose(rng, before) + f" a{i} " + passage + f" z{i} " + prose(rng, after))
+        where[i] = (before + 1, before + 1 + n)
+    rows = substring_dedup.repeated_passages(frame(spark, docs)).collect()
+    assert {r.doc_id: (r.start_word, r.end_word) for r in rows} == where and len(rows) == 12
+
+
 def test_winnowing_guarantee():
     rng = random.Random(2)
     need = substring_dedup.REACH + substring_dedup.WINDOW + 3
