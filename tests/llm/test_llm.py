@@ -243,6 +243,22 @@ def test_passages_reach_to_their_ends(spark, n):
     assert {r.doc_id: (r.start_word, r.end_word) for r in rows} == where and len(rows) == 12
 
 
+@pytest.mark.parametrize("gap", ["\n", " "])
+def test_adjacent_passages_stay_apart(spark, gap):
+    rng = random.Random(12)
+    p, q = prose(rng, 60), prose(rng, 60)
+    docs = [prose(rng, 50) for _ in range(10)]
+    for i, some in ((3, [p]), (5, [p, q]), (9, [q])):
+        docs[i] = gap.join([docs[i] + f" b{i}", *some, f"e{i} " + docs[i][::-1]])
+    rows = substring_dedup.repeated_passages(frame(spark, docs)).collect()
+    assert {(r.doc_id, r.first_doc, r.removed) for r in rows} == {(3, 3, False), (5, 3, True), (5, 5, False), (9, 5, True)}
+    of = {(r.cluster, r.first_doc): set() for r in rows}
+    for r in rows:
+        of[r.cluster, r.first_doc].add(r.doc_id)
+        assert (r.start_word, r.n_words) == (111 if r.doc_id == 5 and r.first_doc == 5 else 51, 60)
+    assert {tuple(sorted(x)) for x in of.values()} == {(3, 5), (5, 9)}
+
+
 def test_winnowing_guarantee():
     rng = random.Random(2)
     need = substring_dedup.REACH + substring_dedup.WINDOW + 3
