@@ -141,6 +141,18 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def by_bytes(texts: list[bytes], most: int = 2_000_000):
+    """Ranges of rows that hold about `most` bytes; a longer text is a range of its own."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > most:
+            yield range(first, i)
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield range(first, len(texts))
+
+
 # ------------------------------------------------------------------ components
 
 
