@@ -12,6 +12,8 @@ import json
 import numpy as np
 import regex
 
+from . import common
+
 # The vocabulary's own splitting pattern, and the characters that the array path takes
 # (in them lower-casing is character by character and composition changes nothing).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -25,15 +27,16 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(other)) for b in range(256)]
 
 
-class WordIds(dict):
+class WordIds(common.Memo):
     """Stretch between white space (bytes) -> its ids (bytes, little-endian unsigned 32-bit)."""
 
-    LIMIT = 600_000  # stretches remembered; a bound on memory only
+    LIMIT, ENTRY = 60_000_000, 240  # most words are also a part
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.parts: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -44,7 +47,6 @@ class WordIds(dict):
         pairs = np.array([(vocab[a] << 20 | vocab[b], vocab[a + b]) for a, b in merges], np.int64)
         self.merged = pairs[:, 1]
         self._index(pairs[:, 0])
-        self.parts: dict[str, bytes] = {}
 
     def _index(self, pairs: np.ndarray) -> None:
         """An open-addressed table of pair -> rank, at most an eighth full."""
@@ -79,13 +81,14 @@ class WordIds(dict):
             open_, slot = open_[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.parts.clear()
+
     def learn(self, words: set[bytes]) -> None:
         """Makes every one of the words known."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            self.parts.clear()
-            new = list(words)
+        self.held += 4 * sum(map(len, new)) + self.ENTRY * len(new)
         odd, parts, text = [], self.parts, []
         plain, find = PLAIN.fullmatch, SPLIT.findall
         for w in new:

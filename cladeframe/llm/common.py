@@ -61,19 +61,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Writes a frame as a table in the shared folder and reads it: lineage ends there, and lost
-    executors lose nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    executors lose nothing of it. It goes with the driver, unless `drop` is called before."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a kept table that nothing lazy reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def drop(*kept: DataFrame) -> None:
+    """Deletes kept tables that nothing lazy reads any more."""
+    for df in kept:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at, files = _files(df.sparkSession, parent)
+            files.delete(at, True)
+
+
+HOT_KEYS = 20_000
+
+
+def join_hot(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """rows (a kept table) joined to counted (one too): a row for each key of `on`, with n, how many rows have the key.
+
+    Keys that more than one in HOT_KEYS of all matches have, so HOT_KEYS at most, are broadcast; the rows of others are
+    shuffled. A key that a third of all rows have never meets in one task.
+    """
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") > max(1000, total // HOT_KEYS)
+    hot = counted.where(is_hot)
+    if not hot.limit(1).count():
+        return rows.join(counted.drop("n"), on)
+    few = F.broadcast(hot.drop("n"))
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.where(~is_hot).drop("n"), on)
+    return rows.join(few, on).unionByName(cold)
 
 
 # ------------------------------------------------------------------ words
@@ -88,16 +115,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    """64-bit hashes of words (bytes), remembered up to a fixed number of words."""
+class Memo(dict):
+    """What a worker remembers of words (bytes). It is emptied when it holds about LIMIT bytes, and when another operator's
+    task begins in the same worker: one memo at most takes room there."""
+
+    LIMIT, ENTRY = 40_000_000, 160  # bytes; of an entry besides its word and value
+    _in_use: Memo | None = None
 
-    LIMIT = 400_000
+    def __init__(self):
+        super().__init__()
+        self.held = 0
+
+    def begin(self):
+        """To be called where a task begins."""
+        if Memo._in_use is not None and Memo._in_use is not self:
+            Memo._in_use.clear()
+        Memo._in_use = self
+        return self
+
+    def full(self) -> bool:
+        return self.held > self.LIMIT
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
+        if self.full():
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+        self.held += self.ENTRY + len(word)
+        self[word] = value = self.value(word)
+        return value
+
+    def value(self, word: bytes) -> int:
+        raise NotImplementedError
+
+
+class WordHash(Memo):
+    """64-bit hashes of words."""
+
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -141,16 +199,18 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def by_bytes(texts: list[bytes], most: int = 2_000_000):
-    """Ranges of rows that hold about `most` bytes; a longer text is a range of its own."""
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > first and size + len(text) > most:
-            yield range(first, i)
-            first, size = i, 0
-        size += len(text)
-    if first < len(texts):
-        yield range(first, len(texts))
+def slices(batches, column: int, most: int = 2_000_000):
+    """(slice of a batch, its texts as UTF-8): rows whose texts take about `most` bytes; a longer text is alone."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            part = batch.slice(at, to - at)
+            yield part, as_bytes(part.column(column))
+            at = to
 
 
 # ------------------------------------------------------------------ components
@@ -197,14 +257,17 @@ def links_in_buckets(keyed: DataFrame, verify, tokens, least: float = SIMILAR) -
     pair by pair. No link between components is lost and no bucket is expanded into all its pairs.
     """
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    member = keep(keyed.join(shared, "key").select("key", "id", "pivot"), "buckets")
-    first = keep(member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    buckets = keep(keyed.join(shared, "key").select("key", "id", "pivot"), "buckets")
+    first = keep(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = keep(verify(first).select("a", "b"), "links")
-    member = member.join(components(links), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    member = keep(member, "labelled")
+    label = components(links)
+    member = keep(buckets.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    drop(buckets, label)
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     open_ = keep(member.join(mixed, "key", "left_semi").select("id", "label").distinct(), "open")
+    drop(member)
     if not open_.limit(1).count():
+        drop(first, open_)
         return links
     sets = keep(tokens(open_.select("id")).join(open_, "id").select("id", "label", "v"), "tokens")
     flat = sets.select("id", "label", F.size("v").alias("n"), F.explode("v").alias("t"))
@@ -213,20 +276,22 @@ def links_in_buckets(keyed: DataFrame, verify, tokens, least: float = SIMILAR) -
     lone = F.expr("n - size(s)")
     prefix = F.expr(f"greatest(0, n - cast(ceil({least}D * n - 1e-9) AS int) + 1 - (n - size(s)))")
     ranked = ranked.withColumn("lone", lone).select("id", "label", "n", "lone", F.posexplode(F.slice("s", F.lit(1), prefix)).alias("i", "x"))
-    ranked = keep(ranked.select("id", "label", "n", "lone", F.col("x.t").alias("t"), F.expr("lone + i + 1").alias("p")), "prefixes")
+    ranked = prefixes = keep(ranked.select("id", "label", "n", "lone", F.col("x.t").alias("t"), F.expr("lone + i + 1").alias("p")), "prefixes")
     # the most central member of a token's ids, the one with the fewest tokens of its own, is the likeliest to link the others
     centre = ranked.groupBy("t").agg(F.expr("min_by(struct(id, label), struct(lone, id))").alias("c"))
     second = ranked.join(centre, "t").where("label <> c.label").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
     second = keep(second.join(first, ["a", "b"], "left_anti"), "centres")
     links = links.unionByName(keep(verify(second).select("a", "b"), "links"))
-    label = components(links).toDF("id", "now")
-    ranked = ranked.join(label, "id", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
-    first = first.unionByName(second)
+    label = components(links)
+    ranked = ranked.join(label.toDF("id", "now"), "id", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+    met = first.unionByName(second)
     main = ranked.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.expr("max_by(label, struct(c, label))").alias("main"), F.count("*").alias("k")).where("k > 1")
     here = keep(ranked.join(main.select("t", "main"), "t"), "meeting")
     x = here.where("label <> main").select("t", F.col("id").alias("xi"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("p").alias("xp"))
     y = here.select("t", F.col("id").alias("yi"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("p").alias("yp"), "main")
     enough = f"1 + least(xn - xp, yn - yp) >= {least}D / (1 + {least}D) * (xn + yn) - 1e-9"
     rest = x.join(y, "t").where(f"xl <> yl AND (yl = main OR xi < yi) AND {enough}").select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
-    rest = keep(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(keep(verify(rest).select("a", "b"), "links"))
+    rest = keep(rest.join(met, ["a", "b"], "left_anti"), "rest")
+    links = links.unionByName(keep(verify(rest).select("a", "b"), "links"))
+    drop(open_, sets, prefixes, first, second, label, here, rest)
+    return links

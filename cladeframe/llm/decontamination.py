@@ -33,16 +33,17 @@ FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words
 class _Plain(common.WordHash):
     """Words without case (ASCII) and without marks at their ends."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = common.xxhash.xxh64_intdigest(word.strip(_PUNCTUATION).lower() or word)
-        return h
+    def value(self, word: bytes) -> int:
+        return common.xxhash.xxh64_intdigest(word.strip(_PUNCTUATION).lower() or word)
 
 
 _WORDS = _Plain()
 
 
+def _words() -> _Plain:  # by name, so that a task takes the worker's memo and no copy of the driver's
+    return _WORDS.begin()
+
+
 def bits_of(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each shingle and bit."""
     lanes = common.mix(shingles[:, None] + np.arange(BITS // 64, dtype=np.uint64) * common._STEP)
@@ -176,10 +177,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: float = com
 
         def run(batches, index=index):
             at = index.value
-            for batch in batches:
+            words = _words()
+            for part, texts in common.slices(batches, 1):
                 found = [[], [], [], [], []]
-                for doc, raw in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1))):
-                    for i, (value, start) in windows(at, _WORDS.of(raw.split()), least).items():
+                for doc, raw in zip(part.column(0).to_pylist(), texts):
+                    for i, (value, start) in windows(at, words.of(raw.split()), least).items():
                         for column, x in zip(found, (doc, at.ids[i], value, start, at.size[i])):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "similarity", "start_word", "n_words"])

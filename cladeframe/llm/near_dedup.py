@@ -88,9 +88,10 @@ def sketch(documents: DataFrame, bands: int = BANDS, take: int = TUPLE) -> DataF
     """doc_id, digest (binary, null without words), keys (array of long) of each document."""
 
     def run(batches):
-        for batch in batches:
+        common.WORDS.begin()
+        for batch, texts in common.slices(batches, 1):
             digests, keys = [], []
-            for raw in common.as_bytes(batch.column(1)):
+            for raw in texts:
                 words = raw.split()
                 if not words:
                     digests.append(None)
@@ -108,8 +109,9 @@ def shingle_arrays(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """id, v: the labelled shingles, in text order, of the named documents (doc_id, text)."""
 
     def cut(batches):
-        for batch in batches:
-            arrays = [_shingles(raw).view(np.int64) for raw in common.as_bytes(batch.column(1))]
+        common.WORDS.begin()
+        for batch, texts in common.slices(batches, 1):
+            arrays = [_shingles(raw).view(np.int64) for raw in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.list_(pa.int64()))], ["id", "v"])
 
     # never broadcast: the ids grow with the documents

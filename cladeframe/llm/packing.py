@@ -130,21 +130,17 @@ def token_bytes(texts: list[bytes], path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _IDS:
         _IDS[path] = WordIds(path)
-    ids = _IDS[path]
+    ids = _IDS[path].begin()
     end = b"\0\0\0\0"
-    at = 0
-    while at < len(texts):
-        n, split = 0, []
-        while at < len(texts) and (not split or n < _BYTES_AT_ONCE):
-            split.append(texts[at].split())
-            n += len(texts[at])
-            at += 1
-        known = [list(map(ids.get, words)) for words in split]
-        new = {w for words, k in zip(split, known) if None in k for w, i in zip(words, k) if i is None}
-        if new:
-            ids.learn(new.union(*split) if len(ids) + len(new) > ids.LIMIT else new)
-        for words, k in zip(split, known):
-            yield b"".join(map(ids.__getitem__, words) if None in k else k) + end
+    split = [text.split() for text in texts]
+    if ids.full():
+        ids.clear()
+    known = [list(map(ids.get, words)) for words in split]
+    new = {w for words, k in zip(split, known) if None in k for w, i in zip(words, k) if i is None}
+    if new:
+        ids.learn(new)
+    for words, k in zip(split, known):
+        yield b"".join(map(ids.__getitem__, words) if None in k else k) + end
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -156,9 +152,9 @@ def pieces(documents: DataFrame, size: int = SIZE, path: str | None = None) -> D
     path = path or vocabulary_path()
 
     def cut(batches):
-        for batch in batches:
+        for batch, texts in common.slices(batches, 1, _BYTES_AT_ONCE):
             out = [[], [], [], [], []]
-            for doc, raw in zip(batch.column(0).to_pylist(), token_bytes(common.as_bytes(batch.column(1)), path)):
+            for doc, raw in zip(batch.column(0).to_pylist(), token_bytes(texts, path)):
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at : at + 4 * size]
                     for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):

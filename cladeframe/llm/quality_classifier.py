@@ -28,17 +28,18 @@ _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(rang
 _SYMBOLS, _STOPS = b"#*$%&|<>~^=+_@\\/{}[]", b".,;:!?"
 
 
-class _Place(dict):
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 11) % WORDS_DIM
-        return h
+class _Place(common.Memo):
+    def value(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word, 11) % WORDS_DIM
 
 
 _PLACE = _Place()
+
+
+def _begin() -> None:  # by name, so that a task takes the worker's memo and no copy of the driver's
+    _PLACE.begin()
+
+
 STATISTICS = ("size", "upper", "lower", "digits", "symbols", "stops", "bangs", "word_length", "distinct", "doubled", "lines", "repeated_lines")
 DIM = WORDS_DIM + len(STATISTICS) * BUCKETS + META_DIM
 
@@ -147,12 +148,12 @@ def fit(documents: DataFrame, labels: DataFrame, metadata: list[str] = (), sampl
     labels = common.pick(labels, "doc_id", "label").where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most
     rows = _inputs(documents, metadata).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    metadata = list(metadata)
+    metadata, names = list(metadata), rows.columns
 
     def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            starts, place, value = features(common.as_bytes(batch.column(names.index("text"))), _named(batch, names.index("m0") if metadata else 0, metadata))
+        _begin()
+        for batch, texts in common.slices(batches, names.index("text")):
+            starts, place, value = features(texts, _named(batch, names.index("m0") if metadata else 0, metadata))
             at = pa.array(np.append(starts, len(place)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(names.index("doc_id")), batch.column(names.index("label")).cast(pa.int32()), pa.ListArray.from_arrays(at, pa.array(place, pa.int32())), pa.ListArray.from_arrays(at, pa.array(value, pa.float32()))],
@@ -177,9 +178,9 @@ def score(documents: DataFrame, machine: Machine, metadata: list[str] = ()) -> D
     model = documents.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
-        for batch in batches:
-            p = []
-            texts, meta = common.as_bytes(batch.column(1)), _named(batch, 2, metadata)
+        _begin()
+        for batch, texts in common.slices(batches, 1):
+            p, meta = [], _named(batch, 2, metadata)
             for at in range(0, len(texts), 256):
                 p.append(model.value.score(*features(texts[at : at + 256], [m[at : at + 256] for m in meta])))
             p = np.concatenate(p) if p else np.zeros(0)

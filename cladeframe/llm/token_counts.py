@@ -67,18 +67,15 @@ def trie_counts(words: list[str], score: dict[str, float], longest: int) -> list
     return out
 
 
-class Counts(dict):
+class Counts(common.Memo):
     """word (bytes): its number of tokens."""
 
-    LIMIT = 600_000  # words remembered; a bound on memory only
-
     def __init__(self, score: dict[str, float]):
         super().__init__()
         self.score, self.longest = score, max(map(len, score), default=1)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.LIMIT:
-            self.clear()
+        self.held += sum(map(len, words)) + self.ENTRY * len(words)
         new = sorted((MARK + w.decode("utf-8", "replace"), w) for w in words if w not in self)
         self.update(zip((w for _, w in new), trie_counts([s for s, _ in new], self.score, self.longest)))
 
@@ -87,21 +84,24 @@ _COUNTS: dict[str, Counts] = {}
 _BYTES_AT_ONCE = 4_000_000
 
 
+def _counts(name: str, score: dict[str, float]) -> Counts:
+    """The worker's own memo of a vocabulary."""
+    if name not in _COUNTS:
+        _COUNTS[name] = Counts(score)
+    return _COUNTS[name].begin()
+
+
 def count_texts(texts: list[bytes], counts: Counts):
     """(words, tokens) of each text, in order."""
-    at = 0
-    while at < len(texts):
-        n, split = 0, []
-        while at < len(texts) and (not split or n < _BYTES_AT_ONCE):
-            split.append(texts[at].split())
-            n += len(texts[at])
-            at += 1
-        known = [list(map(counts.get, words)) for words in split]
-        new = {w for words, k in zip(split, known) if None in k for w, c in zip(words, k) if c is None}
-        if new:
-            counts.learn(new.union(*split) if len(counts) + len(new) > counts.LIMIT else new)
-        for words, k in zip(split, known):
-            yield len(words), sum(map(counts.__getitem__, words) if None in k else k)
+    split = [text.split() for text in texts]
+    if counts.full():
+        counts.clear()
+    known = [list(map(counts.get, words)) for words in split]
+    new = {w for words, k in zip(split, known) if None in k for w, c in zip(words, k) if c is None}
+    if new:
+        counts.learn(new)
+    for words, k in zip(split, known):
+        yield len(words), sum(map(counts.__getitem__, words) if None in k else k)
 
 
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -114,11 +114,9 @@ def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     name = path or VOCABULARY
 
     def run(batches):
-        if name not in _COUNTS:
-            _COUNTS[name] = Counts(score.value)
-        counts = _COUNTS[name]
-        for batch in batches:
-            both = list(count_texts(common.as_bytes(batch.column(1)), counts))
+        counts = _counts(name, score.value)
+        for batch, texts in common.slices(batches, 1, _BYTES_AT_ONCE):
+            both = list(count_texts(texts, counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in both], pa.int64()), pa.array([t for _, t in both], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     return common.pick(documents, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
