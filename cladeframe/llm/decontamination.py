@@ -1,22 +1,22 @@
 """Benchmark decontamination (8): SimHash of item-sized windows.
 
 A benchmark item and a window of as many words are sets of weighted five-word shingles; a shingle
-weighs its number of occurrences. Fingerprints have BITS bits. Items are indexed by size and by each
-of RADIUS + 1 blocks of their fingerprint: two fingerprints that differ in at most RADIUS bits agree
-in a block, so the index finds every item within the radius; the exact weighted similarity (sum of
+weighs its number of occurrences. Fingerprints have BITS bits in BLOCKS blocks. Items are indexed by size, block and the block's bits;
+of two fingerprints that differ in at most RADIUS bits some block differs in RADIUS // BLOCKS at most, so looking up
+all values that close to each of a window's blocks finds every item within the radius. Of other items of the same size about
+one in six is met in passing (measured in the tests) and dropped by its whole fingerprint. The exact weighted similarity (sum of
 lesser weights over sum of greater weights) then decides. At a similarity of 0.8 the bits that differ are about
-27 of 180 degrees, 38 of 256 with a deviation of 6; the radius lies four deviations above.
+27 of 180 degrees, 38 of 256 with a deviation of 6; the radius lies four deviations above, and the recall there is tested.
 
-A window without any shingle of the benchmark has similarity 0, so only windows that hold one are
+A window without enough of the benchmark's shingles can't be similar, so only windows that hold them are
 fingerprinted; no window that could match is passed over. The benchmark reaches the executors in
-blocks of at most BLOCK items in the mean (one block for usual benchmarks), documents are read once a
-block, and nothing is shuffled but the found pairs.
+parts of about AT_ONCE bytes (one part for usual benchmarks; the index takes about ten times that), documents are read once a
+part, and nothing is shuffled but the found pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS, RADIUS, BLOCK = 256, 64, 20_000
+BITS, BLOCKS, RADIUS = 256, 16, 63
+AT_ONCE = 4_000_000  # bytes of the benchmark that are indexed and broadcast at a time
 _PUNCTUATION = b".,;:!?\"'()[]{}<>*#$%&|-_"
 FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
@@ -64,10 +65,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Index:
-    """Items by size and fingerprint block."""
+    """Items by size and fingerprint block, all in arrays."""
 
     def __init__(self, items: list[tuple[int, bytes]], radius: int = RADIUS):
-        self.radius, self.ids, self.bags, self.prints, sizes = radius, [], [], [], []
+        self.radius, self.ids, self.bags, self.size = radius, [], [], []
+        prints = []
         for item, raw in items:
             words = _WORDS.of(raw.split())
             if not len(words):
@@ -75,43 +77,61 @@ class Index:
             bag = common.shingle_hashes(words)
             self.ids.append(item)
             self.bags.append(bag)
-            self.prints.append(fingerprint(bits_of(bag).sum(axis=0, dtype=np.int32)))
-            sizes.append(len(words))
-        self.size = sizes
-        owners = defaultdict(set)
-        for n, bag in zip(sizes, self.bags):
-            for h in bag.tolist():
-                owners[h].add(n)
-        self.sizes_of = dict(owners)  # shingle: sizes of the items that have it
-        self.shingles = np.sort(np.fromiter(owners, np.uint64, len(owners)))
-        self.short = sorted({n for n in sizes if n < common.SHINGLE})
+            self.size.append(len(words))
+            prints.append(fingerprint(bits_of(bag).sum(axis=0, dtype=np.int32)))
+        self.prints = np.array(prints, np.uint8).reshape(len(prints), BITS // 8)
+        # shingles, and the sizes of the items that have each
+        size = np.array(self.size, np.int64)
+        owned = np.repeat(size, [len(b) for b in self.bags])
+        flat = np.concatenate([*self.bags, np.zeros(0, np.uint64)])
+        order = np.lexsort((owned, flat))
+        flat, owned = flat[order], owned[order]
+        new = np.append(True, (flat[1:] != flat[:-1]) | (owned[1:] != owned[:-1]))[: len(flat)]
+        self.shingles, self.first = np.unique(flat[new], return_index=True)
+        self.first, self.sizes = np.append(self.first, new.sum()), owned[new]
+        self.short = sorted({n for n in self.size if n < common.SHINGLE})
         # a first look at 2^22 bits, right for all that are not there
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.shingles >> np.uint64(42)] = True
-        self.edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-        self.blocks = defaultdict(list)
-        for i, p in enumerate(self.prints):
-            for key in self._keys(p):
-                self.blocks[(sizes[i], *key)].append(i)
-        self.blocks = dict(self.blocks)
-
-    def _keys(self, p: np.ndarray):
-        whole = int.from_bytes(p.tobytes(), "big")
-        for k, (lo, hi) in enumerate(zip(self.edges[:-1], self.edges[1:])):
-            yield k, whole >> lo & ((1 << hi - lo) - 1)
+        # every item under its size, block and the block's bits
+        keys = self._keys(size, self.prints.view(np.uint16)).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item = keys[order], order // BLOCKS
+        self.filled = np.zeros(1 << 22, bool)
+        self.filled[self._slot(self.keys)] = True
+        self.around = np.array([m for m in range(1 << 16) if m.bit_count() <= radius // BLOCKS], np.uint16)  # all that a block may differ by
+
+    @staticmethod
+    def _keys(size, values) -> np.ndarray:
+        return np.asarray(size)[..., None] << 20 | np.arange(BLOCKS) << 16 | values.astype(np.int64)
+
+    @staticmethod
+    def _slot(keys) -> np.ndarray:
+        return (keys.astype(np.uint64) * common._STEP >> np.uint64(42)).astype(np.int64)
+
+    def candidates(self, size: int, p: np.ndarray) -> np.ndarray:
+        """All items of a size that differ in few enough bits in some block."""
+        keys = (self._keys(size, p.view(np.uint16)).reshape(-1, 1) ^ self.around.astype(np.int64)).ravel()
+        keys = keys[self.filled.take(self._slot(keys))]
+        lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(self.item[a:b] for a, b in zip(lo.tolist(), hi.tolist()) if a < b)]))
 
     def near(self, size: int, p: np.ndarray) -> list[int]:
         """All items of a size whose fingerprint is within the radius."""
-        found = {i for key in self._keys(p) for i in self.blocks.get((size, *key), ())}
-        return [i for i in found if int(np.unpackbits(self.prints[i] ^ p).sum()) <= self.radius]
-
-    def hits(self, shingles: np.ndarray) -> np.ndarray:
-        """Places of the benchmark's shingles."""
-        if not len(self.shingles):
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(self.seen[shingles >> np.uint64(42)])
-        some = shingles[at]
-        return at[self.shingles[np.minimum(np.searchsorted(self.shingles, some), len(self.shingles) - 1)] == some]
+        some = self.candidates(size, p)
+        return some[np.unpackbits(self.prints[some] ^ p, axis=1).sum(axis=1) <= self.radius].tolist()
+
+    def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the benchmark's shingles, with each size of an item that has it."""
+        at = np.flatnonzero(self.seen.take((shingles >> np.uint64(42)).astype(np.int64)))
+        if not len(at) or not len(self.shingles):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        which = np.minimum(np.searchsorted(self.shingles, shingles[at]), len(self.shingles) - 1)
+        here = self.shingles[which] == shingles[at]
+        at, which = at[here], which[here]
+        many = self.first[which + 1] - self.first[which]
+        each = np.arange(many.sum()) + np.repeat(self.first[which] - np.cumsum(many) + many, many)
+        return np.repeat(at, many), self.sizes[each]
 
 
 def windows(index: Index, words: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
@@ -120,22 +140,21 @@ def windows(index: Index, words: np.ndarray, least: float) -> dict[int, tuple[fl
     n = len(words)
     for size in index.short:  # items of fewer words than a shingle are one shingle of their size
         if size <= n:
-            _score(index, common.shingle_hashes(words, size), size, 1, np.arange(n - size + 1), least, best)
+            shingles = common.shingle_hashes(words, size)
+            at, sizes = index.hits(shingles)
+            _score(index, shingles, size, 1, at[sizes == size], least, best)
     if n < common.SHINGLE:
         return best
     shingles = common.shingle_hashes(words)
-    at = index.hits(shingles)
-    by_size = defaultdict(list)
-    for place, h in zip(at.tolist(), shingles[at].tolist()):
-        for size in index.sizes_of[h]:
-            if common.SHINGLE <= size <= n:
-                by_size[size].append(place)
-    for size, places in by_size.items():
+    at, sizes = index.hits(shingles)
+    fits = (sizes >= common.SHINGLE) & (sizes <= n)
+    at, sizes = at[fits], sizes[fits]
+    for size in np.unique(sizes).tolist():
+        places = at[sizes == size]
         many = size - common.SHINGLE + 1  # shingles in a window
         here = np.zeros(n - size + 2, np.int64)
-        for p in places:
-            here[max(0, p - many + 1)] += 1
-            here[min(p, n - size) + 1] -= 1
+        np.add.at(here, np.maximum(0, places - many + 1), 1)
+        np.add.at(here, np.minimum(places, n - size) + 1, -1)
         # a window this similar shares so many shingles; others can't reach `least`
         starts = np.flatnonzero(np.cumsum(here[:-1]) >= 2 * many * least / (1 + least) - 1e-9)
         _score(index, shingles, size, many, starts, least, best)
@@ -156,7 +175,7 @@ def _score(index, shingles, size, many, starts, least, best) -> None:
                     best[i] = value, start
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, least: float = common.SIMILAR, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, least: float = common.SIMILAR, radius: int = RADIUS, at_once: int = AT_ONCE) -> DataFrame:
     """documents: doc_id, text; benchmark: item_id, text.
 
     Returns a row for each document and item with a window of the item's size at least `least`
@@ -167,7 +186,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: float = com
     """
     spark = documents.sparkSession
     documents, benchmark = common.pick(documents, "doc_id", "text"), common.pick(benchmark, "item_id", "text")
-    blocks = max(1, math.ceil(benchmark.count() / block))
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(size / at_once))
     common.ship(spark)
     out = None
     for b in range(blocks):

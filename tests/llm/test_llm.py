@@ -502,19 +502,39 @@ def test_contamination(spark):
     rows = decontamination.contamination(frame(spark, docs), bench).collect()
     assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in rows} == {k: (round(v[0], 9), v[1]) for k, v in want.items()}
     assert {(3, 0), (5, 3), (7, 4), (9, 5)} <= set(want) and (11, 2) not in want
-    assert {(r.doc_id, r.item_id) for r in decontamination.contamination(frame(spark, docs), bench, block=3).collect()} == set(want)
+    assert {(r.doc_id, r.item_id) for r in decontamination.contamination(frame(spark, docs), bench, at_once=300).collect()} == set(want)
     assert [decontamination.contamination(x, bench).count() for x in odd(spark)] == [0, 0, 0]
     assert decontamination.contamination(frame(spark, docs), bench.limit(0)).count() == 0
 
 
-def test_radius_is_found():
+def test_radius_is_found_and_others_are_not_met():
     rng = np.random.default_rng(3)
-    items = [(i, prose(random.Random(i), 30).encode()) for i in range(50)]
+    items = [(i, prose(random.Random(i), 30).encode()) for i in range(400)]
     index = decontamination.Index(items)
-    for i in range(50):
+    met = 0
+    for i in range(100):
         bits = np.unpackbits(index.prints[i])
         bits[rng.permutation(len(bits))[: decontamination.RADIUS]] ^= 1
         assert i in index.near(30, np.packbits(bits))
+        met += len(index.candidates(30, np.packbits(rng.integers(0, 2, decontamination.BITS))))
+    assert met < 0.2 * 100 * 400
+
+
+def test_recall_near_the_threshold():
+    """Windows with edits that leave them at 0.8 to 0.9 of an item: how many fingerprints lie within the radius."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, 60).encode()) for i in range(60)]
+    index = decontamination.Index(items)
+    pairs = found = 0
+    for i, raw in items:
+        for _ in range(8):
+            w = raw.split()
+            w[rng.randrange(60)] = b"edited%d" % rng.randrange(10**6)
+            shingles = common.shingle_hashes(decontamination._WORDS.of(w))
+            if 0.8 <= decontamination.similarity(index.bags[i], shingles) < 0.9:
+                pairs += 1
+                found += i in index.near(60, decontamination.fingerprint(decontamination.bits_of(shingles).sum(axis=0, dtype=np.int32)))
+    assert pairs > 200 and found >= 0.99 * pairs
 
 
 # ---- 9
