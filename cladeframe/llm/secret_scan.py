@@ -7,8 +7,8 @@ what lies between its matches, so running sums of lengths are the starts.
 Weak parts are too common to report by themselves: a mixed token that may be a secret, a name that may
 be an identifier, an endpoint. Weak secrets are reported (kind `linked`) only when a complementary
 part, an access identifier or an endpoint, lies within SCOPE characters. That is an interval join:
-parts are dealt to stretches of SCOPE characters of their text, a complement to its neighbours too, and
-joined by text and stretch, so no group is larger than a stretch, however long the text.
+parts are dealt to the stretches of SCOPE characters that they reach, a complement to its neighbours too, and
+joined by text and stretch, so no group is larger than a stretch, however long the text or the part.
 Only texts that have both parts reach the join; texts themselves are never shuffled.
 """
 
@@ -25,13 +25,12 @@ KINDS = ("assign", "access", "hex", "linked")
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-# The method's own parts: a token of 20 to 64 characters with capitals, small letters and digits; a login
+# The method's own parts: a token of 20 characters or more with capitals, small letters and digits; a login
 # name; an endpoint
 TOKEN = r"[A-Za-z0-9+/]{20,}"
-LOGIN = r"""(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[cC][lL][iI][eE][nN][tT]_?[iI][dD])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,40}"""
+LOGIN = r"""(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[cC][lL][iI][eE][nN][tT]_?[iI][dD])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 ENDPOINT = r"(?:https?|ftp|jdbc|s3|redis|amqp|postgres|postgresql|mysql|mongodb)://[^\x20\x09-\x0D\x22\x27<>]+|[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
 MARK = "[SECRET]"
-_LONGEST = 128  # characters of a weak part, at most
 _RUN = 256  # places summed in one go, so that many matches cost no square
 
 
@@ -65,24 +64,27 @@ def parts(documents: DataFrame) -> DataFrame:
         df = _spans(df, name, pattern, group)
     df = df.withColumn("a", F.expr("filter(a, v -> length(v.m) >= 12)"))
     df = df.withColumn("base", F.expr("array_sort(concat(transform(a, v -> struct(v.s AS s, 0 AS k, v.e AS e)), transform(x, v -> struct(v.s AS s, 1 AS k, v.e AS e)), transform(h, v -> struct(v.s AS s, 2 AS k, v.e AS e))))"))
-    tokens = "transform(filter(t, v -> length(v.m) <= 64 AND v.m rlike '[A-Z]' AND v.m rlike '[a-z]' AND v.m rlike '[0-9]'), v -> struct(v.s AS s, v.e AS e, 0 AS role))"
+    tokens = "transform(filter(t, v -> v.m rlike '[A-Z]' AND v.m rlike '[a-z]' AND v.m rlike '[0-9]'), v -> struct(v.s AS s, v.e AS e, 0 AS role))"
     df = df.withColumn("weak", F.expr(f"concat({tokens}, transform(g, v -> struct(v.s AS s, v.e AS e, 1 AS role)))"))
     df = df.withColumn("near", F.expr("concat(transform(concat(x, p), v -> struct(v.s AS s, v.e AS e, 0 AS role)), transform(concat(a, h), v -> struct(v.s AS s, v.e AS e, 1 AS role)))"))
-    # a weak part that a base span touches is reported already
-    df = df.withColumn("weak", F.expr("CASE WHEN size(weak) > 0 AND size(near) > 0 THEN filter(weak, w -> NOT exists(base, b -> b.s < w.e AND w.s < b.e)) ELSE array() END"))
+    df = df.withColumn("weak", F.expr("CASE WHEN size(near) > 0 THEN weak ELSE array() END"))
     return df.select("doc_id", F.xxhash64("text").alias("h"), "base", "weak", F.expr("CASE WHEN size(weak) > 0 THEN near ELSE array() END").alias("near"))
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, h, links: array<struct<s, k, e>> of texts with weak parts that a complement of the needed role lies
-    within `scope` characters of."""
-    both = found.where("size(weak) > 0").select("doc_id", "h", "weak", "near").dropDuplicates(["doc_id", "h"])
-    weak = both.select("doc_id", "h", F.explode("weak").alias("w")).select("doc_id", "h", "w", F.expr(f"w.s div {scope}").alias("b"), "w.role")
-    near = both.select(F.col("doc_id").alias("d"), F.col("h").alias("i"), F.explode("near").alias("n"))
-    near = near.select("d", "i", "n", F.explode(F.expr(f"sequence(greatest(0, n.s - {scope + _LONGEST}) div {scope}, (n.e + {scope}) div {scope})")).alias("c"), F.col("n.role").alias("r"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("i")) & (F.col("b") == F.col("c")) & (F.col("role") == F.col("r"))
-    close = F.expr(f"greatest(w.s - n.e, n.s - w.e) <= {scope} AND NOT (w.s < n.e AND n.s < w.e)")
-    hit = weak.join(near, same & close, "left_semi")
+    """doc_id, h, links: array<struct<s, k, e>> of texts with weak parts that no base span touches, which are reported already,
+    and that a complement of the needed role lies within `scope` characters of."""
+    both = found.where("size(weak) > 0").select("doc_id", "h", "weak", "near", "base").dropDuplicates(["doc_id", "h"])
+    stretches = lambda x, more: F.explode(F.expr(f"sequence(greatest(0, {x}.s - {more}) div {scope}, ({x}.e + {more}) div {scope})"))
+    weak = both.select("doc_id", "h", F.explode("weak").alias("w")).select("doc_id", "h", "w", stretches("w", 0).alias("b"), "w.role")
+    near = both.select(F.col("doc_id").alias("d"), F.col("h").alias("i"), F.explode("near").alias("n")).select("d", "i", "n", stretches("n", scope).alias("c"), F.col("n.role").alias("r"))
+    base = both.select(F.col("doc_id").alias("d"), F.col("h").alias("i"), F.explode("base").alias("n")).select("d", "i", "n", stretches("n", 0).alias("c"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("i")) & (F.col("b") == F.col("c"))
+    touches = F.expr("w.s < n.e AND n.s < w.e")
+    close = F.expr(f"greatest(w.s - n.e, n.s - w.e) <= {scope}")
+    hit = weak.join(near, same & (F.col("role") == F.col("r")) & close & ~touches, "left_semi").select("doc_id", "h", "w").distinct()
+    hit = hit.withColumn("b", stretches("w", 0)).join(base, same & touches, "left_semi").select("doc_id", "h", "w").distinct().withColumn("told", F.lit(True)).unionByName(hit.withColumn("told", F.lit(False)))
+    hit = hit.groupBy("doc_id", "h", "w").agg(F.max("told").alias("told")).where("NOT told")
     return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.expr("struct(w.s AS s, 3 AS k, w.e AS e)"))).alias("links"))
 
 
@@ -102,7 +104,7 @@ def secrets(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked, one row per row. Spans are kind:start:end by
     start, then kind in the order of KINDS, code points, end exclusive. Repeated rows get equal rows, a null doc_id stays null,
-    an empty table gives none.
+    an empty table gives none. Texts, parts and the blanks in them may be of any length.
     """
     out = _all(common.keep(parts(documents), "parts"), scope)
     count = lambda k: F.expr(f"cast(size(filter(found, v -> v.k = {k})) AS long)")
@@ -137,7 +139,7 @@ def oracle(scope: int = SCOPE) -> str:
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 m AS (SELECT r, doc_id, {_duck('a0', ASSIGN, 2)}, {_duck('x', ACCESS)}, {_duck('h', HEX)}, {_duck('t0', TOKEN)}, {_duck('g', LOGIN)}, {_duck('p', ENDPOINT)} FROM t),
 f AS (SELECT *, list_filter(a0, lambda v: length(v.m) >= 12) AS a,
-      list_filter(t0, lambda v: v.n <= 64 AND regexp_matches(v.m, '[A-Z]') AND regexp_matches(v.m, '[a-z]') AND regexp_matches(v.m, '[0-9]')) AS t FROM m),
+      list_filter(t0, lambda v: regexp_matches(v.m, '[A-Z]') AND regexp_matches(v.m, '[a-z]') AND regexp_matches(v.m, '[0-9]')) AS t FROM m),
 b AS (SELECT r, doc_id, list_sort(list_concat({base('a', 0)}, {base('x', 1)}, {base('h', 2)})) AS base,
       list_concat({spans('t', 0)}, {spans('g', 1)}) AS weak, list_concat({spans('list_concat(x, p)', 0)}, {spans('list_concat(a, h)', 1)}) AS near FROM f),
 w AS (SELECT r, unnest(weak) AS w, base FROM b), n AS (SELECT r, unnest(near) AS n FROM b),

@@ -342,6 +342,11 @@ def test_secrets(spark):
         assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
         assert set(joined.split(",")) - {""} <= set(rows[i].spans.split(","))
     assert [rows[i].n_linked for i in (7, 8, 9, 11)] == [1, 0, 0, 1]
+    # blanks, tokens and names of any length; a weak part that a base span touches isn't reported twice
+    long = ["user" + " " * 580 + "=bobby password=aaaaaaaaaaaaaaaa", token * 40 + " https://example.org", "client_id=" + "x" * 300 + " and secret=abcdefghijklmnop", f"token={token} https://example.org", (token + " ") * 3000 + "a@example.org"]
+    more = {r.doc_id: r for r in secret_scan.secrets(frame(spark, long)).collect()}
+    assert [more[i].n_linked for i in range(4)] == [1, 1, 1, 0] and more[0].spans.startswith("linked:0:590,assign:")
+    assert more[4].n_linked == sum(21 * 3000 - (21 * i + 20) <= secret_scan.SCOPE for i in range(3000))
     assert [secret_scan.secrets(x).count() for x in odd(spark)] == [0, 3, 2]
     clean = {r.doc_id: r.text for r in common.pick(secret_scan.redact(frame(spark, texts)), "doc_id", "text").collect()}
     assert secret_scan.redact(frame(spark, texts)).columns == frame(spark, texts).columns
