@@ -2,14 +2,16 @@
 
 Base rules count words, symbols, repeated lines and repeated five-word windows of whole texts. The texts that
 pass are judged by their statistics: FEATURES, whole thousandths so that sums are exact. For each
-language and source the mean and covariance of the share HALF of texts nearest to them are found by concentration
-steps (start: medians and quartile ranges), made consistent for the normal law, with a floor on each deviation since most
-texts have no symbols at all. A text is rejected when its squared Mahalanobis distance exceeds the
-chi-square quantile of TAIL.
-
-Groups with fewer than LEAST texts are pooled by language, then all together. Everything is an
+language and source the share HALF of its texts with the least determinant of their covariance is sought, as the method does: from
+several starts (medians and quartile ranges; all texts; SUBSETS subsets by a remainder of the statistics) STEPS concentration steps go to the texts
+nearest to the mean so far, and the start that ends with the least determinant gives mean and covariance. The covariance is made
+consistent for the normal law, with a floor on each deviation since most texts have no symbols at all. A text is rejected when its
+squared Mahalanobis distance exceeds the chi-square quantile of TAIL.
+
+Every language and source is a group of its own, however small: of n texts (n + p + 1) / 2 are taken at least, as the
+determinant of p features needs, so up to p + 1 texts all are taken and none of them stands out. Everything is an
 aggregation with a small state (percentiles are of rounded values), so a hot source is pre-aggregated
-in every task; the parameters are one row a group.
+in every task; the parameters are one row a group and start.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HALF, STEPS, TAIL, LEAST = 0.75, 3, 1e-5, 50
+HALF, STEPS, SUBSETS, TAIL = 0.75, 4, 2, 1e-5
 BROADCAST_GROUPS = 50_000  # rows of parameters, at most, that are broadcast (about 200 bytes each)
 WHITE = "[\\x20\\x09-\\x0D]"
 # name, SQL in both engines, floor of its deviation in thousandths
@@ -66,6 +68,13 @@ for i, j in PAIRS:
 DISTANCE = [(f"y{i}", f"({' - '.join([f'(x{i} - m{i})', *(f'l{i}_{k} * y{k}' for k in range(1, i))])}) / l{i}_{i}") for i in range(1, P + 1)]
 SQUARED = " + ".join(f"y{i} * y{i}" for i in range(1, P + 1))
 GRID = f"round(ln(1 + {SQUARED}), 3)"
+DETERMINANT = f"round({' + '.join(f'ln(l{i}_{i})' for i in range(1, P + 1))}, 6)"
+# the share of n texts that is taken: HALF from 2 (P + 1) texts on, (n + P + 1) / 2 of fewer, all of P + 1 or fewer
+SHARES = [HALF] + [(n + P + 1) / (2 * n) for n in range(2 * P + 1, P, -1)]
+WHICH = f"greatest(0, least({len(SHARES) - 1}, {2 * P + 2} - n))"
+#: from 1, where all are taken, to CONSISTENT in proportion
+FACTOR = f"1 + {round(CONSISTENT - 1, 9)}D * least(1, greatest(0, {1 / (1 - HALF)}D * (1 - greatest({HALF}D, (of + {P + 1}D) / (2 * of)))))"
+REST = f"pmod({' + '.join(f'{k} * x{i}' for i, k in zip(range(1, P + 1), (31, 17, 7, 5, 1)))}, 5)"
 
 
 def _with(df: DataFrame, columns) -> DataFrame:
@@ -100,35 +109,42 @@ def base(documents: DataFrame) -> DataFrame:
     ).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "base_failed")
 
 
-def _groups(passed: DataFrame) -> DataFrame:
-    """lang, source, g: the group that estimates a text's parameters."""
-    own = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = own.where(f"n < {LEAST}").groupBy("lang").agg(F.sum("n").alias("pooled"))
-    key = f"CASE WHEN n >= {LEAST} THEN concat(lang, '|', source) WHEN pooled >= {LEAST} THEN concat(lang, '|*') ELSE '*|*' END"
-    return own.join(small, "lang", "left").select("lang", "source", F.expr(key).alias("g"))
-
-
 def _near(table: DataFrame, parameters: DataFrame, on) -> DataFrame:
     few = parameters.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     return table.join(F.broadcast(parameters) if few else parameters, on, "left")
 
 
 def parameters(table: DataFrame) -> DataFrame:
-    """g, m1.., l1_1..: mean and Cholesky factor of each group. table: g, x1.. of the texts to learn from."""
-    quartiles = table.groupBy("g").agg(*[F.expr(f"percentile(x{i}, array(0.25D, 0.5D, 0.75D))").alias(f"q{i}") for i in range(1, P + 1)])
-    start = [(f"m{i}", f"q{i}[1]") for i in range(1, P + 1)]
-    start += [(f"c{i}_{j}", f"power((q{i}[2] - q{i}[0]) / 1.349, 2) + power({FEATURES[i - 1][2]}, 2)" if i == j else "0D") for i, j in PAIRS]
-    names = ["g", *(f"m{i}" for i in range(1, P + 1)), *(f"l{i}_{j}" for i, j in PAIRS)]
-    now = common.keep(_with(quartiles, [*start, *CHOLESKY]).select(*names), "parameters")
+    """lang, source, m1.., l1_1.., determinant (half its logarithm): mean and Cholesky factor of each group. table: lang,
+    source, x1.. of the texts to learn from."""
+    group = ["lang", "source"]
+    xs = [f"x{i}" for i in range(1, P + 1)]
+    names = [*group, "start", *(f"m{i}" for i in range(1, P + 1)), *(f"l{i}_{j}" for i, j in PAIRS)]
+    sums = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(xs, 1)), *(F.sum(F.expr(f"x{i} * x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS)]
+
+    def moments(factor: str) -> list[tuple[str, str]]:
+        out = [(f"m{i}", f"s{i} / n") for i in range(1, P + 1)]
+        return out + [(f"c{i}_{j}", f"({factor}) * (s{i}_{j} / n - m{i} * m{j})" + (f" + power({FEATURES[i - 1][2]}, 2)" if i == j else "")) for i, j in PAIRS]
+
+    quartiles = table.groupBy(*group).agg(F.count("*").alias("n"), *[F.expr(f"percentile({x}, array(0.25D, 0.5D, 0.75D))").alias(f"q{i}") for i, x in enumerate(xs, 1)])
+    middle = [(f"m{i}", f"q{i}[1]") for i in range(1, P + 1)]
+    middle += [(f"c{i}_{j}", f"power((q{i}[2] - q{i}[0]) / 1.349, 2) + power({FEATURES[i - 1][2]}, 2)" if i == j else "0D") for i, j in PAIRS]
+    now = _with(quartiles.withColumn("start", F.lit(0)), [*middle, *CHOLESKY]).select(*names)
+    several = table.withColumn("start", F.explode(F.expr(f"CASE WHEN {REST} < {SUBSETS} THEN array(1, CAST(2 + {REST} AS INT)) ELSE array(1) END")))
+    now = common.keep(now.unionByName(_with(several.groupBy(*group, "start").agg(*sums), [*moments("1D"), *CHOLESKY]).select(*names)), "parameters")
+    sizes = common.keep(quartiles.select(*group, "n"), "sizes")
     for _ in range(STEPS):
-        scored = _with(_near(table, now, "g"), DISTANCE).withColumn("d", F.expr(GRID)).select("g", "d", *(f"x{i}" for i in range(1, P + 1)))
-        reach = common.keep(scored.groupBy("g").agg(F.expr(f"percentile(d, {HALF}D)").alias("reach")), "reach")
-        inside = _near(scored, reach, "g").where("d <= reach")
-        sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(1, P + 1)), *(F.sum(F.expr(f"x{i} * x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS)]
-        moments = [(f"m{i}", f"s{i} / n") for i in range(1, P + 1)]
-        moments += [(f"c{i}_{j}", f"{CONSISTENT}D * (s{i}_{j} / n - m{i} * m{j})" + (f" + power({FEATURES[i - 1][2]}, 2)" if i == j else "")) for i, j in PAIRS]
-        now = common.keep(_with(inside.groupBy("g").agg(*sums), [*moments, *CHOLESKY]).select(*names), "parameters")
-    return now
+        scored = _with(_near(table, now, group), DISTANCE).withColumn("d", F.expr(GRID)).select(*group, "start", "d", *xs)
+        reach = scored.groupBy(*group, "start").agg(F.count("*").alias("n"), F.expr(f"percentile(d, array({', '.join(f'{x}D' for x in SHARES)}))").alias("q"))
+        reach = common.keep(reach.select(*group, "start", F.expr(f"q[{WHICH}]").alias("reach")), "reach")
+        inside = _near(scored, reach, [*group, "start"]).where("d <= reach").groupBy(*group, "start").agg(*sums)
+        inside = _near(inside, sizes.withColumnRenamed("n", "of"), group)
+        new = common.keep(_with(inside, [*moments(FACTOR), *CHOLESKY]).select(*names), "parameters")
+        common.drop(now, reach)
+        now = new
+    least = now.withColumn("determinant", F.expr(DETERMINANT))
+    best = least.groupBy(*group).agg(F.expr("min(struct(determinant, start)).start").alias("best"))
+    return common.keep(least.join(best, group).where("start = best").drop("start", "best"), "parameters")
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -138,11 +154,8 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     texts that pass the base rules), one row per row. Repeated rows count as often as they occur; an empty table gives none.
     """
     table = common.keep(_with(base(documents), [(n, f"CAST({sql} AS DOUBLE)") for n, sql, _ in FEATURES]), "statistics")
-    passed = table.where("NOT base_failed")
-    groups = common.keep(_groups(passed), "groups")
-    grouped = _near(table, groups, ["lang", "source"])
-    known = parameters(grouped.where("NOT base_failed").select("g", *(f"x{i}" for i in range(1, P + 1))))
-    out = _with(_near(grouped, known, "g"), [*DISTANCE, ("distance", f"CASE WHEN NOT base_failed THEN round({SQUARED}, 6) END")])
+    known = parameters(table.where("NOT base_failed").select("lang", "source", *(f"x{i}" for i in range(1, P + 1))))
+    out = _with(_near(table, known, ["lang", "source"]), [*DISTANCE, ("distance", f"CASE WHEN NOT base_failed THEN round({SQUARED}, 6) END")])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr(f"NOT base_failed AND distance <= {CUTOFF}D").alias("kept"), "distance")
 
 
@@ -161,20 +174,31 @@ b0 AS (SELECT t.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(lis
        len(l)::BIGINT AS n_lines, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals
        FROM t JOIN w USING (r) LEFT JOIN rp USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"CAST({sql} AS DOUBLE) AS {n}" for n, sql, _ in FEATURES)} FROM b0),
-o AS (SELECT lang, source, count(*) AS n FROM b WHERE NOT base_failed GROUP BY ALL),
-s AS (SELECT lang, sum(n) AS pooled FROM o WHERE n < {LEAST} GROUP BY lang),
-gr AS (SELECT lang, source, CASE WHEN n >= {LEAST} THEN concat(lang, '|', source) WHEN pooled >= {LEAST} THEN concat(lang, '|*') ELSE '*|*' END AS g FROM o LEFT JOIN s USING (lang)),
-x AS (SELECT g, {xs} FROM b JOIN gr USING (lang, source) WHERE NOT base_failed)"""
+x AS (SELECT lang, source, {xs} FROM b WHERE NOT base_failed),
+o AS (SELECT lang, source, count(*)::DOUBLE AS n FROM x GROUP BY lang, source)"""
     ]
     start = [f"median(x{i}) AS m{i}" for i in range(1, P + 1)]
     start += [f"power((quantile_cont(x{i}, 0.75) - quantile_cont(x{i}, 0.25)) / 1.349, 2) + power({FEATURES[i - 1][2]}, 2) AS c{i}_{j}" if i == j else f"0::DOUBLE AS c{i}_{j}" for i, j in PAIRS]
     roots = ", ".join(f"{sql} AS {n}" for n, sql in CHOLESKY)
-    ctes.append(f"k0 AS (SELECT *, {roots} FROM (SELECT g, {', '.join(start)} FROM x GROUP BY g))")
     far = ", ".join(f"{sql} AS {n}" for n, sql in DISTANCE)
+    kept = ", ".join([*(f"m{i}" for i in range(1, P + 1)), *(f"c{i}_{j}" for i, j in PAIRS)])
+
+    def sums(factor: str) -> str:
+        mean = [f"avg(x{i}) AS m{i}" for i in range(1, P + 1)]
+        return ", ".join(mean + [f"({factor}) * (sum(x{i} * x{j}) / count(*) - avg(x{i}) * avg(x{j}))" + (f" + power({FEATURES[i - 1][2]}, 2)" if i == j else "") + f" AS c{i}_{j}" for i, j in PAIRS])
+
+    duck = lambda sql: sql.replace("D", "") if "DISTINCT" not in sql else sql
+    rest = duck(REST).replace("pmod(", "(").rsplit(", 5)", 1)[0] + ") % 5"
+    ctes.append(f"""k0 AS (SELECT *, {roots} FROM (
+  SELECT lang, source, 0 AS start, {kept} FROM (SELECT lang, source, {', '.join(start)} FROM x GROUP BY lang, source)
+  UNION ALL SELECT lang, source, 1 AS start, {kept} FROM (SELECT lang, source, {sums("1")} FROM x GROUP BY lang, source)
+  UNION ALL SELECT lang, source, start, {kept} FROM (SELECT lang, source, (2 + {rest})::INT AS start, {sums("1")} FROM x WHERE {rest} < {SUBSETS} GROUP BY lang, source, (2 + {rest})::INT)))""")
+    shares = "[" + ", ".join(str(x) for x in SHARES) + "]"
     for k in range(STEPS):
-        sums = ", ".join([f"avg(x{i}) AS m{i}" for i in range(1, P + 1)] + [f"{CONSISTENT} * (sum(x{i} * x{j}) / count(*) - avg(x{i}) * avg(x{j}))" + (f" + power({FEATURES[i - 1][2]}, 2)" if i == j else "") + f" AS c{i}_{j}" for i, j in PAIRS])
-        ctes.append(f"d{k} AS (SELECT g, {xs}, {GRID} AS d FROM (SELECT *, {far} FROM x JOIN k{k} USING (g)))")
-        ctes.append(f"e{k} AS (SELECT g, quantile_cont(d, {HALF}) AS reach FROM d{k} GROUP BY g)")
-        ctes.append(f"k{k + 1} AS (SELECT *, {roots} FROM (SELECT g, {sums} FROM d{k} JOIN e{k} USING (g) WHERE d <= reach GROUP BY g))")
-    ctes.append(f"z AS (SELECT *, CASE WHEN NOT base_failed THEN round({SQUARED}, 6) END AS distance FROM (SELECT *, {far} FROM b LEFT JOIN gr USING (lang, source) LEFT JOIN k{STEPS} USING (g)))")
+        ctes.append(f"d{k} AS (SELECT lang, source, start, {xs}, {GRID} AS d FROM (SELECT *, {far} FROM x JOIN k{k} USING (lang, source)))")
+        ctes.append(f"e{k} AS (SELECT lang, source, start, quantile_cont(d, {shares})[({WHICH.replace('n)', 'count(*))')} + 1)::INT] AS reach FROM d{k} GROUP BY lang, source, start)")
+        factor = duck(FACTOR).replace("of", "any_value(n)")
+        ctes.append(f"k{k + 1} AS (SELECT *, {roots} FROM (SELECT lang, source, start, {sums(factor)} FROM d{k} JOIN e{k} USING (lang, source, start) JOIN o USING (lang, source) WHERE d <= reach GROUP BY lang, source, start))")
+    ctes.append(f"best AS (SELECT * FROM k{STEPS} QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {DETERMINANT}, start) = 1)")
+    ctes.append(f"z AS (SELECT *, CASE WHEN NOT base_failed THEN round({SQUARED}, 6) END AS distance FROM (SELECT *, {far} FROM b LEFT JOIN best USING (lang, source)))")
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND distance <= {CUTOFF}, false) AS kept, distance FROM z"

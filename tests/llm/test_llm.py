@@ -96,6 +96,44 @@ def test_quality_outliers(spark):
     assert all(r.kept == (r.doc_id < 240) for r in rows)
 
 
+def numpy_mcd(x, floors):
+    """Mean and covariance of one group, in plain numpy: every start, its concentration steps, the least determinant."""
+    n, p = x.shape
+    ridge = np.diag(np.array(floors, float) ** 2)
+    share = min(1.0, max(quality_rules.HALF, (n + p + 1) / (2 * n)))
+    factor = 1 + (quality_rules.CONSISTENT - 1) * (1 - share) / (1 - quality_rules.HALF)
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    starts = [(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + ridge), (x.mean(0), np.cov(x.T, bias=True) + ridge)]
+    rest = (x @ np.array([31, 17, 7, 5, 1])) % 5
+    starts += [(y.mean(0), np.cov(y.T, bias=True) + ridge) for k in range(quality_rules.SUBSETS) if len(y := x[rest == k])]
+    best = None
+    for m, c in starts:
+        for _ in range(quality_rules.STEPS):
+            d = np.round(np.log1p(np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)), 3)
+            y = x[d <= np.quantile(d, share) + 1e-12]
+            m, c = y.mean(0), factor * np.cov(y.T, bias=True) + ridge
+        if best is None or np.linalg.slogdet(c)[1] < best[0] - 1e-6:
+            best = np.linalg.slogdet(c)[1], m, c
+    return best
+
+
+@pytest.mark.parametrize("n", [1, 4, 7, 11, 12, 150])
+def test_least_determinant_by_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    floors = [f[2] for f in quality_rules.FEATURES]
+    x = np.round(rng.normal(0, 300, (n, 5)) @ rng.normal(0, 1, (5, 5)))
+    x[: n // 6] += 20_000  # a clump that draws a mean of all texts to it
+    rows = [("en", "*", *map(float, r)) for r in x] + [("en", "other", 1.0, 2.0, 3.0, 4.0, 5.0)] * 3
+    table = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"x{i} double" for i in range(1, 6)))
+    got = {r.source: r for r in quality_rules.parameters(table).collect()}
+    assert set(got) == {"*", "other"}
+    logdet, mean, cov = numpy_mcd(x, floors)
+    r = got["*"]
+    factor = np.array([[r[f"l{i}_{j}"] if j <= i else 0.0 for j in range(1, 6)] for i in range(1, 6)])
+    assert np.allclose([r[f"m{i}"] for i in range(1, 6)], mean) and np.allclose(factor @ factor.T, cov, rtol=1e-6, atol=1e-3)
+    assert abs(2 * r.determinant - logdet) < 1e-4
+
+
 def test_chi_square():
     assert abs(quality_rules.chi_square(quality_rules.chi_square_quantile(0.05, 5), 5) - 0.95) < 1e-9
     assert abs(quality_rules.chi_square_quantile(0.05, 5) - 11.0705) < 1e-3
