@@ -140,28 +140,57 @@ class Memo(dict):
         super().clear()
         self.held = 0
 
-    def __missing__(self, word: bytes) -> int:
-        if self.full():
-            self.clear()
-        self.held += self.ENTRY + len(word)
-        self[word] = value = self.value(word)
-        return value
 
-    def value(self, word: bytes) -> int:
-        raise NotImplementedError
-
-
-class WordHash(Memo):
-    """64-bit hashes of words."""
-
-    def value(self, word: bytes) -> int:
-        return xxhash.xxh64_intdigest(word)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-WORDS = WordHash()
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+_SEGMENT = 1 << 18  # bytes hashed in one go; a longer word is hashed by the library
+_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b".,;:!?\"'()[]{}<>*#$%&|-_")] = True
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_SEGMENT + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def word_hashes(raw: bytes, stripped: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and first bytes of a text's words (what ASCII white space separates), without any loop over words: sums of
+    bytes times powers, of which a word's own are a difference. stripped: without marks at a word's ends, unless all are."""
+    hashes, places, at = [], [], 0
+    while at < len(raw):
+        to = len(raw)
+        if to - at > _SEGMENT:
+            window = np.flatnonzero(_WHITE[np.frombuffer(raw, np.uint8, _SEGMENT, at)])
+            if not len(window):  # one long word
+                to = at + _SEGMENT
+                while to < len(raw) and not _WHITE[raw[to]]:
+                    to += 1
+                hashes.append(np.array([xxhash.xxh64_intdigest((raw[at:to].strip(bytes(np.flatnonzero(_MARKS).tolist())) if stripped else b"") or raw[at:to])], np.uint64))
+                places.append(np.array([at]))
+                at = to
+                continue
+            to = at + int(window[-1]) + 1
+        b = np.frombuffer(raw, np.uint8, to - at, at)
+        white = np.ones(len(b) + 2, bool)
+        white[1:-1] = _WHITE[b]
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        start, end = edges[::2], edges[1::2]
+        places.append(start + at)
+        if stripped:
+            index, mark = np.arange(len(b)), _MARKS[b]
+            first = np.minimum.accumulate(np.where(mark, len(b), index)[::-1])[::-1][start]
+            last = np.maximum.accumulate(np.where(mark, -1, index))[end - 1] + 1
+            some = first < last
+            start, end = np.where(some & (first < end), first, start), np.where(some & (last > start), last, end)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(b)], out=sums[1:])
+        hashes.append(mix((sums[end] - sums[start]) * _INVERSES[start]))
+        at = to
+    return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*places, np.zeros(0, np.int64)])
 
 
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -241,10 +270,16 @@ def components(edges: DataFrame, what: str = "components", rounds: int = 60) ->
     raise RuntimeError(f"components: not settled after {rounds} rounds")
 
 
-def links_in_buckets(keyed: DataFrame, verify, tokens, least: float = SIMILAR) -> DataFrame:
+def buckets(keyed: DataFrame) -> DataFrame:
+    """key, id, pivot (the bucket's least id) of all buckets of several ids. keyed: key, id long, repeats allowed."""
+    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").drop("other")
+    return keep(keyed.join(shared, "key").select("key", "id", "pivot").distinct(), "buckets")
+
+
+def links_in_buckets(buckets: DataFrame, verify, tokens, least: float = SIMILAR) -> DataFrame:
     """All verified links between ids that share a bucket, up to connection.
 
-    keyed: key, id long, distinct. verify(pairs a, b) returns the pairs that hold, a and b first; a pair that
+    buckets: key, id, pivot, as `buckets` makes it. verify(pairs a, b) returns the pairs that hold, a and b first; a pair that
     holds has a Jaccard similarity of its token sets of at least `least`. tokens(ids) returns id, v: distinct tokens (array
     of long).
 
@@ -256,13 +291,11 @@ def links_in_buckets(keyed: DataFrame, verify, tokens, least: float = SIMILAR) -
     the ids of a token meet its most central id only, again as many pairs as ids; what then still is apart meets
     pair by pair. No link between components is lost and no bucket is expanded into all its pairs.
     """
-    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = keep(keyed.join(shared, "key").select("key", "id", "pivot"), "buckets")
     first = keep(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = keep(verify(first).select("a", "b"), "links")
     label = components(links)
     member = keep(buckets.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "labelled")
-    drop(buckets, label)
+    drop(label)
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     open_ = keep(member.join(mixed, "key", "left_semi").select("id", "label").distinct(), "open")
     drop(member)

@@ -27,22 +27,12 @@ from . import common
 
 BITS, BLOCKS, RADIUS = 256, 16, 63
 AT_ONCE = 4_000_000  # bytes of the benchmark that are indexed and broadcast at a time
-_PUNCTUATION = b".,;:!?\"'()[]{}<>*#$%&|-_"
 FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
-class _Plain(common.WordHash):
-    """Words without case (ASCII) and without marks at their ends."""
-
-    def value(self, word: bytes) -> int:
-        return common.xxhash.xxh64_intdigest(word.strip(_PUNCTUATION).lower() or word)
-
-
-_WORDS = _Plain()
-
-
-def _words() -> _Plain:  # by name, so that a task takes the worker's memo and no copy of the driver's
-    return _WORDS.begin()
+def plain_words(raw: bytes) -> np.ndarray:
+    """Hashes of words without case (ASCII) and without marks at their ends."""
+    return common.word_hashes(raw.lower(), stripped=True)[0]
 
 
 def bits_of(shingles: np.ndarray) -> np.ndarray:
@@ -71,7 +61,7 @@ class Index:
         self.radius, self.ids, self.bags, self.size = radius, [], [], []
         prints = []
         for item, raw in items:
-            words = _WORDS.of(raw.split())
+            words = plain_words(raw)
             if not len(words):
                 continue
             bag = common.shingle_hashes(words)
@@ -197,11 +187,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: float = com
 
         def run(batches, index=index):
             at = index.value
-            words = _words()
             for part, texts in common.slices(batches, 1):
                 found = [[], [], [], [], []]
                 for doc, raw in zip(part.column(0).to_pylist(), texts):
-                    for i, (value, start) in windows(at, words.of(raw.split()), least).items():
+                    for i, (value, start) in windows(at, plain_words(raw), least).items():
                         for column, x in zip(found, (doc, at.ids[i], value, start, at.size[i])):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "similarity", "start_word", "n_words"])

@@ -81,24 +81,23 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 
 def _shingles(raw: bytes) -> np.ndarray:
-    return common.labelled(common.shingle_hashes(common.WORDS.of(raw.split())))
+    return common.labelled(common.shingle_hashes(common.word_hashes(raw)[0]))
 
 
 def sketch(documents: DataFrame, bands: int = BANDS, take: int = TUPLE) -> DataFrame:
     """doc_id, digest (binary, null without words), keys (array of long) of each document."""
 
     def run(batches):
-        common.WORDS.begin()
         for batch, texts in common.slices(batches, 1):
             digests, keys = [], []
             for raw in texts:
-                words = raw.split()
-                if not words:
+                words, _ = common.word_hashes(raw)
+                if not len(words):
                     digests.append(None)
                     keys.append(None)
                     continue
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                keys.append(order_minhash(common.labelled(common.shingle_hashes(common.WORDS.of(words))), bands, take).view(np.int64))
+                digests.append(xxhash.xxh3_128_digest(words.tobytes()))
+                keys.append(order_minhash(common.labelled(common.shingle_hashes(words)), bands, take).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
 
     common.ship(documents.sparkSession)
@@ -109,7 +108,6 @@ def shingle_arrays(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """id, v: the labelled shingles, in text order, of the named documents (doc_id, text)."""
 
     def cut(batches):
-        common.WORDS.begin()
         for batch, texts in common.slices(batches, 1):
             arrays = [_shingles(raw).view(np.int64) for raw in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.list_(pa.int64()))], ["id", "v"])
@@ -163,11 +161,11 @@ def near_duplicates(documents: DataFrame, least: float = common.SIMILAR, bands:
     )
     keyed = table.where("doc_id is not null").join(classes, "digest").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.explode("keys").alias("key"))
     keyed = common.keep(keyed.select("key", F.col("rep").alias("id")), "bands")
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    ids = common.keep(keyed.join(crowded, "key", "left_semi").select("id").distinct(), "members")
-    texts = common.keep(shingle_arrays(documents, ids), "shingles")  # read once, of all that any step compares
-    links = common.links_in_buckets(keyed, lambda pairs: verify(pairs, texts, least), lambda some: texts.join(some, "id", "left_semi"), least)
+    buckets = common.buckets(keyed)
+    texts = common.keep(shingle_arrays(documents, buckets.select("id").distinct()), "shingles")  # read once, of all that any step compares
+    links = common.links_in_buckets(buckets, lambda pairs: verify(pairs, texts, least), lambda some: texts.join(some, "id", "left_semi"), least)
     label = common.components(links)
+    common.drop(keyed, buckets, texts)
     count = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(count, "rep", "left")
     known = known.select("digest", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")

@@ -28,18 +28,6 @@ _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(rang
 _SYMBOLS, _STOPS = b"#*$%&|<>~^=+_@\\/{}[]", b".,;:!?"
 
 
-class _Place(common.Memo):
-    def value(self, word: bytes) -> int:
-        return xxhash.xxh64_intdigest(word, 11) % WORDS_DIM
-
-
-_PLACE = _Place()
-
-
-def _begin() -> None:  # by name, so that a task takes the worker's memo and no copy of the driver's
-    _PLACE.begin()
-
-
 STATISTICS = ("size", "upper", "lower", "digits", "symbols", "stops", "bangs", "word_length", "distinct", "doubled", "lines", "repeated_lines")
 DIM = WORDS_DIM + len(STATISTICS) * BUCKETS + META_DIM
 
@@ -67,7 +55,8 @@ def features(texts: list[bytes], metadata: list[list[str]]) -> tuple[np.ndarray,
     """Sparse rows: (starts, places, values)."""
     words = [t.split() for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((p for w in words for p in map(_PLACE.__getitem__, w)), np.int64, int(counts.sum()))
+    flat = np.concatenate([*(common.word_hashes(t)[0] for t in texts), np.zeros(0, np.uint64)]) % np.uint64(WORDS_DIM)
+    flat = flat.astype(np.int64)
     keys, times = np.unique(np.repeat(np.arange(len(words)), counts) * WORDS_DIM + flat, return_counts=True)
     row, place, value = keys // WORDS_DIM, keys % WORDS_DIM, np.log1p(times)
     value /= np.sqrt(np.maximum(np.bincount(row, value * value, len(words)), 1e-9))[row]
@@ -151,7 +140,6 @@ def fit(documents: DataFrame, labels: DataFrame, metadata: list[str] = (), sampl
     metadata, names = list(metadata), rows.columns
 
     def run(batches):
-        _begin()
         for batch, texts in common.slices(batches, names.index("text")):
             starts, place, value = features(texts, _named(batch, names.index("m0") if metadata else 0, metadata))
             at = pa.array(np.append(starts, len(place)), pa.int32())
@@ -178,7 +166,6 @@ def score(documents: DataFrame, machine: Machine, metadata: list[str] = ()) -> D
     model = documents.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
-        _begin()
         for batch, texts in common.slices(batches, 1):
             p, meta = [], _named(batch, 2, metadata)
             for at in range(0, len(texts), 256):

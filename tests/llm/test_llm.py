@@ -239,7 +239,7 @@ def test_chain_of_links(spark):
     true = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if jaccard(a, b) >= 0.8]
     holds = spark.createDataFrame(true, "a long, b long")
     tokens = lambda ids: ids.join(spark.createDataFrame([(i, sorted(v)) for i, v in sets.items()], "id long, v array<long>"), "id")
-    links = common.links_in_buckets(keyed, lambda p: p.join(holds, ["a", "b"]), tokens)
+    links = common.links_in_buckets(common.buckets(keyed), lambda p: p.join(holds, ["a", "b"]), tokens)
     got = {r.id: r.label for r in common.components(links).collect()}
     want = classes(30, true)
     assert {i: got.get(i, i) for i in sets} == {i: want[i] for i in sets}
@@ -573,7 +573,7 @@ def test_recall_near_the_threshold():
         for _ in range(8):
             w = raw.split()
             w[rng.randrange(60)] = b"edited%d" % rng.randrange(10**6)
-            shingles = common.shingle_hashes(decontamination._WORDS.of(w))
+            shingles = common.shingle_hashes(decontamination.plain_words(b" ".join(w)))
             if 0.8 <= decontamination.similarity(index.bags[i], shingles) < 0.9:
                 pairs += 1
                 found += i in index.near(60, decontamination.fingerprint(decontamination.bits_of(shingles).sum(axis=0, dtype=np.int32)))
@@ -673,6 +673,23 @@ def test_own_ids_are_the_librarys():
 # ---- shared
 
 
+def test_word_hashes(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab.,é \n\t-") for _ in range(rng.randint(0, 60))).encode() for _ in range(400)] + [b"", b" ", b"x" * 300 + b" y " + b"." * 200, b"..a.. ...", prose(rng, 3000).encode()]
+    for segment in (1 << 18, 40):
+        monkeypatch.setattr(common, "_SEGMENT", segment)
+        for stripped in (False, True):
+            seen = {}
+            for t in texts:
+                words = t.split()
+                names = [(w.strip(bytes(np.flatnonzero(common._MARKS).tolist())) or w) if stripped else w for w in words]
+                hashes, places = common.word_hashes(t, stripped)
+                assert len(hashes) == len(words) and all(t[p : p + len(w)] == w for p, w in zip(places.tolist(), words))
+                for w, h in zip(names, hashes.tolist()):
+                    assert seen.setdefault(w, h) == h
+            assert len(set(seen.values())) == len(seen)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
