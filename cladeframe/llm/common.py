@@ -157,10 +157,10 @@ def _powers(base: int) -> np.ndarray:
 _POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
-def word_hashes(raw: bytes, stripped: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes and first bytes of a text's words (what ASCII white space separates), without any loop over words: sums of
+def word_hashes(raw: bytes, stripped: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, first bytes and ends (exclusive) of a text's words (what ASCII white space separates), without any loop over words: sums of
     bytes times powers, of which a word's own are a difference. stripped: without marks at a word's ends, unless all are."""
-    hashes, places, at = [], [], 0
+    hashes, places, ends, at = [], [], [], 0
     while at < len(raw):
         to = len(raw)
         if to - at > _SEGMENT:
@@ -171,6 +171,7 @@ def word_hashes(raw: bytes, stripped: bool = False) -> tuple[np.ndarray, np.ndar
                     to += 1
                 hashes.append(np.array([xxhash.xxh64_intdigest((raw[at:to].strip(bytes(np.flatnonzero(_MARKS).tolist())) if stripped else b"") or raw[at:to])], np.uint64))
                 places.append(np.array([at]))
+                ends.append(np.array([to]))
                 at = to
                 continue
             to = at + int(window[-1]) + 1
@@ -180,6 +181,7 @@ def word_hashes(raw: bytes, stripped: bool = False) -> tuple[np.ndarray, np.ndar
         edges = np.flatnonzero(white[1:] != white[:-1])
         start, end = edges[::2], edges[1::2]
         places.append(start + at)
+        ends.append(end + at)
         if stripped:
             index, mark = np.arange(len(b)), _MARKS[b]
             first = np.minimum.accumulate(np.where(mark, len(b), index)[::-1])[::-1][start]
@@ -190,7 +192,8 @@ def word_hashes(raw: bytes, stripped: bool = False) -> tuple[np.ndarray, np.ndar
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(b)], out=sums[1:])
         hashes.append(mix((sums[end] - sums[start]) * _INVERSES[start]))
         at = to
-    return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*places, np.zeros(0, np.int64)])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*hashes, none.view(np.uint64)]), np.concatenate([*places, none]), np.concatenate([*ends, none])
 
 
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:

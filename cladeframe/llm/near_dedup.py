@@ -91,7 +91,7 @@ def sketch(documents: DataFrame, bands: int = BANDS, take: int = TUPLE) -> DataF
         for batch, texts in common.slices(batches, 1):
             digests, keys = [], []
             for raw in texts:
-                words, _ = common.word_hashes(raw)
+                words = common.word_hashes(raw)[0]
                 if not len(words):
                     digests.append(None)
                     keys.append(None)

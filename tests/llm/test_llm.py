@@ -466,6 +466,11 @@ def test_lm_symbols_rebuild_the_text():
         assert seen.setdefault(tuple(lm_scoring.symbols(text)), text) == text
         assert [s for x in lm_scoring.cut(text, 2) for s in lm_scoring.symbols(x)] == lm_scoring.symbols(text)
         assert [s for s in lm_scoring.symbols(text) if s not in lm_scoring.SPECIAL] == text.split()
+        names = [b"a", b"ab", b"", b"\n", lm_scoring.END, *sorted(lm_scoring.SPECIAL - {b"", b"\n", lm_scoring.END}), b"b"]
+        words = lm_scoring.Words([(w, 1) for w in names], 1)
+        ids, rare = words.ids(text)
+        said = lm_scoring.symbols(text)
+        assert ids.tolist() == [*(names.index(s) if s in names else len(names) for s in said), 4] and rare == [s for s in said if s not in names]
 
 
 def test_lm_pieces_of_long_texts(monkeypatch):
@@ -683,8 +688,8 @@ def test_word_hashes(monkeypatch):
             for t in texts:
                 words = t.split()
                 names = [(w.strip(bytes(np.flatnonzero(common._MARKS).tolist())) or w) if stripped else w for w in words]
-                hashes, places = common.word_hashes(t, stripped)
-                assert len(hashes) == len(words) and all(t[p : p + len(w)] == w for p, w in zip(places.tolist(), words))
+                hashes, places, ends = common.word_hashes(t, stripped)
+                assert [t[a:b] for a, b in zip(places.tolist(), ends.tolist())] == words and len(hashes) == len(words)
                 for w, h in zip(names, hashes.tolist()):
                     assert seen.setdefault(w, h) == h
             assert len(set(seen.values())) == len(seen)
