@@ -206,15 +206,56 @@ def strand_skew(counts: DataFrame, alpha: float = 0.01, of_sum: bool = False) ->
 
 
 def segregation_bias(reads: DataFrame, alt: str = "T") -> DataFrame:
-    """mut, bias: log likelihood of alt reads kept to few cells: sum over cells of a ln(a / (A n / N)), by A; 0 without alt reads."""
-    per = reads.groupBy("mut", "cell").agg(F.count_if(F.col("base") == alt).alias("a"), F.count("*").alias("n"))
-    w = Window.partitionBy("mut")
-    per = per.withColumn("sa", F.sum("a").over(w)).withColumn("sn", F.sum("n").over(w))
-    return per.groupBy("mut").agg(F.expr("coalesce(sum(CASE WHEN a > 0 THEN a * ln(a * sn / (cast(sa AS double) * n)) / sa END), 0D)").alias("bias"))
-
-
-def variant_distance(reads: DataFrame, alt: str = "T") -> DataFrame:
-    """mut, distance: mean absolute difference of an alt read's place from the mean place of alt reads; null without."""
-    w = Window.partitionBy("mut")
-    rows = reads.where(F.col("base") == alt).select("mut", F.abs(F.col("place") - F.avg("place").over(w)).alias("d"))
-    return rows.groupBy("mut").agg(F.avg("d").alias("distance"))
+    """mut, bias: log odds of the alt reads of one sample under a variant of frequency one half against none, null without alt reads."""
+    per = reads.groupBy("mut").agg(F.count_if(F.col("base") == alt).alias("a"))
+    real = "(ln(0.5D) + a * ln(2D) - a)"  # against 0, the logarithm of 2 (1 - 0.5)
+    return per.select("mut", F.expr(f"CASE WHEN a > 0 THEN ln(0.5D) + greatest(0D, {real}) + ln(1 + exp(-abs({real}))) END").alias("bias"))
+
+
+# Depth, scale and shift fitted to reads of a hundred bases
+DISTANCE_BIAS = (
+    (3, 0.079, 18), (4, 0.09, 19.8), (5, 0.1, 20.5), (6, 0.11, 21.5), (7, 0.125, 21.6), (8, 0.135, 22), (9, 0.14, 22.2), (10, 0.153, 22.3),
+    (15, 0.19, 22.8), (20, 0.22, 23.2), (30, 0.26, 23.4), (40, 0.29, 23.5), (50, 0.35, 23.65), (100, 0.5, 23.7), (200, 0.7, 23.7),
+)
+
+
+def distance_terms(reads: DataFrame, alt: str = "T") -> DataFrame:
+    """mut, depth, distance, scale, shift: alt reads, the mean absolute difference of their places from the mean place, and the parameters of that
+    depth: those of an equal one, the mean of the two around it, the last from 200 on; null below 3."""
+    per = reads.where(F.col("base") == alt).groupBy("mut", "place").agg(F.count("*").alias("n"))
+    mean = per.groupBy("mut").agg(F.sum("n").alias("depth"), F.expr("sum(n * place) / sum(n)").alias("mean"))
+    out = per.join(mean, "mut").groupBy("mut", "depth").agg(F.expr("sum(n * abs(place - mean)) / sum(n)").alias("distance"))
+    for k, name in ((1, "scale"), (2, "shift")):
+        cases, before = [], None
+        for row in DISTANCE_BIAS:
+            cases.append(f"WHEN depth = {row[0]} THEN {row[k]}D" + (f" WHEN depth < {row[0]} THEN ({before[k]}D + {row[k]}D) * 0.5D" if before else ""))
+            before = row
+        out = out.withColumn(name, F.expr(f"CASE WHEN depth < 3 THEN NULL {' '.join(cases)} ELSE {before[k]}D END"))
+    return out
+
+
+def variant_distance(reads: DataFrame, alt: str = "T", length: int = 120) -> DataFrame:
+    """mut, bias: how likely alt reads lie this close together: 0.5 erfc(-(distance - shift) scale); of two reads exactly, by the whole
+    part of their distance; infinite below two. The error function has no SQL form; it sees one row a mutation."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def erfc(x: pd.Series) -> pd.Series:
+        from math import erfc as one
+
+        return x.map(lambda v: one(v) if v == v else float("nan"))
+
+    two = f"(2 * {length} - 2 * (floor(distance) + 1) - 1) * (floor(distance) + 1) / {length - 1}D / {length * 0.5}D"
+    wide = distance_terms(reads, alt).withColumn("e", erfc(F.expr("-(distance - shift) * scale")))
+    return wide.select("mut", F.expr(f"CASE WHEN depth < 2 THEN double('inf') WHEN depth = 2 THEN {two} ELSE 0.5D * e END").alias("bias"))
+
+
+def rank_bias(reads: DataFrame, value: str = "place", ref: str = "A", alt: str = "T") -> DataFrame:
+    """mut, z: Mann-Whitney z of the values of ref reads against those of alt reads, variance with ties; infinite where either is missing,
+    0 where nothing varies."""
+    bins = reads.groupBy("mut", F.col(value).alias("v")).agg(F.count_if(F.col("base") == ref).alias("a"), F.count_if(F.col("base") == alt).alias("b"))
+    above = Window.partitionBy("mut").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("above", F.coalesce(F.sum("b").over(above), F.lit(0)))
+    per = bins.groupBy("mut").agg(F.expr("sum(a * above + 0.5D * a * b)").alias("u"), F.expr("cast(sum(a) AS double)").alias("na"), F.expr("cast(sum(b) AS double)").alias("nb"), F.expr("cast(sum(((a + b) * (a + b) - 1) * (a + b)) AS double)").alias("t"))
+    per = per.withColumn("var", F.expr("try_divide(na * nb, 12) * ((na + nb + 1) - try_divide(t, (na + nb) * (na + nb - 1)))"))
+    return per.select("mut", F.expr("CASE WHEN na = 0 OR nb = 0 THEN double('inf') WHEN var <= 0 THEN 0D ELSE (u - na * nb / 2) / sqrt(var) END").alias("z"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components
+
 LOW, FRACTION, CELLS = 0.08, 0.5, 1  # least Jaccard; else least fraction of either; least shared cells
 
 
@@ -146,22 +148,9 @@ def hubs(weights: DataFrame, groups: DataFrame, quantile: float = 0.75) -> DataF
     return full.crossJoin(F.broadcast(cut)).where("degree > cut").select("grp", "degree")
 
 
-def components_of(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """mut, label: connected components of pairs u, v among mutations, as a recursive query (mutations are few)."""
-    from pyspark.sql import SparkSession
-
-    spark = pairs.sparkSession
-    assert isinstance(spark, SparkSession)
-    both = neighbours(pairs)
-    label = both.select("r").distinct().withColumn("label", F.col("r"))
-    for _ in range(rounds):
-        rows = both.join(label.toDF("mut", "far"), "mut").groupBy("r").agg(F.min("far").alias("far"))
-        new = label.join(rows, "r").select("r", F.least("label", "far").alias("label"))
-        got, was = ({x[0]: x[1] for x in f.collect()} for f in (new, label))  # one row a mutation
-        if got == was:
-            break
-        label = spark.createDataFrame(sorted(got.items()), "r long, label long")
-    return label.withColumnRenamed("r", "mut")
+def components_of(pairs: DataFrame) -> DataFrame:
+    """mut, label: connected components of pairs u, v among mutations, the label being the least of each."""
+    return components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("mut"), "label")
 
 
 def backbone_support(geno: DataFrame, groups: DataFrame, backbone: DataFrame) -> DataFrame:

@@ -34,51 +34,94 @@ def count_distribution(mut: np.ndarray, unmut: np.ndarray) -> np.ndarray:
     return dp
 
 
-def best_count(mut: np.ndarray, unmut: np.ndarray) -> tuple[int, float, list[int]]:
-    """The likeliest number of carriers, its log probability, and the carriers of the likeliest single assignment of that number."""
-    dp = count_distribution(mut, unmut)
-    k = int(np.argmax(dp))
-    gain = mut - unmut
-    return k, float(dp[k]), sorted(np.argsort(-gain, kind="stable")[:k].tolist())
-
-
-def at_least(mut: np.ndarray, unmut: np.ndarray, n: int) -> float:
-    """log P(n or more cells carry it)."""
-    tail = count_distribution(mut, unmut)[n:]
-    return float(np.logaddexp.reduce(tail)) if len(tail) else -np.inf
+def likeliest(mut: np.ndarray, unmut: np.ndarray, counts: range) -> tuple[int, float, list[int]]:
+    """Of the numbers of carriers in counts the likeliest (the least of equal ones), its log probability, and the carriers, traced back: an item is one
+    where the probability of all ways with it is no less than of all ways without."""
+    n = len(mut)
+    dp, without = np.zeros(1), np.zeros((n, n + 1), bool)
+    for i, (a, b) in enumerate(zip(mut, unmut)):
+        no, yes = np.append(dp + b, -np.inf), np.append(-np.inf, dp + a)
+        without[i, : i + 2] = no > yes
+        dp = np.logaddexp(no, yes)
+    some = [k for k in counts if k <= n]
+    if not some:
+        return 0, -np.inf, []
+    best = some[int(np.argmax(dp[some]))]
+    carriers, k = [], best
+    for i in range(n - 1, -1, -1):
+        if k and not without[i, k]:
+            carriers.append(i)
+            k -= 1
+    return best, float(dp[best]), carriers[::-1]
 
 
-def cluster_exists(mut: np.ndarray, unmut: np.ndarray) -> tuple[float, float]:
-    """(log P(some cell of a cluster carries it), log P(none))."""
-    none = float(unmut.sum())
-    return (float(np.log1p(-np.exp(min(none, -1e-300)))) if len(unmut) else -np.inf), none
+def best_count(mut: np.ndarray, unmut: np.ndarray) -> tuple[int, float, list[int]]:
+    """The likeliest number of carriers, its log probability, and the carriers."""
+    return likeliest(mut, unmut, range(len(mut) + 1))
 
 
-def clusters_carry(clusters: list[np.ndarray], mut: np.ndarray, unmut: np.ndarray, most: int | None = None, least: int = 2) -> float:
-    """log P(at least `least`, at most `most` of disjoint clusters have a carrier)."""
-    dp = np.zeros(1)
-    for c in clusters:
-        some, none = cluster_exists(mut[c], unmut[c])
-        grown = np.full(len(dp) + 1, -np.inf)
-        grown[:-1] = dp + none
-        grown[1:] = np.logaddexp(grown[1:], dp + some)
-        dp = grown
-    part = dp[least : None if most is None else most + 1]
-    return float(np.logaddexp.reduce(part)) if len(part) else -np.inf
+def total(x: np.ndarray) -> float:
+    return float(np.logaddexp.reduce(x)) if len(x) else -np.inf
 
 
-def site_posterior(mut: np.ndarray, unmut: np.ndarray, clusters: list[np.ndarray], internal: int) -> dict[str, float]:
-    """somatic, artifact, germline shares, one prior 1 / nodes for each: artifact, no cell carries it; germline, all do; somatic, the cells
-    of a cluster, or of several clusters under an internal node."""
-    nodes = max(1, len(clusters) + internal)
-    some = [cluster_exists(mut[c], unmut[c])[0] + float(unmut.sum() - unmut[c].sum()) for c in clusters]
-    if len(clusters) > 1 and internal:
-        some.append(clusters_carry(clusters, mut, unmut) + np.log(internal))
-    somatic = float(np.logaddexp.reduce(some)) - np.log(nodes) if some else -np.inf
-    values = np.array([somatic, float(unmut.sum()), float(mut.sum())])
-    values[1:] -= np.log(nodes)
-    p = np.exp(values - np.logaddexp.reduce(values))
-    return {"somatic": float(p[0]), "artifact": float(p[1]), "germline": float(p[2])}
+def at_least(mut: np.ndarray, unmut: np.ndarray, n: int) -> float:
+    """log P(n or more cells carry it)."""
+    return total(count_distribution(mut, unmut)[n:])
+
+
+def late(mut: np.ndarray, unmut: np.ndarray, leaf: np.ndarray) -> dict:
+    """A leaf's cells (indices): log P that some of them carry the mutation and no others; of the likeliest number of them, its cells; that one does."""
+    rest = float(unmut.sum() - unmut[leaf].sum())
+    dp = count_distribution(mut[leaf], unmut[leaf])
+    _, best, cells = best_count(mut[leaf], unmut[leaf])
+    return {"p": rest + total(dp[1:]), "best": rest + best, "cells": leaf[cells], "one": rest + float(dp[1]) if len(dp) > 1 else -np.inf}
+
+
+def _clusters(mut, unmut, clusters, counts: range) -> tuple[np.ndarray, float, np.ndarray]:
+    """Whole clusters carry or don't: log P of each number of them; of the likeliest in counts, its cells."""
+    a, b = (np.array([x[c].sum() for c in clusters]) for x in (mut, unmut))
+    _, best, chosen = likeliest(a, b, counts)
+    cells = np.unique(np.concatenate([clusters[i] for i in chosen])) if chosen else np.zeros(0, np.int64)
+    return count_distribution(a, b), best, cells
+
+
+def internal(mut: np.ndarray, unmut: np.ndarray, node: np.ndarray, clusters: list[np.ndarray]) -> dict | None:
+    """A node whose cells some of the clusters share in part: log P that two or more of these carry the mutation. Cells of none of them don't, which
+    counts once for every cluster, as published. One such cluster: the node's cells carry it and no others. None: no result."""
+    inside = [c for c in clusters if 0 < len(np.intersect1d(c, node)) < len(node)]
+    if not inside:
+        return None
+    if len(inside) == 1:
+        p = float(mut[node].sum() + unmut.sum() - unmut[node].sum())
+        return {"p": p, "best": p, "cells": inside[0]}
+    rest = float(unmut[np.setdiff1d(np.arange(len(unmut)), np.concatenate(inside))].sum()) * len(inside)
+    dp, best, cells = _clusters(mut, unmut, inside, range(2, len(inside) + 1))
+    return {"p": rest + total(dp[2:]), "best": rest + best, "cells": cells}
+
+
+def early(mut: np.ndarray, unmut: np.ndarray, pivots: list[np.ndarray]) -> dict:
+    """Pivot clusters: log P that two or more but not all carry the mutation; nothing for two or fewer."""
+    if len(pivots) <= 2:
+        return {"p": -np.inf, "best": -np.inf, "cells": np.zeros(0, np.int64)}
+    dp, best, cells = _clusters(mut, unmut, pivots, range(2, len(pivots)))
+    return {"p": total(dp[2:-1]), "best": best, "cells": cells}
+
+
+def site_posterior(mut: np.ndarray, unmut: np.ndarray, leaves: list[np.ndarray], internals: list[np.ndarray], pivots: list[np.ndarray]) -> dict:
+    """somatic, artifact (no cell carries it), germline (all do), adding up to 1; one_cell and best, the part of the likeliest place; place (late,
+    internal, early or none) and cells there. Clusters are arrays of cells. The prior is 1 / nodes, nodes being the leaves' cells and the internal nodes."""
+    nodes = sum(map(len, leaves)) + len(internals)
+    clusters = [*leaves, *internals, *pivots]
+    places = [("late", late(mut, unmut, c)) for c in leaves]
+    places += [("internal", x) for c in internals if (x := internal(mut, unmut, c, clusters)) is not None]
+    places.append(("early" if len(pivots) > 2 else "none", early(mut, unmut, pivots)))
+    prior = -np.log(nodes) if nodes else -np.inf
+    somatic = total(np.array([x["p"] for _, x in places])) + prior
+    z = total(np.array([somatic, unmut.sum(), mut.sum()]))
+    place, top = max(places, key=lambda x: x[1]["best"])
+    share = lambda x: float(np.exp(x - z))
+    one = total(np.array([x["one"] for k, x in places if k == "late"])) + prior
+    return {"somatic": share(somatic), "artifact": share(unmut.sum()), "germline": share(mut.sum()), "one_cell": share(one), "best": share(top["best"] + prior), "place": place, "cells": top["cells"]}
 
 
 # ------------------------------------------------------------------ on Spark
@@ -116,18 +159,24 @@ def carrier_counts(likelihoods: DataFrame) -> DataFrame:
     return likelihoods.select("cell", "mut", "ll_mut", "ll_unmut").groupBy("mut").applyInPandas(one, "mut long, cells long, carriers long, log_p double, p_none double, p_one double, p_two double")
 
 
-def site_posteriors(likelihoods: DataFrame, clusters: DataFrame, internal: int = 1) -> DataFrame:
-    """mut, somatic, artifact, germline, label; clusters: cell, cluster (disjoint, as leaf sets)."""
+def site_posteriors(likelihoods: DataFrame, clusters: DataFrame) -> DataFrame:
+    """mut, somatic, artifact, germline, one_cell, best, place, n_cells, label of each site; clusters: cell, cluster, kind (leaf, internal or pivot), a cell
+    in any number of them. Cells without a likelihood are left out. A site's group holds its covered cells, once for each of their clusters."""
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["ll_mut", "ll_unmut"]).sort_values("cell").reset_index(drop=True)
-        a, b = normalised(pdf.ll_mut.to_numpy(float), pdf.ll_unmut.to_numpy(float))
-        groups = [np.array(ix) for c, ix in sorted(pdf.groupby("cluster").indices.items())]
-        p = site_posterior(a, b, groups, internal)
+        pdf = pdf.dropna(subset=["ll_mut", "ll_unmut"])
+        cells = pdf.drop_duplicates("cell").sort_values("cell")
+        a, b = cells.ll_mut.to_numpy(float), cells.ll_unmut.to_numpy(float)
+        at = np.searchsorted(cells.cell.to_numpy(), pdf.cell.to_numpy())
+        of = {"leaf": [], "internal": [], "pivot": []}
+        for (kind, _), rows in sorted(pdf.assign(at=at).groupby(["kind", "cluster"])):
+            of[kind].append(np.sort(rows["at"].to_numpy()))
+        p = site_posterior(a, b, of["leaf"], of["internal"], of["pivot"])
         carriers = int((a > b).sum())
         label = "cell_specific" if carriers == 1 else "absent" if carriers == 0 else "successful_pass" if p["somatic"] >= 0.9 else "failed_pass"
-        return pd.DataFrame([(key[0], p["somatic"], p["artifact"], p["germline"], label)], columns=["mut", "somatic", "artifact", "germline", "label"])
+        row = (key[0], *(p[k] for k in ("somatic", "artifact", "germline", "one_cell", "best", "place")), len(p["cells"]), label)
+        return pd.DataFrame([row], columns=["mut", "somatic", "artifact", "germline", "one_cell", "best", "place", "n_cells", "label"])
 
     ship(likelihoods.sparkSession)
-    rows = likelihoods.join(clusters, "cell").select("cell", "mut", "ll_mut", "ll_unmut", "cluster")
-    return rows.groupBy("mut").applyInPandas(one, "mut long, somatic double, artifact double, germline double, label string")
+    rows = likelihoods.join(clusters, "cell", "left").select("cell", "mut", "ll_mut", "ll_unmut", "cluster", "kind")
+    return rows.groupBy("mut").applyInPandas(one, "mut long, somatic double, artifact double, germline double, one_cell double, best double, place string, n_cells long, label string")

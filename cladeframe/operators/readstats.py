@@ -19,36 +19,70 @@ def umi_base_counts(reads: DataFrame) -> DataFrame:
 
 
 def umi_likelihood(reads: DataFrame, pcr: float = 1e-6, cycles: int = 100, weight: float = 0.5) -> DataFrame:
-    """cell, umi, mut, base, likelihood, quality: for each base the likelihood of a UMI's reads, sequencing error by read quality mixed with
-    the error of all PCR cycles, normalised over the four bases and phred scaled (at most 60)."""
-    error = f"({1 - weight}D * pow(10D, -qual / 10D) + {weight}D * {1 - (1 - pcr) ** cycles!r}D)"
-    row = reads.select("cell", "umi", "mut", F.col("base").alias("seen"), F.expr(f"least({error}, 0.75D)").alias("e"))
-    terms = [F.sum(F.expr(f"CASE WHEN seen = '{b}' THEN ln(1 - e) ELSE ln(e / 3) END")).alias(b) for b in BASES]
-    wide = row.groupBy("cell", "umi", "mut").agg(*terms, F.count("*").alias("reads"))
-    top = "greatest(A, T, C, G)"
-    wide = wide.withColumn("z", F.expr(f"{top} + ln(exp(A - {top}) + exp(T - {top}) + exp(C - {top}) + exp(G - {top}))"))
-    long = wide.select("cell", "umi", "mut", "reads", F.explode(F.expr("array(" + ", ".join(f"struct('{b}' AS base, {b} - z AS l)" for b in BASES) + ")")).alias("x"))
-    return long.select("cell", "umi", "mut", "reads", F.col("x.base").alias("base"), F.exp("x.l").alias("likelihood"), F.expr("least(60D, -10 * log10(greatest(1 - exp(x.l), 1e-6D)))").alias("quality"))
-
-
-def umi_consensus(reads: DataFrame) -> DataFrame:
-    """cell, umi, mut, base: the likeliest base of each UMI, the least of equal ones."""
-    likely = umi_likelihood(reads)
-    w = Window.partitionBy("cell", "umi", "mut").orderBy(F.desc(F.round("likelihood", 9)), "base")
-    return likely.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("cell", "umi", "mut", "base", "reads")
+    """cell, umi, mut, reads, base, n, likelihood, quality: the four bases of each UMI.
+
+    A base that is read has `weight` of the chance that no cycle of PCR erred and all sequencing errors are those of the other
+    bases' reads, and the rest of the chance that all reads are right and PCR made them differ: 10^(-6 (n + 0.5) / (reads + 2)) of a base
+    with n reads, the least of the others'. A base that isn't read: all reads are right and PCR made every other base. The
+    likelihood is normalised over the bases; quality is its phred score, rounded up, 40 where it is 1.
+    """
+    right = "(1 - pow(10D, -qual / 10D))"
+    product = lambda x, c: f"CASE WHEN count_if(({c}) AND {x} <= 0) > 0 THEN 0D ELSE exp(coalesce(sum(CASE WHEN ({c}) AND {x} > 0 THEN ln({x}) END), 0D)) END"
+    wide = reads.groupBy("cell", "umi", "mut").agg(
+        F.count("*").alias("reads"), *[F.count_if(F.col("base") == b).alias(f"n{b}") for b in BASES],
+        *[F.expr(f"({product(right, f'base = {b!r}')}) * ({product(f'(1 - {right})', f'base <> {b!r}')})").alias(f"own{b}") for b in BASES], F.expr(product(right, "true")).alias("right"),
+    )
+    for b in BASES:
+        wide = wide.withColumn(f"p{b}", F.expr(f"pow(10D, -6D * (n{b} + 0.5D) / (reads + 2D))"))
+    for b in BASES:
+        others = [f"p{x}" for x in BASES if x != b]
+        seen = f"{weight}D * {(1 - pcr) ** cycles!r}D * own{b} + {1 - weight}D * right * least({', '.join(others)})"
+        wide = wide.withColumn(f"l{b}", F.expr(f"CASE WHEN n{b} > 0 THEN {seen} ELSE right * {' * '.join(others)} END"))
+    wide = wide.withColumn("z", F.expr(" + ".join(f"l{b}" for b in BASES)))
+    long = wide.select("cell", "umi", "mut", "reads", "z", F.explode(F.expr("array(" + ", ".join(f"struct({k} AS k, '{b}' AS base, n{b} AS n, l{b} AS l)" for k, b in enumerate(BASES)) + ")")).alias("x"))
+    long = long.select("cell", "umi", "mut", "reads", "x.k", "x.base", "x.n", F.expr("CASE WHEN z > 0 THEN x.l / z END").alias("likelihood"))
+    return long.withColumn("quality", F.expr("CASE WHEN likelihood IS NULL THEN 0 WHEN likelihood = 1 THEN 40 ELSE cast(ceil(round(-10 * log10(1 - likelihood), 9)) AS int) END"))
+
+
+def umi_consensus(reads: DataFrame, ref: str = "A") -> DataFrame:
+    """cell, umi, mut, base, quality, reads: the base of the best quality of each UMI: ref among equal ones, else the first of A, T, C, G."""
+    best = F.expr(f"max_by(struct(base, quality), struct(quality, base = '{ref}', -k))")
+    return umi_likelihood(reads).groupBy("cell", "umi", "mut").agg(best.alias("x"), F.first("reads").alias("reads")).select("cell", "umi", "mut", "x.base", "x.quality", "reads")
+
+
+def bulk_consensus(reads: DataFrame, ref: str = "A") -> DataFrame:
+    """mut, base, spots, consensus, qualities, raw of the four bases: cells, UMIs whose consensus the base is, their qualities (quality:count by
+    quality, comma-joined; NA without), and reads."""
+    by = umi_consensus(reads, ref).groupBy("mut", "base", "quality").agg(F.count("*").alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("quality", "n"))), lambda x: F.concat_ws(":", x["quality"].cast("string"), x["n"].cast("string"))), ",")
+    called = by.groupBy("mut", "base").agg(F.sum("n").alias("consensus"), text.alias("qualities"))
+    per_cell = reads.groupBy("mut", "cell").agg(*[F.count_if(F.col("base") == b).alias(b) for b in BASES])
+    raw = per_cell.groupBy("mut").agg(F.count("*").alias("spots"), *[F.sum(b).alias(b) for b in BASES])
+    raw = raw.select("mut", "spots", F.expr(f"stack({len(BASES)}, " + ", ".join(f"'{b}', {b}" for b in BASES) + ") AS (base, raw)"))
+    return raw.join(called, ["mut", "base"], "left").select("mut", "base", "spots", F.coalesce("consensus", F.lit(0)).alias("consensus"), F.coalesce("qualities", F.lit("NA")).alias("qualities"), "raw")
 
 
 def bulk_quality(reads: DataFrame) -> DataFrame:
-    """mut, base, n, mean_quality, histogram (quality:count sorted, comma-joined)."""
+    """mut, base, n, mean_quality, histogram (quality:count sorted, comma-joined) of the reads themselves."""
     by = reads.groupBy("mut", "base", "qual").agg(F.count("*").alias("n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("qual", "n"))), lambda x: F.concat_ws(":", x["qual"].cast("string"), x["n"].cast("string"))), ",")
     return by.groupBy("mut", "base").agg(F.sum("n").alias("reads"), F.expr("sum(qual * n) / sum(n)").alias("mean_quality"), text.alias("histogram"))
 
 
-def error_counts(reads: DataFrame, ref: str = "A", alt: str = "T", least: int = 2) -> DataFrame:
-    """mut, pcr, lysis: UMIs with both bases and at least `least` reads of the alt; UMIs of more than `least` reads, all of the alt."""
-    per = reads.groupBy("mut", "cell", "umi").agg(F.count_if(F.col("base") == ref).alias("r"), F.count_if(F.col("base") == alt).alias("a"), F.count("*").alias("n"))
-    return per.groupBy("mut").agg(F.count_if(F.expr(f"r > 0 AND a >= {least}")).alias("pcr"), F.count_if(F.expr(f"a = n AND n > {least}")).alias("lysis"))
+def error_counts(reads: DataFrame, ref: str = "A", least: int = 3) -> DataFrame:
+    """mut, reads, umis, pcr, pcr_alts, lysis, lysis_alt. pcr: UMIs with several bases and `least` reads or more of one that isn't ref; pcr_alts: those
+    bases, comma-joined, '.' without. lysis: UMIs of more than `least` reads, all of one base that isn't ref; lysis_alt: that base if
+    there is one such UMI, else '.'."""
+    other = [b for b in BASES if b != ref]
+    per = reads.groupBy("mut", "cell", "umi").agg(F.count("*").alias("n"), *[F.count_if(F.col("base") == b).alias(b) for b in BASES])
+    per = per.withColumn("many", F.expr("filter(array(" + ", ".join(f"CASE WHEN {b} >= {least} THEN '{b}' END" for b in other) + "), x -> x IS NOT NULL)"))
+    per = per.withColumn("is_pcr", F.expr(f"size(many) > 0 AND {' + '.join(f'cast({b} > 0 AS int)' for b in BASES)} > 1"))
+    per = per.withColumn("lone", F.expr(f"CASE WHEN n > {least} THEN CASE {' '.join(f'WHEN {b} = n THEN {b!r}' for b in other)} END END"))
+    out = per.groupBy("mut").agg(
+        F.sum("n").alias("reads"), F.count("*").alias("umis"), F.count_if("is_pcr").alias("pcr"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.expr("CASE WHEN is_pcr THEN many END"))))), ",").alias("pcr_alts"),
+        F.count("lone").alias("lysis"), F.min("lone").alias("lysis_alt"),
+    )
+    return out.withColumn("pcr_alts", F.expr("CASE WHEN pcr_alts = '' THEN '.' ELSE pcr_alts END")).withColumn("lysis_alt", F.expr("CASE WHEN lysis = 1 THEN lysis_alt ELSE '.' END"))
 
 
 def umi_consistency(reads: DataFrame, alt: str = "T", soft: float = 0.75) -> DataFrame:

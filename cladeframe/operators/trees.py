@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.session import keep
+
 ROOT = 0
 
 
-def closure(tree: DataFrame, deepest: int = 512) -> DataFrame:
-    """node, ancestor, depth: every node with itself (0) and all its ancestors, the root among them. Doubles path lengths each round, so
-    a tree of depth d takes log2(d) joins; trees have a row a mutation."""
+def closure(tree: DataFrame) -> DataFrame:
+    """node, ancestor, depth: every node with itself (0) and all its ancestors, the root among them. Path lengths double each round, and
+    each round is a table, so a tree of depth d takes log2(d) joins of plans that don't grow. A circle raises."""
     step = tree.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    paths, length = step, 1
-    while length < deepest:
-        far = paths.where(F.col("depth") == length).select(F.col("node").alias("m"), F.col("ancestor").alias("x"))
-        hop = paths.where(f"depth = {length}")
+    found, length = [keep(step, "closure")], 1
+    nodes = found[0].count()
+    while length <= 2 * nodes:
+        paths = reduce(DataFrame.unionByName, found)
+        hop = found[-1].where(f"depth = {length}")
         rest = paths.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("depth").alias("more"))
-        longer = hop.join(rest, "ancestor").select("node", F.col("top").alias("ancestor"), F.expr(f"{length} + more").cast("int").alias("depth"))
-        del far
+        longer = keep(hop.join(rest, "ancestor").select("node", F.col("top").alias("ancestor"), F.expr(f"{length} + more").cast("int").alias("depth")), "closure")
         if not longer.limit(1).count():
-            break
-        paths = paths.unionByName(longer)
+            own = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+            return reduce(DataFrame.unionByName, found, own)
+        found.append(longer)
         length *= 2
-    own = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    return own.unionByName(paths)
+    if not nodes:
+        return step
+    raise ValueError("closure: nodes in a circle")
 
 
 def depths(tree: DataFrame) -> DataFrame:
@@ -147,15 +153,16 @@ OMEGA = "CASE WHEN r > 0.8 THEN 0.9D * {w} WHEN r > 0.6 THEN 0.7D * {w} WHEN r >
 
 
 def dynamic_weights(rows: DataFrame, omega: float = 0.001, fnfp: float = 1.0, phi: float = 1.0) -> DataFrame:
-    """omega and phi of candidates (na1, na0, fp, fn, kind, ones, missing, cells, nodes).
+    """omega and phi of candidates (na1, na0, kind, ones, missing, cells, nodes).
 
-    omega follows the share of missing states turned to 1. phi shrinks by missing and mutant shares, changes with flips and kind and with
-    trees of over 20 nodes; never below 0.1."""
+    Both follow the share r of missing states turned to 1. phi shrinks where many states are missing and few mutant; where r is large it
+    shrinks for new nodes and grows for others; new nodes in trees of over 20 nodes get 0.9 of it; never below 0.1."""
     r = rows.withColumn("r", F.expr("coalesce(try_divide(na1, na1 + na0), 0D)"))
     r = r.withColumn("omega", F.expr(OMEGA.format(w=f"{fnfp}D", o=f"{omega}D")))
-    a = "CASE WHEN missing / cells > 0.8 AND ones / cells < 0.05 THEN 0.3D WHEN missing / cells > 0.5 THEN 0.6D ELSE 1D END"
-    b = "CASE WHEN fp + fn = 0 THEN CASE WHEN kind = 'on_node' THEN 0.8D ELSE 0.9D END WHEN fp + fn > 0.5 * ones THEN CASE WHEN kind = 'new_leaf' THEN 1.2D ELSE 1.1D END ELSE 1D END"
-    c = "CASE WHEN nodes > 20 THEN 0.9D ELSE 1D END"
+    new = "kind IN ('new_leaf', 'on_edge')"
+    a = "CASE WHEN missing / cells > 0.7 AND ones / cells < 0.1 THEN 0.3D WHEN missing / cells > 0.5 AND ones / cells < 0.2 THEN 0.6D ELSE 1D END"
+    b = f"CASE WHEN r > 0.4 THEN CASE WHEN {new} THEN 0.8D ELSE 1.2D END WHEN r > 0.2 THEN CASE WHEN {new} THEN 0.9D ELSE 1.1D END ELSE 1D END"
+    c = f"CASE WHEN nodes > 20 AND {new} THEN 0.9D ELSE 1D END"
     return r.withColumn("phi", F.expr(f"greatest(0.1D, {phi}D * ({a}) * ({b}) * ({c}))")).drop("r")
 
 

@@ -1,6 +1,6 @@
 """Inputs of the registered queries, derived from the driver's tables, and the same as SQL for DuckDB.
 
-obs     one row per covered (cell, mut): total reads, alt reads, p and vaf (both alt / total)
+obs     one row per covered (cell, mut): total reads, alt reads, vaf (alt / total), p (a posterior: (alt + 1) / (total + 2))
 geno    obs with the genotype as state
 dense   all cells x muts, state null where not covered
 cells   cell, cell_type
@@ -24,7 +24,7 @@ def obs(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").where("l_quantity <= 10").select("l_orderkey", F.expr(f"l_partkey % {MUTS}").cast("long").alias("mut"), "l_discount")
     rows = line.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     out = rows.groupBy(F.col("o_custkey").cast("long").alias("cell"), "mut").agg(F.count("*").alias("total"), F.sum(F.expr("CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END")).alias("alt"))
-    return out.withColumn("p", F.expr("alt / total")).withColumn("vaf", F.expr("alt / total"))
+    return out.withColumn("p", F.expr("(alt + 1D) / (total + 2D)")).withColumn("vaf", F.expr("alt / total"))
 
 
 def geno(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ ENTRIES = ("3/9", "0/0", "9/3", "NA", ".", "", "5", "0.25", "3:9", "3 9", "2.0/4
 
 SQL = f"""obs AS (SELECT o_custkey::BIGINT AS cell, (l_partkey % {MUTS})::BIGINT AS mut, count(*)::BIGINT AS total,
    sum(CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END)::BIGINT AS alt,
-   sum(CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END)::DOUBLE / count(*) AS p, sum(CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END)::DOUBLE / count(*) AS vaf
+   (sum(CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END) + 1)::DOUBLE / (count(*) + 2) AS p, sum(CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END)::DOUBLE / count(*) AS vaf
    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <= 10 GROUP BY 1, 2),
 geno AS (SELECT cell, mut, CASE WHEN alt > 0 THEN 1 ELSE 0 END AS state FROM obs),
 cells AS (SELECT DISTINCT cell, (cell % 5)::INT AS cell_type FROM obs),

@@ -12,7 +12,7 @@ from .registry import query
 
 @query("g01_consensus_clones")
 def g01c(s, d):
-    return growth.consensus_clones(fx.geno(s, d), runs=20).select(F.expr("array_join(transform(members, x -> cast(x AS string)), '|')").alias("members"), "weight")
+    return growth.consensus_clones(fx.geno(s, d), runs=100).select(F.expr("array_join(transform(members, x -> cast(x AS string)), '|')").alias("members"), "weight")
 
 
 @query("g03_communities")
@@ -24,6 +24,6 @@ def g03(s, d):
 @query("tree_growth")
 def tree_growth(s, d):
     """The imputed matrix of a grown tree over all cells."""
-    result, matrix = growth.scaffold(fx.geno(s, d), runs=10)
+    result, matrix = growth.scaffold(fx.geno(s, d), runs=100)
     result = growth.full_tree(result, matrix)
     return growth.as_frames(s, result, matrix)[0]

@@ -550,14 +550,14 @@ def x02(s, d):
     return fx.geno(s, d).unionByName(new)
 
 
-@query("x03_equal_columns", "SELECT string_agg(mut::VARCHAR, '|' ORDER BY mut) AS node, count(*)::INT AS n FROM (SELECT mut, list_sort(list(cell)) AS s FROM geno WHERE state = 1 AND cell % 100 = 1 GROUP BY mut) GROUP BY s")
+@query("x03_equal_columns", "SELECT string_agg(mut::VARCHAR, '|' ORDER BY mut) AS node, count(*)::INT AS n FROM (SELECT mut, list_sort(list(cell)) AS s FROM geno WHERE state = 1 GROUP BY mut) GROUP BY s")
 def x03(s, d):
-    return matrix.equal_columns(fx.geno(s, d).where("cell % 100 = 1"))
+    return matrix.equal_columns(fx.geno(s, d))
 
 
-@query("k05_metric_lists", "SELECT mut, string_agg(cell::VARCHAR, ',' ORDER BY cell) AS cells, count(*) AS n FROM geno WHERE state = 1 AND cell % 10 = 0 GROUP BY mut")
+@query("k05_metric_lists", "SELECT mut, string_agg(cell::VARCHAR, ',' ORDER BY cell) AS cells, count(*) AS n FROM geno WHERE state = 1 GROUP BY mut")
 def k05(s, d):
-    rows = fx.geno(s, d).where("state = 1 AND cell % 10 = 0")
+    rows = fx.geno(s, d).where("state = 1")
     return rows.groupBy("mut").agg(F.expr("array_join(transform(array_sort(collect_list(cell)), x -> cast(x AS string)), ',')").alias("cells"), F.count("*").alias("n"))
 
 

@@ -24,29 +24,51 @@ def a16b(s, d):
     return readstats.umi_base_counts(fx.reads(s, d))
 
 
-_UL = (
-    "ul AS (SELECT cell, umi, mut, count(*) AS reads, "
-    + ", ".join(f"sum(CASE WHEN base = '{b}' THEN ln(1 - e) ELSE ln(e / 3) END) AS l{b}" for b in "ATCG")
-    + f" FROM (SELECT *, least(0.5 * pow(10, -qual / 10.0) + 0.5 * {1 - (1 - 1e-6) ** 100!r}, 0.75) AS e FROM reads) GROUP BY ALL), lk AS (SELECT cell, umi, mut, reads, b.base, exp(CASE b.base WHEN 'A' THEN \"lA\" WHEN 'T' THEN \"lT\" WHEN 'C' THEN \"lC\" ELSE \"lG\" END) / (exp(\"lA\") + exp(\"lT\") + exp(\"lC\") + exp(\"lG\")) AS likelihood FROM ul CROSS JOIN (VALUES ('A'), ('T'), ('C'), ('G')) b(base))"
-)
-
-
-@query("t13_umi_likelihood", "SELECT cell, umi, mut, base, round(likelihood, 6) AS likelihood FROM lk WHERE cell % 4 = 0", _UL)
+_RIGHT = "(1 - pow(10, -qual / 10.0))"
+_UL = f"""u0 AS (SELECT cell, umi, mut, base, count(*) AS n, product({_RIGHT}) AS ok, product(1 - {_RIGHT}) AS bad FROM reads GROUP BY ALL),
+u1 AS (SELECT cell, umi, mut, sum(n) AS reads, product(ok) AS allok FROM u0 GROUP BY ALL),
+u2 AS (SELECT u1.*, b.base, b.k, coalesce(u0.n, 0) AS n, u0.ok, pow(10, -6 * (coalesce(u0.n, 0) + 0.5) / (reads + 2)) AS p,
+       coalesce((SELECT product(o.bad) FROM u0 o WHERE o.cell = u1.cell AND o.umi = u1.umi AND o.mut = u1.mut AND o.base <> b.base), 1) AS others
+       FROM u1 CROSS JOIN (VALUES ('A', 0), ('T', 1), ('C', 2), ('G', 3)) b(base, k) LEFT JOIN u0 ON u0.cell = u1.cell AND u0.umi = u1.umi AND u0.mut = u1.mut AND u0.base = b.base),
+u3 AS (SELECT x.*, y.least_p, y.all_p FROM u2 x JOIN (SELECT i.cell, i.umi, i.mut, i.base, min(j.p) AS least_p, product(j.p) AS all_p FROM u2 i JOIN u2 j ON i.cell = j.cell AND i.umi = j.umi AND i.mut = j.mut AND i.base <> j.base GROUP BY ALL) y
+       ON x.cell = y.cell AND x.umi = y.umi AND x.mut = y.mut AND x.base = y.base),
+u4 AS (SELECT *, CASE WHEN n > 0 THEN 0.5 * {(1 - 1e-6) ** 100!r} * ok * others + 0.5 * allok * least_p ELSE allok * all_p END AS l FROM u3),
+u5 AS (SELECT *, l / sum(l) OVER (PARTITION BY cell, umi, mut) AS likelihood FROM u4),
+lk AS (SELECT *, CASE WHEN likelihood = 1 THEN 40 ELSE ceil(round(-10 * log10(1 - likelihood), 9))::INT END AS quality FROM u5),
+uc AS (SELECT cell, umi, mut, base, quality, reads FROM lk QUALIFY row_number() OVER (PARTITION BY cell, umi, mut ORDER BY quality DESC, base <> 'A', k) = 1)"""
+
+
+@query("t13_umi_likelihood", "SELECT cell, umi, mut, base, round(likelihood, 9) AS likelihood, quality FROM lk", _UL)
 def t13(s, d):
-    return readstats.umi_likelihood(fx.reads(s, d).where("cell % 4 = 0")).select("cell", "umi", "mut", "base", F.round("likelihood", 6).alias("likelihood"))
+    return readstats.umi_likelihood(fx.reads(s, d)).select("cell", "umi", "mut", "base", F.round("likelihood", 9).alias("likelihood"), "quality")
 
 
-@query("a17_umi_consensus", "SELECT cell, umi, mut, base, reads FROM (SELECT *, row_number() OVER (PARTITION BY cell, umi, mut ORDER BY round(likelihood, 9) DESC, base) AS r FROM lk) WHERE r = 1", _UL)
+@query("a17_umi_consensus", "SELECT cell, umi, mut, base, quality, reads::BIGINT AS reads FROM uc", _UL)
 def a17(s, d):
     return readstats.umi_consensus(fx.reads(s, d))
 
 
+@query(
+    "a17_bulk_consensus",
+    "SELECT x.mut, x.base, spots, coalesce(consensus, 0)::BIGINT AS consensus, coalesce(qualities, 'NA') AS qualities, raw FROM (SELECT k.mut, b.base, spots, (SELECT count(*) FROM reads r WHERE r.mut = k.mut AND r.base = b.base) AS raw FROM (SELECT mut, count(DISTINCT cell) AS spots FROM reads GROUP BY mut) k CROSS JOIN (VALUES ('A'), ('T'), ('C'), ('G')) b(base)) x LEFT JOIN (SELECT mut, base, sum(n) AS consensus, string_agg(concat(quality, ':', n), ',' ORDER BY quality) AS qualities FROM (SELECT mut, base, quality, count(*) AS n FROM uc GROUP BY ALL) GROUP BY mut, base) y ON x.mut = y.mut AND x.base = y.base",
+    _UL,
+)
+def a17c(s, d):
+    return readstats.bulk_consensus(fx.reads(s, d))
+
+
 @query("a17_bulk_quality", "SELECT mut, base, sum(n)::BIGINT AS reads, round(sum(qual * n) / sum(n)::DOUBLE, 9) AS mean_quality, string_agg(concat(qual, ':', n), ',' ORDER BY qual) AS histogram FROM (SELECT mut, base, qual, count(*) AS n FROM reads GROUP BY ALL) GROUP BY mut, base")
 def a17b(s, d):
     return r9(readstats.bulk_quality(fx.reads(s, d)))
 
 
-@query("a18_error_counts", "SELECT mut, count(*) FILTER (r > 0 AND a >= 1) AS pcr, count(*) FILTER (a = n AND n > 1) AS lysis FROM (SELECT mut, cell, umi, count(*) FILTER (base = 'A') AS r, count(*) FILTER (base = 'T') AS a, count(*) AS n FROM (SELECT *, 0 FROM reads) GROUP BY mut, cell, umi) GROUP BY mut")
+@query(
+    "a18_error_counts",
+    """SELECT mut, sum(n)::BIGINT AS reads, count(*) AS umis, count(*) FILTER (pcr) AS pcr, coalesce((SELECT string_agg(DISTINCT v.base, ',' ORDER BY v.base) FROM e0 v JOIN e1 w USING (mut, cell, umi) WHERE w.pcr AND v.base <> 'A' AND v.n >= 1 AND v.mut = e1.mut), '.') AS pcr_alts,
+ count(lone) AS lysis, CASE WHEN count(lone) = 1 THEN min(lone) ELSE '.' END AS lysis_alt FROM e1 GROUP BY mut""",
+    """e0 AS (SELECT mut, cell, umi, base, count(*) AS n FROM reads GROUP BY ALL),
+e1 AS (SELECT mut, cell, umi, sum(n) AS n, count(*) > 1 AND max(CASE WHEN base <> 'A' THEN n ELSE 0 END) >= 1 AS pcr, CASE WHEN count(*) = 1 AND min(base) <> 'A' AND sum(n) > 1 THEN min(base) END AS lone FROM e0 GROUP BY ALL)""",
+)
 def a18(s, d):
     return readstats.error_counts(fx.reads(s, d), least=1)
 
@@ -97,9 +119,9 @@ def w08(s, d):
     return readstats.best_candidate(fx.reads(s, d))
 
 
-@query("a23_context_counts", "SELECT label, count(mut) AS n FROM (VALUES ('A'), ('C'), ('G'), ('T')) v(label) LEFT JOIN reads ON base = label AND cell % 3 = 0 GROUP BY label")
+@query("a23_context_counts", "SELECT label, count(mut) AS n FROM (VALUES ('A'), ('C'), ('G'), ('T')) v(label) LEFT JOIN reads ON base = label GROUP BY label")
 def a23(s, d):
-    return readstats.context_counts(fx.reads(s, d).where("cell % 3 = 0").select(F.col("base").alias("label")), s.createDataFrame([(b,) for b in "ACGT"], "label string"))
+    return readstats.context_counts(fx.reads(s, d).select(F.col("base").alias("label")), s.createDataFrame([(b,) for b in "ACGT"], "label string"))
 
 
 @query("a38_near_depths", "SELECT site, string_agg(dp::VARCHAR, ',' ORDER BY dp) AS depths, count(*) AS n FROM (SELECT s.site, p.dp FROM sites s CROSS JOIN (VALUES (-200), (-50), (50), (200), (500)) o(o) JOIN (SELECT (p_size % 5)::INT AS chrom, floor(p_retailprice)::INT AS pos, max(p_size) AS dp FROM part GROUP BY 1, 2) p ON p.chrom = s.chrom AND p.pos = s.pos + o.o) GROUP BY site")
@@ -214,14 +236,38 @@ def t11(s, d):
     return T.strand_skew(rows.withColumn("partner", F.expr("concat(substr(label, 1, 1), CASE WHEN label LIKE '%true' THEN 'false' ELSE 'true' END)")))
 
 
-@query("t12_segregation_bias", "SELECT mut, round(coalesce(sum(CASE WHEN a > 0 THEN a * ln(a * sn / (sa * n)) / sa END), 0), 9)::DOUBLE AS bias FROM (SELECT *, sum(a) OVER (PARTITION BY mut)::DOUBLE AS sa, sum(n) OVER (PARTITION BY mut)::DOUBLE AS sn FROM (SELECT mut, cell, count(*) FILTER (base = 'T') AS a, count(*)::DOUBLE AS n FROM reads GROUP BY mut, cell)) GROUP BY mut")
+@query("t12_segregation_bias", "SELECT mut, round(CASE WHEN a > 0 THEN ln(0.5) + CASE WHEN w > 0 THEN w + ln(1 + exp(-w)) ELSE ln(1 + exp(w)) END END, 9) AS bias FROM (SELECT mut, a, ln(0.5) + a * ln(2) - a AS w FROM (SELECT mut, count(*) FILTER (base = 'T') AS a FROM reads GROUP BY mut))")
 def t12(s, d):
     return r9(T.segregation_bias(fx.reads(s, d)))
 
 
-@query("t12_variant_distance", "SELECT mut, round(avg(d), 9) AS distance FROM (SELECT mut, abs(place - avg(place) OVER (PARTITION BY mut)) AS d FROM reads WHERE base = 'T') GROUP BY mut")
+_VALUES = ", ".join(f"({i}, {n}, {a}, {b})" for i, (n, a, b) in enumerate(T.DISTANCE_BIAS))
+
+
+@query(
+    "t12_distance_terms",
+    f"""SELECT mut, depth, round(distance, 9) AS distance, round(CASE WHEN depth >= 200 THEN 0.7 WHEN hi.d = depth THEN hi.a ELSE (lo.a + hi.a) / 2 END, 9)::DOUBLE AS scale, round(CASE WHEN depth >= 200 THEN 23.7 WHEN hi.d = depth THEN hi.b ELSE (lo.b + hi.b) / 2 END, 9)::DOUBLE AS shift
+ FROM (SELECT mut, count(*) AS depth, avg(abs(place - m)) AS distance FROM (SELECT mut, place, avg(place) OVER (PARTITION BY mut) AS m FROM reads WHERE base = 'T') GROUP BY mut) x
+ LEFT JOIN par hi ON x.depth >= 3 AND hi.i = (SELECT min(i) FROM par WHERE d >= x.depth) LEFT JOIN par lo ON lo.i = hi.i - 1""",
+    f"par AS (SELECT * FROM (VALUES {_VALUES}) v(i, d, a, b))",
+)
 def t12b(s, d):
-    return r9(T.variant_distance(fx.reads(s, d)))
+    return r9(T.distance_terms(fx.reads(s, d)))
+
+
+@query("t12_variant_distance")
+def t12c(s, d):
+    return T.variant_distance(fx.reads(s, d))
+
+
+@query(
+    "t12_rank_bias",
+    """SELECT mut, round(CASE WHEN na = 0 OR nb = 0 THEN 'inf'::DOUBLE WHEN na * nb / 12 * ((na + nb + 1) - t / ((na + nb) * (na + nb - 1))) <= 0 THEN 0 ELSE (u - na * nb / 2) / sqrt(na * nb / 12 * ((na + nb + 1) - t / ((na + nb) * (na + nb - 1)))) END, 9) AS z FROM
+ (SELECT mut, sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb, sum(pow(a + b, 3) - (a + b)) AS t, sum(a * (over_ + b / 2.0)) AS u FROM (SELECT x.*, coalesce((SELECT sum(y.b) FROM pl y WHERE y.mut = x.mut AND y.place > x.place), 0) AS over_ FROM pl x) GROUP BY mut)""",
+    "pl AS (SELECT mut, place, count(*) FILTER (base = 'A')::DOUBLE AS a, count(*) FILTER (base = 'T')::DOUBLE AS b FROM reads GROUP BY mut, place)",
+)
+def t12d(s, d):
+    return r9(T.rank_bias(fx.reads(s, d)))
 
 
 @query("t19_iqr_outliers", "SELECT cell, mut, total > (SELECT quantile_cont(total, 0.75) + 1.5 * (quantile_cont(total, 0.75) - quantile_cont(total, 0.25)) FROM obs) OR total < (SELECT quantile_cont(total, 0.25) - 1.5 * (quantile_cont(total, 0.75) - quantile_cont(total, 0.25)) FROM obs) AS outlier FROM obs")
@@ -301,17 +347,32 @@ def m05(s, d):
     return clean_labels(fx.sites(s, d).select("site", F.expr("CASE WHEN chrom = 1 THEN ' T_cell.2 ' ELSE concat('B', chrom) END").alias("label")))
 
 
+_LL = ("cell", "mut", "ln(0.05 + 0.9 * vaf) AS ll_mut", "ln(0.95 - 0.9 * vaf) AS ll_unmut")
+
+
 @query("t14_carrier_counts")
 def t14(s, d):
     from cladeframe.operators.posterior import carrier_counts
 
-    ll = fx.obs(s, d).selectExpr("cell", "mut", "ln(0.05 + 0.9 * vaf) AS ll_mut", "ln(0.95 - 0.9 * vaf) AS ll_unmut")
-    return carrier_counts(ll)
+    return carrier_counts(fx.obs(s, d).selectExpr(*_LL))
+
+
+@query(
+    "t14_none_and_some",
+    "SELECT mut, count(*) AS cells, round(exp(sum(ln((0.95 - 0.9 * vaf) / (1.0 - 0)))), 9) AS p_none, round(1 - exp(sum(ln(0.95 - 0.9 * vaf))), 9) AS p_one FROM obs GROUP BY mut",
+)
+def t14b(s, d):
+    """The ends of the distribution of carriers, which have a closed form; the likelihoods of a cell add up to 1 here."""
+    from cladeframe.operators.posterior import carrier_counts
+
+    return r9(carrier_counts(fx.obs(s, d).selectExpr(*_LL)).select("mut", "cells", "p_none", "p_one"))
 
 
 @query("t17_site_posteriors")
 def t17(s, d):
     from cladeframe.operators.posterior import site_posteriors
 
-    ll = fx.obs(s, d).selectExpr("cell", "mut", "ln(0.05 + 0.9 * vaf) AS ll_mut", "ln(0.95 - 0.9 * vaf) AS ll_unmut")
-    return site_posteriors(ll, fx.cells(s, d).select("cell", F.col("cell_type").alias("cluster")), 1)
+    cells = fx.cells(s, d)
+    kinds = cells.selectExpr("cell", "cell_type AS cluster", "'leaf' AS kind").unionByName(cells.where("cell_type < 3").selectExpr("cell", "10 AS cluster", "'internal' AS kind"))
+    kinds = kinds.unionByName(cells.selectExpr("cell", "20 + cell_type div 2 AS cluster", "'pivot' AS kind").withColumn("cluster", F.col("cluster").cast("int")))
+    return site_posteriors(fx.obs(s, d).selectExpr(*_LL), kinds)

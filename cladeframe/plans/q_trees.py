@@ -49,9 +49,9 @@ def a24c(s, d):
     return flips.flip_counts(_rows2(s, d), "cell")
 
 
-@query("k05_flip_lists", "SELECT mut, " + ", ".join(f"coalesce(string_agg(cell::VARCHAR, ',' ORDER BY cell) FILTER ({c}), '') AS {n}" for n, c in (("fn", FN), ("fp", FP), ("na0", NA0), ("na1", NA1))) + " FROM rows WHERE cell % 10 = 0 GROUP BY mut", ROWS2)
+@query("k05_flip_lists", "SELECT mut, " + ", ".join(f"coalesce(string_agg(cell::VARCHAR, ',' ORDER BY cell) FILTER ({c}), '') AS {n}" for n, c in (("fn", FN), ("fp", FP), ("na0", NA0), ("na1", NA1))) + " FROM rows GROUP BY mut", ROWS2)
 def k05b(s, d):
-    return flips.flip_lists(_rows2(s, d).where("cell % 10 = 0"))
+    return flips.flip_lists(_rows2(s, d))
 
 
 @query("a41_flip_codes", "SELECT cell, mut, concat(coalesce(state, 3), '>', v) AS code FROM rows", ROWS2)
@@ -268,11 +268,11 @@ def tr09(s, d):
 @query(
     "tr10_dynamic_weights",
     """SELECT id, round(CASE WHEN r > 0.8 THEN 0.09 WHEN r > 0.6 THEN 0.07 WHEN r > 0.4 THEN 0.05 ELSE least(0.095, 0.001 * CASE WHEN r > 0.2 THEN 4 WHEN r > 0.1 THEN 2 WHEN r > 0.05 THEN 1.5 ELSE 1 END) END, 9)::DOUBLE AS omega,
- round(greatest(0.1, (CASE WHEN missing / cells > 0.8 AND ones / cells < 0.05 THEN 0.3 WHEN missing / cells > 0.5 THEN 0.6 ELSE 1 END) * (CASE WHEN fp + fn = 0 THEN CASE WHEN kind = 'on_node' THEN 0.8 ELSE 0.9 END WHEN fp + fn > 0.5 * ones THEN CASE WHEN kind = 'new_leaf' THEN 1.2 ELSE 1.1 END ELSE 1 END) * CASE WHEN nodes > 20 THEN 0.9 ELSE 1 END), 9)::DOUBLE AS phi
- FROM (SELECT mut AS id, mut / 24.0::DOUBLE AS r, mut % 3 AS fp, mut % 4 AS fn, CASE WHEN mut % 2 = 0 THEN 'on_node' ELSE 'new_leaf' END AS kind, (mut % 5 + 1)::DOUBLE AS ones, (mut * 4)::DOUBLE AS missing, 100.0::DOUBLE AS cells, mut AS nodes FROM muts)""",
+ round(greatest(0.1, (CASE WHEN missing > 70 AND ones < 10 THEN 0.3 WHEN missing > 50 AND ones < 20 THEN 0.6 ELSE 1 END) * (CASE WHEN r > 0.4 AND leaf THEN 0.8 WHEN r > 0.4 THEN 1.2 WHEN r > 0.2 AND leaf THEN 0.9 WHEN r > 0.2 THEN 1.1 ELSE 1 END) * CASE WHEN leaf AND nodes > 20 THEN 0.9 ELSE 1 END), 9)::DOUBLE AS phi
+ FROM (SELECT mut AS id, mut / 24.0::DOUBLE AS r, mut % 3 > 0 AS leaf, (mut % 5) * 6 + 1 AS ones, (mut * 7) % 100 AS missing, mut AS nodes FROM muts)""",
 )
 def tr10(s, d):
-    rows = fx.muts(s).selectExpr("mut AS id", "mut AS na1", "24 - mut AS na0", "mut % 3 AS fp", "mut % 4 AS fn", "CASE WHEN mut % 2 = 0 THEN 'on_node' ELSE 'new_leaf' END AS kind", "mut % 5 + 1 AS ones", "mut * 4 AS missing", "100 AS cells", "mut AS nodes")
+    rows = fx.muts(s).selectExpr("mut AS id", "mut AS na1", "24 - mut AS na0", "element_at(array('on_node', 'new_leaf', 'on_edge'), cast(mut % 3 AS int) + 1) AS kind", "mut % 5 * 6 + 1 AS ones", "mut * 7 % 100 AS missing", "100 AS cells", "mut AS nodes")
     return r9(trees.dynamic_weights(rows, 0.001, 0.1, 1.0).select("id", "omega", "phi"))
 
 

@@ -93,13 +93,36 @@ def test_posterior_is_enumeration():
         want = sum(math.exp(sum(mut[i] if i in s else unmut[i] for i in range(7))) for s in itertools.combinations(range(7), k))
         assert abs(math.exp(dp[k]) - want) < 1e-12
     clusters = [np.array([0, 1]), np.array([2, 3, 4]), np.array([5, 6])]
-    got, want = math.exp(posterior.clusters_carry(clusters, mut, unmut)), 0.0
-    for bits in itertools.product((0, 1), repeat=7):
-        if sum(any(bits[i] for i in c) for c in clusters) >= 2:
-            want += math.exp(sum(mut[i] if b else unmut[i] for i, b in enumerate(bits)))
-    assert abs(got - want) < 1e-12
-    p = posterior.site_posterior(mut, unmut, clusters, 1)
-    assert abs(sum(p.values()) - 1) < 1e-12
+    way = lambda carriers: math.exp(sum(mut[i] if i in carriers else unmut[i] for i in range(7)))
+    # late: some cells of a leaf, no others
+    some = [s for k in range(1, 4) for s in itertools.combinations((2, 3, 4), k)]
+    got = posterior.late(mut, unmut, clusters[1])
+    assert math.isclose(math.exp(got["p"]), sum(map(way, some))) and math.isclose(math.exp(got["one"]), sum(way(s) for s in some if len(s) == 1))
+    # internal: two or more whole clusters; cells of none count once for each cluster
+    node, parts = np.arange(6), [np.array([0, 1]), np.array([2, 3])]
+    none = math.exp(sum(unmut[4:]))
+    sets = [set(parts[0]) | set(parts[1])]
+    assert math.isclose(math.exp(posterior.internal(mut, unmut, node, [*parts, np.array([6]), node])["p"]), sum(map(way, sets)) * none)
+    assert posterior.internal(mut, unmut, node, [np.array([6]), node]) is None
+    assert math.isclose(math.exp(posterior.internal(mut, unmut, node, [parts[0], node])["p"]), way(set(range(6))))
+    # early: two of three pivots
+    assert math.isclose(math.exp(posterior.early(mut, unmut, clusters)["p"]), sum(way(set(a) | set(b)) for a, b in itertools.combinations(clusters, 2)))
+    assert posterior.early(mut, unmut, clusters[:2])["p"] == -np.inf
+    # all together: prior 1 / (cells of leaves + internal nodes)
+    p = posterior.site_posterior(mut, unmut, clusters, [node], clusters)
+    places = [posterior.late(mut, unmut, c)["p"] for c in clusters] + [posterior.internal(mut, unmut, node, [*clusters, node, *clusters])["p"], posterior.early(mut, unmut, clusters)["p"]]
+    weights = [sum(map(math.exp, places)) / (7 + 1), way(()), way(range(7))]
+    assert np.allclose([p["somatic"], p["artifact"], p["germline"]], np.array(weights) / sum(weights))
+
+
+def test_traced_carriers():
+    """The way back takes an item where all ways with it are no less likely than all ways without."""
+    mut, unmut = np.log([0.9, 0.2, 0.8, 0.5]), np.log([0.1, 0.8, 0.2, 0.5])
+    k, p, cells = posterior.best_count(mut, unmut)
+    assert (k, cells) == (2, [0, 2]) or (k, cells) == (2, [0, 3])
+    # two carriers of four: the last (0.5 each way): without 0.5 P(2 of 3) > with 0.5 P(1 of 3)?
+    two, one = 0.9 * 0.2 * 0.2 + 0.9 * 0.8 * 0.8 + 0.1 * 0.2 * 0.8, 0.9 * 0.8 * 0.2 + 0.1 * 0.2 * 0.2 + 0.1 * 0.8 * 0.8
+    assert math.isclose(math.exp(p), 0.5 * two + 0.5 * one) and cells == ([0, 2] if two > one else [0, 3])
 
 
 def test_distributions():
