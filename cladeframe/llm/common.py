@@ -1,16 +1,14 @@
-"""Shared parts: column choice, shared-folder tables, word hashing, connected components."""
+"""Shared parts: column choice, joins that bear hot keys, word hashing, links within buckets."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.session import ship  # noqa: F401
+from cladeframe.operators.graph import components
+from cladeframe.session import drop, keep, ship  # noqa: F401
 
 SHINGLE = 5  # words in a shingle
 SIMILAR = 0.8  # least similarity of near duplicates
@@ -48,42 +46,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir;
-    a local session without the setting (a test) gets a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = getattr(spark.sparkContext, "_cladeframe_shared", None)
-        if not named:
-            named = spark.sparkContext._cladeframe_shared = tempfile.mkdtemp(prefix="cladeframe-shared")
-    return named.rstrip("/")
-
-
-def keep(df: DataFrame, what: str) -> DataFrame:
-    """Writes a frame as a table in the shared folder and reads it: lineage ends there, and lost
-    executors lose nothing of it. It goes with the driver, unless `drop` is called before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at, files = _files(spark, path)
-    files.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _files(spark: SparkSession, path: str):
-    """Hadoop's path and its file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def drop(*kept: DataFrame) -> None:
-    """Deletes kept tables that nothing lazy reads any more."""
-    for df in kept:
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at, files = _files(df.sparkSession, parent)
-            files.delete(at, True)
-
-
 HOT_KEYS = 20_000
 
 
@@ -245,32 +207,7 @@ def slices(batches, column: int, most: int = 2_000_000):
             at = to
 
 
-# ------------------------------------------------------------------ components
-
-
-def components(edges: DataFrame, what: str = "components", rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph.
-
-    edges: a, b long; loops, repeats and either direction are fine. Returns (id, label), label
-    being the component's least id, for every id that has an edge. Each round takes the least
-    label of all neighbours and then follows labels once more, so the number of rounds grows with
-    the logarithm of a component's width; every round is a table in the shared folder.
-    """
-    both = edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b"))
-    both = keep(both.distinct(), f"{what}-edges")
-    label = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), what)
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = label.join(near, "id").select("id", F.least("label", "near").alias("next"), "label")
-        jump = label.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        new = keep(step.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), what)
-        moved = new.where("moved").limit(1).count()
-        drop(label)
-        label = new.drop("moved")
-        if not moved:
-            drop(both)
-            return label
-    raise RuntimeError(f"components: not settled after {rounds} rounds")
+# ------------------------------------------------------------------ buckets
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
