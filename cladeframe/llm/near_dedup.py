@@ -159,8 +159,9 @@ def near_duplicates(documents: DataFrame, least: float = common.SIMILAR, bands:
         table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")),
         "classes",
     )
-    keyed = table.where("doc_id is not null").join(classes, "digest").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.explode("keys").alias("key"))
-    keyed = common.keep(keyed.select("key", F.col("rep").alias("id")), "bands")
+    one = classes.select("digest", F.col("rep").alias("doc_id"))  # with the id in the key, a text's copies don't meet
+    keyed = table.join(one, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    keyed = common.keep(keyed, "bands")
     buckets = common.buckets(keyed)
     texts = common.keep(shingle_arrays(documents, buckets.select("id").distinct()), "shingles")  # read once, of all that any step compares
     links = common.links_in_buckets(buckets, lambda pairs: verify(pairs, texts, least), lambda some: texts.join(some, "id", "left_semi"), least)
@@ -168,8 +169,12 @@ def near_duplicates(documents: DataFrame, least: float = common.SIMILAR, bands:
     common.drop(keyed, buckets, texts)
     count = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(count, "rep", "left")
-    known = known.select("digest", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
-    out = table.select("doc_id", "digest").join(known, "digest", "left")
+    known = known.select("digest", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies", F.col("copies").alias("n"))
+    known = common.keep(known, "known")
+    named = "digest IS NOT NULL AND doc_id IS NOT NULL"
+    rows = table.select("doc_id", "digest")
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("class_id", "n_links", "copies")]
+    out = common.join_hot(rows.where(named), known, ["digest"]).unionByName(rows.where(f"NOT ({named})").select("digest", "doc_id", *nothing))
     class_id = F.coalesce("class_id", "doc_id")
     return out.select(
         "doc_id",

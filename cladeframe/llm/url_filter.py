@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BINS, TREES, DEPTH, RATE, RIDGE, LEAST = 32, 10, 3, 0.3, 1.0, 5.0
+BINS, TREES, DEPTH, RATE, RIDGE, LEAST, FOLDS = 32, 10, 3, 0.3, 1.0, 5.0, 5
 # The rules of the query (verdict, host and path)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,12 +78,16 @@ def parse(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def with_features(parsed: DataFrame) -> DataFrame:
     """parsed: page_id, url, host, path, suffix, label (1 block, 0 allow, null unknown). Adds x, an array of WIDTH small
-    whole numbers. Suffixes are few next to urls: their statistics are counted first and joined; Spark
-    broadcasts them where they are as small as its own size limit says."""
-    suffix = parsed.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    rate = F.expr(f"CAST(floor({BINS - 1} * (blocked + 1) / (known + 2D)) AS INT)")
-    suffix = suffix.select("suffix", rate.alias("s0"), F.expr(_scale("n")).alias("s1"))
-    return parsed.join(suffix, "suffix").withColumn("x", F.array(*[F.expr(f) for f in FEATURES], "s0", "s1")).drop("s0", "s1")
+    whole numbers. Suffix statistics are counted by FOLDS parts of the urls; a labelled url takes the blocked share of the other
+    parts, never of labels that it or its own copies carry, any other url that of all. Frequent suffixes are joined by broadcast."""
+    parsed = parsed.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    part = parsed.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
+    whole = part.groupBy("suffix").agg(F.sum("n").alias("n_all"), F.sum("known").alias("known_all"), F.sum("blocked").alias("blocked_all"))
+    rate = lambda b, k: F.expr(f"CAST(floor({BINS - 1} * ({b} + 1) / ({k} + 2D)) AS INT)")
+    part = part.join(whole, "suffix").select("suffix", "fold", "n", rate("blocked_all", "known_all").alias("s_all"), rate("blocked_all - blocked", "known_all - known").alias("s_other"), F.expr(_scale("n_all")).alias("s1"))
+    joined = common.join_hot(parsed, common.keep(part, "suffixes"), ["suffix", "fold"])
+    x = F.array(*[F.expr(f) for f in FEATURES], F.expr("CASE WHEN label IS NULL THEN s_all ELSE s_other END"), "s1")
+    return joined.withColumn("x", x).drop("s_all", "s_other", "s1", "fold")
 
 
 def margin_sql(trees: list, bias: float) -> str:

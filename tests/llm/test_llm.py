@@ -215,6 +215,10 @@ def test_near_duplicates(spark, corpus):
     assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(want))
     assert all(r.kept == (r.class_id == r.doc_id) for r in rows)
     assert {r.doc_id: r.copies for r in rows}[0] == 3
+    # a group of copies that a large part of all rows belongs to, rows without words or id
+    many = [corpus[0]] * 1500 + [corpus[1], None, "", corpus[0] + " x"]
+    rows = near_dedup.near_duplicates(frame(spark, many, [*range(1500), 1500, 1501, None, 1502])).collect()
+    assert collections.Counter((r.class_id, r.kept) for r in rows) == {(0, False): 1500 if aligned(corpus[0], corpus[0] + " x") >= 0.8 else 1499, (0, True): 1, (1500, True): 1, (1501, True): 1, (None, True): 1}
     assert [near_dedup.near_duplicates(x).count() for x in odd(spark)] == [0, 3, 2]
 
 
@@ -615,6 +619,19 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(spark.createDataFrame([(1, "https://b.com")], "page_id long, url string")).collect()} == {"allow"}
 
 
+def test_suffix_statistics_leave_out_the_url_itself(spark):
+    """The only labelled url of a suffix knows nothing of its label; labels of other parts count."""
+    urls = [f"https://h{i}.one/{i}" for i in range(40)] + ["https://a.lone/x", "https://b.none/x"]
+    parsed = url_filter.parse(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).withColumn("label", F.expr("CASE WHEN suffix = 'lone' OR suffix = 'one' AND page_id < 30 THEN 1 END"))
+    s0 = {r.page_id: r.x[-2] for r in url_filter.with_features(parsed).collect()}
+    middle = (url_filter.BINS - 1) // 2
+    assert s0[40] == s0[41] == middle and len(s0) == len(urls)
+    folds = {r.page_id: r.f for r in parsed.select("page_id", F.pmod(F.xxhash64("url"), F.lit(url_filter.FOLDS)).alias("f")).collect()}
+    for i in range(30):
+        others = sum(folds[j] != folds[i] for j in range(30))
+        assert s0[i] == (url_filter.BINS - 1) * (others + 1) // (others + 2)
+
+
 def test_boosting_fits(spark):
     rows = [([i % 8, (i * 7) % 5], int((i % 8) <= 3 and (i * 7) % 5 > 1)) for i in range(400)]
     data = spark.createDataFrame(rows, "x array<int>, label int")
