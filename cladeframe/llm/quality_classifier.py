@@ -5,7 +5,7 @@ interactions by the sum-of-squares identity, so linear in a text's features. Fea
 WORDS_DIM places (log counts, unit length), structure statistics of the text in buckets (each place 1),
 and any named metadata columns hashed as name=value.
 
-Learnt on the driver from a bounded sample of labelled rows (SAMPLE, the least by a hash of the id);
+Learnt on the driver from a bounded sample of labelled rows (SAMPLE rows, ENTRIES features, the least by a hash of the id);
 the scored features never hold labels, ids, language or source unless a caller names such a column as
 metadata. The model has a fixed size, so it is broadcast.
 """
@@ -15,13 +15,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import common
 
 WORDS_DIM, META_DIM, FACTORS = 1 << 17, 1 << 12, 8
-SAMPLE = 12_000  # labelled rows learnt from, at most
+SAMPLE, ENTRIES = 12_000, 12_000_000  # labelled rows learnt from, and features in them (about 20 bytes each), at most
 EPOCHS, BATCH, RATE, SHRINK = 15, 256, 0.1, 1e-6
 BUCKETS = 12
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -123,17 +124,25 @@ class Machine:
 
 
 def _inputs(documents: DataFrame, metadata: list[str]) -> DataFrame:
+    """Numbers count by their size: half steps of the logarithm to base 2, with their sign."""
     plain = common.pick(documents, "doc_id", "text", *metadata)
-    return plain.toDF("doc_id", "text", *[f"m{i}" for i in range(len(metadata))]).select("doc_id", "text", *[F.coalesce(F.col(f"m{i}").cast("string"), F.lit("")).alias(f"m{i}") for i in range(len(metadata))])
+    plain = plain.toDF("doc_id", "text", *[f"m{i}" for i in range(len(metadata))])
+
+    def value(name: str):
+        if isinstance(plain.schema[name].dataType, NumericType):
+            return F.expr(f"coalesce(concat(cast(signum({name}) AS int), '~', cast(floor(2 * log2(1 + abs(cast({name} AS double)))) AS bigint)), '')")
+        return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+    return plain.select("doc_id", "text", *[value(f"m{i}").alias(f"m{i}") for i in range(len(metadata))])
 
 
 def _named(batch, first: int, metadata: list[str]) -> list[list[str]]:
     return [[f"{m}={x}" for x in batch.column(first + i).to_pylist()] for i, m in enumerate(metadata)]
 
 
-def fit(documents: DataFrame, labels: DataFrame, metadata: list[str] = (), sample: int = SAMPLE) -> Machine:
+def fit(documents: DataFrame, labels: DataFrame, metadata: list[str] = (), sample: int = SAMPLE, entries: int = ENTRIES) -> Machine:
     """labels: doc_id, label (0 or 1; rows with anything else are left out; a repeated doc_id counts once,
-    with its greatest label)."""
+    with its greatest label). Rows are taken in the order of a hash of the id, up to `sample` rows with `entries` features."""
     labels = common.pick(labels, "doc_id", "label").where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most
     rows = _inputs(documents, metadata).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
@@ -148,7 +157,11 @@ def fit(documents: DataFrame, labels: DataFrame, metadata: list[str] = (), sampl
                 ["doc_id", "label", "place", "value"],
             )
 
-    got = rows.mapInArrow(run, "doc_id long, label int, place array<int>, value array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    table = common.keep(rows.mapInArrow(run, "doc_id long, label int, place array<int>, value array<float>"), "features")
+    size = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over `sample` rows
+    some = table.select("doc_id", F.xxhash64("doc_id").alias("h"), F.size("place").alias("n")).withColumn("so_far", F.sum("n").over(size)).where(F.col("so_far") <= entries)
+    got = table.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").toArrow().sort_by("doc_id").combine_chunks()
+    common.drop(table)
     if not got.num_rows:
         return Machine()
     place = got.column("place").combine_chunks() if hasattr(got.column("place"), "combine_chunks") else got.column("place")
