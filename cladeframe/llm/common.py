@@ -47,6 +47,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 HOT_KEYS = 20_000
+MEETINGS, PART = 4, 16  # drawn ids that each id of a token meets at first, and how many share one
 
 
 def join_hot(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
@@ -228,7 +229,7 @@ def links_in_buckets(buckets: DataFrame, verify, tokens, least: float = SIMILAR)
     more, across components, by the tokens of their prefixes: in the order of rarity a pair this similar shares one
     among the first (1 - least) n + 1 tokens of each, at places that leave enough to share. In a large group of
     copies of one text the rare tokens are each copy's own edits, so copies too far from each other don't meet. First
-    the ids of a token meet its most central id only, again as many pairs as ids; what then still is apart meets
+    the ids of a token meet its most central id and a few drawn ones only, again as many pairs as ids; what then still is apart meets
     pair by pair. No link between components is lost and no bucket is expanded into all its pairs.
     """
     first = keep(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
@@ -249,22 +250,34 @@ def links_in_buckets(buckets: DataFrame, verify, tokens, least: float = SIMILAR)
     lone = F.expr("n - size(s)")
     prefix = F.expr(f"greatest(0, n - cast(ceil({least}D * n - 1e-9) AS int) + 1 - (n - size(s)))")
     ranked = ranked.withColumn("lone", lone).select("id", "label", "n", "lone", F.posexplode(F.slice("s", F.lit(1), prefix)).alias("i", "x"))
-    ranked = prefixes = keep(ranked.select("id", "label", "n", "lone", F.col("x.t").alias("t"), F.expr("lone + i + 1").alias("p")), "prefixes")
-    # the most central member of a token's ids, the one with the fewest tokens of its own, is the likeliest to link the others
-    centre = ranked.groupBy("t").agg(F.expr("min_by(struct(id, label), struct(lone, id))").alias("c"))
-    second = ranked.join(centre, "t").where("label <> c.label").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-    second = keep(second.join(first, ["a", "b"], "left_anti"), "centres")
-    links = links.unionByName(keep(verify(second).select("a", "b"), "links"))
-    label = components(links)
-    ranked = ranked.join(label.toDF("id", "now"), "id", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
-    met = first.unionByName(second)
+    ranked = keep(ranked.select("id", "label", "n", "lone", F.col("x.t").alias("t"), F.expr("lone + i + 1").alias("p")), "prefixes")
+    enough = lambda xn, xp, yn, yp: f"1 + least({xn} - {xp}, {yn} - {yp}) >= {least}D / (1 + {least}D) * ({xn} + {yn}) - 1e-9"
+    # the ids of a token meet its most central one, the one with the fewest tokens of its own, and some drawn from small parts of them: as many
+    # pairs as ids each time, and what they link need not meet pair by pair
+    met, drawn = first, [first]
+    for tries in (MEETINGS, 2 * MEETINGS):
+        size = ranked.groupBy("t").agg(F.count("*").alias("many"))
+        rows = ranked.join(size, "t").select("*", F.explode(F.sequence(F.lit(0), F.lit(tries))).alias("j"))
+        rows = rows.withColumn("part", F.expr(f"CASE WHEN j = 0 THEN 0 ELSE pmod(xxhash64(id, j, {tries}), greatest(1, many div {PART})) END"))
+        centre = rows.groupBy("t", "j", "part").agg(F.expr(f"min_by(struct(id, label, n, p), CASE WHEN j = 0 THEN struct(CAST(lone AS BIGINT) AS x, id AS y) ELSE struct(0L AS x, xxhash64(id, j, {tries + 1}) AS y) END)").alias("c"))
+        pair = rows.join(centre, ["t", "j", "part"]).where(f"label <> c.label AND {enough('n', 'p', 'c.n', 'c.p')}").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+        pair = keep(pair.join(met, ["a", "b"], "left_anti"), "centres")
+        drawn.append(pair)
+        met = met.unionByName(pair)
+        found = keep(verify(pair).select("a", "b"), "links")
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        label = components(links)
+        again = keep(ranked.join(label.toDF("id", "now"), "id", "left").withColumn("label", F.coalesce("now", "label")).drop("now"), "prefixes")
+        drop(ranked, label)
+        ranked = again
     main = ranked.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.expr("max_by(label, struct(c, label))").alias("main"), F.count("*").alias("k")).where("k > 1")
     here = keep(ranked.join(main.select("t", "main"), "t"), "meeting")
     x = here.where("label <> main").select("t", F.col("id").alias("xi"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("p").alias("xp"))
     y = here.select("t", F.col("id").alias("yi"), F.col("label").alias("yl"), F.col("n").alias("yn"), F.col("p").alias("yp"), "main")
-    enough = f"1 + least(xn - xp, yn - yp) >= {least}D / (1 + {least}D) * (xn + yn) - 1e-9"
-    rest = x.join(y, "t").where(f"xl <> yl AND (yl = main OR xi < yi) AND {enough}").select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
+    rest = x.join(y, "t").where(f"xl <> yl AND (yl = main OR xi < yi) AND {enough('xn', 'xp', 'yn', 'yp')}").select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
     rest = keep(rest.join(met, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(keep(verify(rest).select("a", "b"), "links"))
-    drop(open_, sets, prefixes, first, second, label, here, rest)
+    drop(open_, sets, ranked, here, rest, *drawn)
     return links
