@@ -149,3 +149,69 @@ def test_classifiers(spark):
     got = {r.mut for r in models.germline(scores, train).where("germline").collect()}
     assert got and got <= set(range(0, 60, 10))
     assert models.germline(scores, train.limit(0)).where("germline").count() == 0
+
+
+# A published example of 29 cells and 37 mutations, the mutations at 1 of each cell, both in the order of their names
+EXAMPLE = (
+    [29],
+    [30],
+    [20],
+    [0, 1, 2, 3, 6, 10, 11, 12, 18, 20],
+    [0, 1, 2, 3, 6, 10, 11, 12, 14, 15, 17, 18, 20],
+    [0, 1, 2, 3, 6, 10, 11, 12, 14, 15, 17, 18, 20],
+    [31],
+    [32],
+    [19],
+    [19],
+    [4, 7, 9],
+    [4, 7, 9],
+    [21],
+    [5, 8, 13, 16],
+    [5, 8, 13, 16],
+    [16],
+    [34],
+    [0, 1, 3, 6, 10, 11, 12, 17, 18, 20],
+    [2, 10, 18, 20],
+    [28],
+    [33],
+    [25],
+    [24],
+    [36],
+    [27],
+    [22],
+    [26],
+    [35],
+    [23],
+)
+
+
+def test_published_example(spark):
+    """One false negative, no other flip, 20 children of the root, a longest chain of 13 mutations, no conflict."""
+    rows = [(f"c{i:02}", f"m{j:02}", int(j in ones)) for i, ones in enumerate(EXAMPLE) for j in range(37)]
+    result, matrix = growth.scaffold(spark.createDataFrame(rows, "cell string, mut string, state int"))
+    for r in (result, growth.full_tree(result, matrix)):
+        tree = r.tree
+        assert growth.flips(tree, matrix) == {"fn": 1, "fp": 0, "na0": 0, "na1": 0} and tree.conflict_free()
+        assert len(tree.children("ROOT")) == 20 and len(tree.mutations()) == 37 and not r.external
+        assert max(sum(len(n.split("|")) for n in tree.lineage(x)) for x in tree.parent) == 13
+
+
+def test_matrix_of_many_cells(spark):
+    """Bit sets over more cells than one bitmap holds."""
+    g = spark.range(40_000).selectExpr("concat('c', lpad(cast(id AS string), 6, '0')) AS cell", "'m' AS mut", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE 0 END AS state")
+    m = growth.Matrix.collect(g)
+    want = [i for i in range(40_000) if i % 7]
+    assert len(m.cells) == len(want) and m.known["m"].bit_count() == len(want)
+    assert [i for i, c in enumerate(m.cells) if m.ones["m"] >> i & 1] == [i for i, x in enumerate(want) if x % 3 == 0]
+
+
+def test_penalties_agree_with_their_frames(spark):
+    """The growth's weights are the table operators' weights."""
+    rows = [(i, k, a, 20 - a, o, m, n) for i, (k, a, o, m, n) in enumerate(itertools.product(("new_leaf", "on_edge", "on_node"), (0, 2, 3, 5, 9, 13, 17), (3, 15), (60, 75), (5, 30)))]
+    got = trees.dynamic_weights(spark.createDataFrame([(*r, 100) for r in rows], "id int, kind string, na1 int, na0 int, ones int, missing int, nodes int, cells int"), 0.001, 0.1, 1.0).collect()
+    w = growth.Weights(0.1, 0.001, 1.0)
+    for r in got:
+        assert math.isclose(r.omega, growth.omega_of(r.na1 / 20, w)) and math.isclose(r.phi, growth.phi_of(r.na1 / 20, r.kind, r.missing / 100, r.ones / 100, r.nodes, w))
+    shape = spark.createDataFrame([("new_leaf", True, 0, 7, 0.5), ("on_node", False, 0, 7, 0.5), ("new_parent_merge", False, 3, 7, 0.5)], "kind string, anchor_is_root boolean, children int, nodes int, phi double")
+    for r in trees.structural_penalty(shape).collect():
+        assert math.isclose(r.structure, growth.structure(r.kind, "ROOT" if r.anchor_is_root else "x", tuple("abc"[: r.children]), r.nodes, r.phi))
