@@ -124,14 +124,63 @@ def signed_rank_effect(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def depth_regression(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """by, r2: of the linear regression of y on x; 1 where either is constant."""
-    return df.groupBy(by).agg(F.expr(f"coalesce(CASE WHEN stddev_pop({x}) = 0 OR stddev_pop({y}) = 0 THEN 1D ELSE pow(corr({y}, {x}), 2) END, 1D)").alias("r2"))
+    """by, r2: of the linear regression of y on x; 1 where x is constant, else 0 where y is."""
+    r = f"try_divide(covar_pop({y}, {x}), stddev_pop({x}) * stddev_pop({y}))"
+    return df.groupBy(by).agg(F.expr(f"CASE WHEN coalesce(stddev_pop({x}), 0) = 0 THEN 1D ELSE coalesce(pow({r}, 2), 0D) END").alias("r2"))
 
 
-def no_dropout(df: DataFrame, r2: float = 0.3, alpha: float = 0.05) -> DataFrame:
+def signed_rank_terms(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
+    """by, n, ties, least, spread: of the paired differences after both are z-scored (population deviation; 0 where constant) and without zeros: how many,
+    how many share their size with another, the lesser sum of ranks, and the sum of t^3 - t over ties. Equal differences are one row."""
+    w = Window.partitionBy(by)
+    z = lambda c: F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w)), F.lit(0.0))
+    size = df.select(by, F.round(z(x) - z(y), 9).alias("d")).where("d <> 0").groupBy(by, F.abs("d").alias("a")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
+    below = F.sum("c").over(Window.partitionBy(by).orderBy("a").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    ranked = size.withColumn("r", below + (F.col("c") + 1) / 2)
+    out = ranked.groupBy(by).agg(F.sum("c").alias("n"), F.sum(F.expr("CASE WHEN c > 1 THEN c ELSE 0 END")).alias("ties"), F.expr("least(sum(up * r), sum((c - up) * r))").alias("least"), F.expr("sum(c * c * c - c)").alias("spread"))
+    every = df.groupBy(by).agg(F.count("*").alias("pairs"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "ties", "spread")]
+    return every.join(out, by, "left").select(by, "pairs", *zero, F.coalesce("least", F.lit(0.0)).alias("least"))
+
+
+def signed_rank_tail(n: int, least: int) -> float:
+    """Two-sided probability that the lesser sum of ranks 1..n of one sign is `least` or below: counted."""
+    ways = [1]
+    for r in range(1, n + 1):
+        grown = ways + [0] * r
+        for i, v in enumerate(ways):
+            grown[i + r] += v
+        ways = grown
+    return min(1.0, 2 * sum(ways[: least + 1]) / 2**n)
+
+
+def paired_p(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
+    """by, p of the paired signed-rank test of z-scored values: exact up to 50 pairs without ties or zeros, else by the normal law with ties; 1 where
+    all differences are equal."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def exact(n: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_tail(int(a), int(b)) for a, b in zip(n, least)])
+
+    ship(df.sparkSession)
+    t = signed_rank_terms(df, x, y, by)
+    var = "(n * (n + 1) * (2 * n + 1) - spread / 2D) / 24D"
+    t = t.withColumn("z", F.expr(f"try_divide(least - n * (n + 1) / 4D, sqrt({var}))"))
+    small = "n > 0 AND n <= 50 AND ties = 0 AND n = pairs"
+    t = t.withColumn("two", F.least(F.lit(1.0), 2 * normal_tail(F.abs("z"))))
+    return t.select(by, F.when(F.expr(small), exact(F.expr(f"CASE WHEN {small} THEN n ELSE 0 END"), F.expr(f"CASE WHEN {small} THEN least ELSE 0D END"))).otherwise(F.coalesce("two", F.lit(1.0))).alias("p"))
+
+
+def no_dropout(df: DataFrame, r2: float = 0.8, alpha: float = 0.05) -> DataFrame:
     return df.withColumn("no_dropout", F.expr(f"r2 < {r2} OR p < {alpha}"))
 
 
+def dropout(df: DataFrame, x: str, y: str, by: str, r2: float = 0.8, alpha: float = 0.05) -> DataFrame:
+    """by, r2, p, no_dropout: depths that a line explains badly, or that differ in their ranks, are no dropout."""
+    return no_dropout(depth_regression(df, x, y, by).join(paired_p(df, x, y, by), by), r2, alpha)
+
+
 def projected_ks(points: DataFrame, by: str, side: str, directions: int = 8) -> DataFrame:
     """by, d, direction: the greatest two-sample Kolmogorov-Smirnov distance over projections on `directions` axes of the half turn."""
     angles = [math.pi * k / directions for k in range(directions)]

@@ -195,11 +195,27 @@ def t04b(s, d):
     return t.select("mut", T.fisher_p(F.col("ref_fwd"), F.col("ref_rev"), F.col("alt_fwd"), F.col("alt_rev")).alias("p"))
 
 
-@query("t05_depth_regression", "SELECT mut, round(coalesce(CASE WHEN stddev_pop(total) = 0 OR stddev_pop(alt) = 0 THEN 1 ELSE regr_r2(alt, total) END, 1), 9)::DOUBLE AS r2 FROM obs GROUP BY mut")
+@query("t05_depth_regression", "SELECT mut, round(CASE WHEN stddev_pop(total) = 0 THEN 1 WHEN stddev_pop(alt) = 0 THEN 0 ELSE regr_r2(alt, total) END, 9)::DOUBLE AS r2 FROM obs GROUP BY mut")
 def t05(s, d):
     return r9(T.depth_regression(fx.obs(s, d), "total", "alt", "mut"))
 
 
+@query(
+    "t05_signed_rank_terms",
+    """SELECT p.mut, pairs, coalesce(n, 0)::BIGINT AS n, coalesce(ties, 0)::BIGINT AS ties, coalesce(spread, 0)::BIGINT AS spread, coalesce(least, 0)::DOUBLE AS least FROM (SELECT mut, count(*) AS pairs FROM obs GROUP BY mut) p LEFT JOIN
+ (SELECT mut, count(*) AS n, count(*) FILTER (c > 1) AS ties, sum((c * c * c - c) / c::DOUBLE)::BIGINT AS spread, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS least FROM
+  (SELECT *, rank() OVER (PARTITION BY mut ORDER BY abs(d)) + (count(*) OVER (PARTITION BY mut, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY mut, abs(d)) AS c FROM
+   (SELECT mut, round(coalesce((total - avg(total) OVER w) / nullif(stddev_pop(total) OVER w, 0), 0) - coalesce((alt - avg(alt) OVER w) / nullif(stddev_pop(alt) OVER w, 0), 0), 9) AS d FROM obs WINDOW w AS (PARTITION BY mut)) WHERE d <> 0) GROUP BY mut) q USING (mut)""",
+)
+def t05b(s, d):
+    return T.signed_rank_terms(fx.obs(s, d), "total", "alt", "mut")
+
+
+@query("t05_dropout")
+def t05c(s, d):
+    return T.dropout(fx.obs(s, d), "total", "alt", "mut")
+
+
 @query(
     "t06_projected_ks",
     """SELECT cluster, max(dd) AS d FROM (SELECT cluster, k, round(max(abs(sa / na - sb / nb)), 9) AS dd FROM (SELECT cluster, k, v, sum(a) OVER (PARTITION BY cluster, k ORDER BY v)::DOUBLE AS sa, sum(a) OVER (PARTITION BY cluster, k) AS na, sum(b) OVER (PARTITION BY cluster, k ORDER BY v)::DOUBLE AS sb, sum(b) OVER (PARTITION BY cluster, k) AS nb

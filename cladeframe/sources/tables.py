@@ -3,6 +3,8 @@ dynamic axis (one column a cell or mutation) is data and never schema inference.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,83 @@ def read_mutations(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy("mut").agg(F.min("place").alias("place"))
 
 
+def read_spot_mutations(spark: SparkSession, path: str) -> DataFrame:
+    """mut: identifiers chrom_pos_germline_mutant of a table of spot genotypes, once each."""
+    f = _lines(spark, path).where("NOT value rlike '^(#|chrom)'").select(F.split(F.trim("value"), "\\s+").alias("f"))
+    return f.select(F.concat_ws("_", F.col("f")[0], F.col("f")[1], F.col("f")[3], F.col("f")[4]).alias("mut")).distinct()
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, pos, ref, alt (as it stands, several with commas) of lines chrom, position, ref, alt."""
+    f = _lines(spark, path).select(F.split(F.trim("value"), "\\s+").alias("f"))
+    return f.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("int").alias("pos"), F.col("f")[2].alias("ref"), F.col("f")[3].alias("alt"))
+
+
+def read_prior_positions(spark: SparkSession, path: str) -> DataFrame:
+    """mut: chrom_end_ref_N of lines chrom, start, end, ref; N stands for any alt."""
+    f = _lines(spark, path).select(F.split(F.trim("value"), "\\s+").alias("f"))
+    return f.select(F.concat_ws("_", F.col("f")[0], F.col("f")[2], F.col("f")[3], F.lit("N")).alias("mut"))
+
+
+def chromosome_files(paths: list[str]) -> dict[str, str]:
+    """chromosome: its file. Names are split at dots and underscores; a part that one name alone has is its chromosome. A single file's is the last
+    part but one. Names without a part of their own, or with several, are refused."""
+    parts = [re.split("[._]", p.rsplit("/", 1)[-1]) for p in paths]
+    if len(paths) == 1:
+        return {parts[0][-2] if len(parts[0]) > 1 else parts[0][0]: paths[0]}
+    seen = Counter(x for ps in parts for x in ps)
+    own = [[x for x in ps if seen[x] == 1] for ps in parts]
+    if any(len(x) != 1 for x in own):
+        raise ValueError(f"no unique part in each of {paths}")
+    return {x[0]: p for x, p in zip(own, paths)}
+
+
+def read_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """cell, gene, n of a folder with barcodes.tsv, features.tsv (name in the second column, or the only one) and matrix.mtx, gzipped or not: numbers of
+    lines in the first two name the rows and columns of the third."""
+
+    def named(what: str) -> DataFrame:
+        text = spark.read.text(f"{folder}/{what}.tsv*", wholetext=True).select(F.split(F.regexp_replace("value", "\\r|\\n$", ""), "\n").alias("l"))
+        return text.select(F.posexplode("l").alias("i", "l")).select((F.col("i") + 1).alias("i"), F.split("l", "\t").alias("f"))
+
+    genes = named("features").select(F.col("i").alias("g"), F.coalesce(F.get("f", F.lit(1)), F.col("f")[0]).alias("gene"))
+    cells = named("barcodes").select(F.col("i").alias("c"), F.col("f")[0].alias("cell"))
+    lines = _lines(spark, f"{folder}/matrix.mtx*").where("NOT startswith(value, '%')").select(F.split(F.trim("value"), "\\s+").alias("f"))
+    size = spark.read.text(f"{folder}/matrix.mtx*").where("NOT startswith(value, '%')").first()  # rows, columns, entries
+    rows = lines.where(F.array_join("f", " ") != " ".join(size[0].split())).select(F.col("f")[0].cast("int").alias("g"), F.col("f")[1].cast("int").alias("c"), F.col("f")[2].cast("double").alias("n"))
+    return rows.join(genes, "g").join(cells, "c").select("cell", "gene", "n")
+
+
+def read_expression(spark: SparkSession, path: str) -> DataFrame:
+    """cell, gene (upper case), n of an expression matrix: a folder as `read_counts` takes, Parquet with these columns, or HDF5 in the layout matrix/barcodes,
+    features/name, indptr, indices, data, where h5py is installed. A file of the last kind is read whole in one task."""
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path).select("cell", F.upper("gene").alias("gene"), F.col("n").cast("double").alias("n"))
+    if not path.endswith((".h5", ".h5ad")):
+        return read_counts(spark, path).withColumn("gene", F.upper("gene"))
+    try:
+        import h5py
+    except ImportError as e:
+        raise RuntimeError("HDF5 needs h5py; convert the matrix to Parquet with cell, gene, n") from e
+
+    def unpack(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf["content"]:
+                with h5py.File(io.BytesIO(content)) as f:
+                    m = f["matrix"]
+                    cells, genes = m["barcodes"][:].astype(str), m["features"]["name"][:].astype(str)
+                    ends, data, index = m["indptr"][:], m["data"][:], m["indices"][:]
+                    yield pd.DataFrame({"cell": np.repeat(cells, np.diff(ends)), "gene": genes[index], "n": data.astype(float)})
+
+    out = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "cell string, gene string, n double")
+    return out.withColumn("gene", F.upper("gene"))
+
+
 def read_barcodes(spark: SparkSession, path: str, pos: int = 1, in_tissue: int | None = 1) -> DataFrame:
     """barcode, x, y: a one-column list (x and y null), or comma-separated barcode, in_tissue and two coordinate pairs of which `pos` (1 or 2) is
     taken; in_tissue None keeps all spots."""
