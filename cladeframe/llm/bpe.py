@@ -1,7 +1,7 @@
 """Ids of a byte-level BPE vocabulary with word ends, for many words at once.
 
-The library merges one word at a time, about 20 microseconds each. Here the words of plain Latin
-text that a task has not met yet are merged together, one round of merges for all of them in
+The library merges one word at a time, about 20 microseconds each. Here words are looked up together, by hashes in arrays, and the
+words of plain Latin text that a task has not met yet are merged together, one round of merges for all of them in
 arrays; words with any other character go to the library. Both give the same ids (tested).
 """
 
@@ -27,16 +27,14 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(other)) for b in range(256)]
 
 
-class WordIds(common.Memo):
-    """Stretch between white space (bytes) -> its ids (bytes, little-endian unsigned 32-bit)."""
+class WordIds:
+    """Ids of stretches between white space, remembered in arrays: a table of their hashes, and where their ids lie."""
 
-    LIMIT, ENTRY = 60_000_000, 240  # most words are also a part
+    LIMIT = 500_000  # stretches; beyond it only those that were met since the last time stay
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.parts: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -47,6 +45,7 @@ class WordIds(common.Memo):
         pairs = np.array([(vocab[a] << 20 | vocab[b], vocab[a + b]) for a, b in merges], np.int64)
         self.merged = pairs[:, 1]
         self._index(pairs[:, 0])
+        self.clear()
 
     def _index(self, pairs: np.ndarray) -> None:
         """An open-addressed table of pair -> rank, at most an eighth full."""
@@ -82,18 +81,89 @@ class WordIds(common.Memo):
         return out
 
     def clear(self) -> None:
-        super().clear()
-        self.parts.clear()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Makes every one of the words known."""
-        new = [w for w in words if w not in self]
-        self.held += 4 * sum(map(len, new)) + self.ENTRY * len(new)
-        odd, parts, text = [], self.parts, []
+        self._keep(np.zeros(0, np.int64))
+
+    def _keep(self, some: np.ndarray) -> None:
+        """Forgets all but some of the stretches."""
+        n = len(some)
+        if n:
+            ids, size, hashes = self._gather(some), self.size[some], self.hashes[some]
+        self.slots = np.zeros(1 << (4 * self.LIMIT).bit_length(), np.int32)  # number of a stretch + 1; 0 is free
+        self.hashes, self.first, self.size, self.met = (np.zeros(1024, k) for k in (np.uint64, np.int64, np.int64, bool))
+        self.ids, self.used, self.known = np.zeros(4096, np.uint32), 0, 0
+        if n:
+            self._add(hashes, ids, size)
+
+    def _gather(self, some: np.ndarray) -> np.ndarray:
+        size = self.size.take(some)
+        return self.ids.take(np.arange(size.sum()) + np.repeat(self.first.take(some) - np.cumsum(size) + size, size))
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of new stretches."""
+        n, number = len(hashes), np.arange(self.known, self.known + len(hashes))
+        for name, more in (("hashes", self.known + n), ("first", self.known + n), ("size", self.known + n), ("met", self.known + n), ("ids", self.used + len(ids))):
+            if more > len(x := getattr(self, name)):
+                setattr(self, name, np.concatenate([x, np.zeros(max(more - len(x), len(x)), x.dtype)]))
+        self.hashes[number], self.size[number] = hashes, size
+        self.first[number] = self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used, self.known = self.used + len(ids), self.known + n
+        if 2 * self.known > len(self.slots):
+            self.slots = np.zeros(4 * len(self.slots), np.int32)
+            number = np.arange(self.known)
+        left, slot = number, self._place(self.hashes[number])
+        while len(left):
+            free = self.slots[slot] == 0
+            at = np.flatnonzero(free)
+            at = at[np.unique(slot[at], return_index=True)[1]]
+            self.slots[slot[at]] = left[at] + 1
+            stay = np.ones(len(left), bool)
+            stay[at] = False
+            left, slot = left[stay], (slot[stay] + 1) & (len(self.slots) - 1)
+        return np.arange(self.known - n, self.known)
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - (len(self.slots).bit_length() - 1))).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of stretches, -1 of unknown ones."""
+        slot = self._place(hashes)
+        out = self.slots.take(slot).astype(np.int64) - 1
+        open_ = np.flatnonzero((out >= 0) & (self.hashes.take(out) != hashes))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
+            out[open_] = self.slots.take(slot[open_]).astype(np.int64) - 1
+            open_ = open_[(out[open_] >= 0) & (self.hashes.take(out[open_]) != hashes[open_])]
+        return out
+
+    def of(self, texts: list[bytes]):
+        """The ids of each text, little-endian unsigned 32-bit."""
+        if self.known > self.LIMIT:
+            self._keep(np.flatnonzero(self.met[: self.known]))
+        split = [common.word_hashes(t) for t in texts]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _, _ in split)])
+        ends = np.cumsum([len(h) for h, _, _ in split])
+        number = self._find(hashes)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new, one, back = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+            places = unknown[one]
+            start, end = (np.concatenate([x[k] for x in split]).take(places).tolist() for k in (1, 2))
+            ids = self.learn([texts[t][a:b] for t, a, b in zip(np.searchsorted(ends, places, side="right").tolist(), start, end)])
+            number[unknown] = self._add(new, np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2)[back]
+        self.met[number] = True
+        ids = self._gather(number)
+        cut = np.concatenate(([0], np.cumsum(self.size.take(number))))[np.concatenate(([0], ends)).astype(np.int64)].tolist()
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield ids[a:b].tobytes()
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of the words."""
+        said = b"\n".join(words).decode("utf-8", "replace").split("\n")
         plain, find = PLAIN.fullmatch, SPLIT.findall
-        for w in new:
-            t = w.decode("utf-8", "replace")
-            if t.isalpha() and (t.isascii() or plain(t)):
+        odd, parts, text = [], {}, []
+        for t, alpha in zip(said, map(str.isalpha, said)):
+            if alpha and (t.isascii() or plain(t)):
                 text.append(t.lower())
             elif t[-1] in ".," and t[:-1].isalpha() and (t.isascii() or plain(t)):
                 text.append((t[:-1].lower(), t[-1]))
@@ -102,21 +172,16 @@ class WordIds(common.Memo):
             else:
                 text.append(None)
                 odd.append(t)
-        self._merge({q for p in text if p is not None for q in ((p,) if type(p) is str else p) if q not in parts})
+        self._merge({q for p in text if p is not None for q in ((p,) if type(p) is str else p)}, parts)
         library = iter(self.library.encode_batch(odd, add_special_tokens=False))
-        for w, p in zip(new, text):
-            if type(p) is str:
-                self[w] = parts[p]
-            elif p is None:
-                self[w] = np.array(next(library).ids, "<u4").tobytes()
-            else:
-                self[w] = b"".join([parts[q] for q in p])
+        get = parts.__getitem__
+        return [get(p) if type(p) is str else np.array(next(library).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for p in text]
 
-    def _merge(self, parts: set[str]) -> None:
-        todo = list(parts)
+    def _merge(self, todo: set[str], parts: dict[str, bytes]) -> None:
+        todo = list(todo)
         for at in range(0, len(todo), 40_000):
             some = todo[at : at + 40_000]
-            self.parts.update(zip(some, self._merged([p.encode() for p in some])))
+            parts.update(zip(some, self._merged([p.encode() for p in some])))
 
     def _merged(self, words: list[bytes]) -> list[bytes]:
         raw = np.frombuffer(b"".join(words), np.uint8)

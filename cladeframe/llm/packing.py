@@ -130,17 +130,8 @@ def token_bytes(texts: list[bytes], path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _IDS:
         _IDS[path] = WordIds(path)
-    ids = _IDS[path].begin()
-    end = b"\0\0\0\0"
-    split = [text.split() for text in texts]
-    if ids.full():
-        ids.clear()
-    known = [list(map(ids.get, words)) for words in split]
-    new = {w for words, k in zip(split, known) if None in k for w, i in zip(words, k) if i is None}
-    if new:
-        ids.learn(new)
-    for words, k in zip(split, known):
-        yield b"".join(map(ids.__getitem__, words) if None in k else k) + end
+    for raw in _IDS[path].of(texts):
+        yield raw + b"\0\0\0\0"
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
