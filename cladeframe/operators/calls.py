@@ -114,7 +114,7 @@ def node_key(names: Column) -> Column:
 def immune_split(geno: DataFrame, immune: DataFrame) -> DataFrame:
     """cell (text), mut, state. A cell that has 1s of both immune and other mutations becomes two, `-immune` and `-non`, each with
     the other side's states missing; other cells stay."""
-    marked = geno.join(F.broadcast(immune.select("mut", F.lit(True).alias("immune"))), "mut", "left").withColumn("immune", F.coalesce("immune", F.lit(False)))
+    marked = geno.join(immune.select("mut", F.lit(True).alias("immune")), "mut", "left").withColumn("immune", F.coalesce("immune", F.lit(False)))
     both = marked.where("state = 1").groupBy("cell").agg(F.max("immune").alias("a"), F.min("immune").alias("b")).where("a AND NOT b").select("cell", F.lit(True).alias("two"))
     rows = marked.join(both, "cell", "left").withColumn("side", F.explode(F.expr("CASE WHEN two THEN array('immune', 'non') ELSE array('') END")))
     state = "CASE WHEN side = '' OR (side = 'immune') = immune THEN state END"

@@ -40,7 +40,7 @@ def across_tree_ratios(rows: DataFrame) -> DataFrame:
     fp = rows.where(KINDS["fp"]).select("cell", F.col("mut").alias("o"))
     total = fp.groupBy("o").agg(F.count("*").alias("n"))
     cells = rows.where("v = 1").select("cell", "mut")
-    inside = cells.join(fp, "cell").where("mut <> o").groupBy("mut", "o").agg(F.count("*").alias("k")).join(F.broadcast(total), "o")
+    inside = cells.join(fp, "cell").where("mut <> o").groupBy("mut", "o").agg(F.count("*").alias("k")).join(total, "o")
     sums = inside.groupBy("mut").agg(F.sum(F.expr("k / n")).alias("s"))
     muts = rows.select("mut").distinct()
     others = muts.agg((F.count("*") - 1).alias("others"))
@@ -56,7 +56,7 @@ def subclone_ratios(rows: DataFrame, groups: DataFrame) -> DataFrame:
     its own (a group of one: 0)."""
     cells = rows.where("v = 1").select("cell", "mut")
     size = cells.groupBy("mut").agg(F.count("*").alias("n"))
-    g = F.broadcast(groups)
+    g = groups
     fp = rows.where(KINDS["fp"]).select("cell", F.col("mut").alias("o")).join(g.toDF("o", "go"), "o")
     pairs = cells.join(g.toDF("mut", "gm"), "mut").join(fp, "cell").where("mut <> o")
     side = lambda c: pairs.where(c).select("mut", "cell").distinct().groupBy("mut").agg(F.count("*").alias("k"))
@@ -66,7 +66,7 @@ def subclone_ratios(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def site_ratio(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """mut, fp, ones, ratio: false positives among a mutation's observed 1s in the cells of its own group."""
-    g = F.broadcast(groups)
+    g = groups
     inside = rows.where("v = 1").join(g, "mut").select("grp", "cell").distinct()
     own = rows.where("state = 1").join(g, "mut").join(inside, ["grp", "cell"], "left_semi")
     return own.groupBy("mut").agg(F.count_if(F.col("v") == 0).alias("fp"), F.count("*").alias("ones")).withColumn("ratio", F.expr("fp / ones"))
@@ -96,7 +96,7 @@ def retention(observed: DataFrame, imputed: DataFrame, tree: DataFrame) -> DataF
     rows = compare(observed, imputed)
     retained = rows.where("state = 1 AND v = 1").select("cell", "mut")
     up = closure(tree).where("depth > 0").select(F.col("node").alias("mut"), F.col("ancestor").alias("a"))
-    pairs = retained.join(F.broadcast(up), "mut").join(rows.select("cell", F.col("mut").alias("a"), "state", "v"), ["cell", "a"])
+    pairs = retained.join(up, "mut").join(rows.select("cell", F.col("mut").alias("a"), "state", "v"), ["cell", "a"])
     out = pairs.groupBy("mut").agg(F.count_if(F.expr("state = 1")).alias("kept"), F.count_if(F.expr(KINDS["fn"])).alias("flips"), F.count_distinct(F.expr("CASE WHEN state = 1 THEN cell END")).alias("cells"))
     full = rows.select("mut").distinct().join(out, "mut", "left")
     return full.select("mut", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("flips", F.lit(0)).alias("flips"), F.expr("coalesce(try_divide(kept, kept + flips), 1D)").alias("ratio"), F.coalesce("cells", F.lit(0)).alias("cells"))
@@ -114,7 +114,7 @@ def removable_cells(support: DataFrame, both: int = 1, fn: int = 1, to_one: int
 def outgroup_conflicts(rows: DataFrame, outgroup: DataFrame) -> DataFrame:
     """cell, main, out, decision: cells imputed in both the tree and an outgroup mutation; the side with more observed 1s wins, a tie goes to
     the outgroup."""
-    marked = rows.join(F.broadcast(outgroup.select("mut", F.lit(1).alias("o"))), "mut", "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    marked = rows.join(outgroup.select("mut", F.lit(1).alias("o")), "mut", "left").withColumn("o", F.coalesce("o", F.lit(0)))
     per = marked.groupBy("cell").agg(
         F.count_if(F.expr("o = 0 AND v = 1")).alias("vm"), F.count_if(F.expr("o = 1 AND v = 1")).alias("vo"),
         F.count_if(F.expr("o = 0 AND v = 1 AND state = 1")).alias("main"), F.count_if(F.expr("o = 1 AND v = 1 AND state = 1")).alias("out"),
@@ -128,7 +128,7 @@ def conflicting_cells(rows: DataFrame, outgroup: DataFrame) -> DataFrame:
 
 def resolve_outgroup(imputed: DataFrame, decisions: DataFrame, outgroup: DataFrame) -> DataFrame:
     """imputed without, in each conflicting cell, the losing side's 1s."""
-    marked = imputed.join(F.broadcast(outgroup.select("mut", F.lit(True).alias("o"))), "mut", "left").join(decisions.select("cell", "decision"), "cell", "left")
+    marked = imputed.join(outgroup.select("mut", F.lit(True).alias("o")), "mut", "left").join(decisions.select("cell", "decision"), "cell", "left")
     return marked.where("decision IS NULL OR (decision = 'outgroup') = coalesce(o, false)").select("cell", "mut")
 
 

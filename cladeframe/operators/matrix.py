@@ -103,7 +103,7 @@ def freeze_ones(geno: DataFrame, groups: DataFrame, stats: DataFrame) -> tuple[D
     """(mut, place), (cell, first): mutations by group and fraction downwards; a cell's key is the first of them at which it is 1."""
     w = Window.orderBy("grp", F.desc(F.round("mutant_fraction", 9)), "mut")
     muts = groups.join(stats, "mut").select("mut", F.row_number().over(w).alias("place"))
-    keyed = geno.where("state = 1").join(F.broadcast(muts), "mut").groupBy("cell").agg(F.min("place").alias("first"))
+    keyed = geno.where("state = 1").join(muts, "mut").groupBy("cell").agg(F.min("place").alias("first"))
     everyone = geno.select("cell").distinct().join(keyed, "cell", "left")
     return muts, everyone.select("cell", F.coalesce("first", F.lit(1 << 30)).alias("first"))
 
@@ -177,7 +177,7 @@ def absorb_subsets(signatures: DataFrame) -> DataFrame:
 def plot_order(geno: DataFrame, cells: DataFrame, stats: DataFrame) -> DataFrame:
     """cell, cell_type, n, place: cells ordered by their first mutation in `final_order` and then by how many they have."""
     order = final_order(stats).select("mut", "place")
-    per = geno.where("state = 1").join(F.broadcast(order), "mut").groupBy("cell").agg(F.min("place").alias("clone_order"), F.count("*").alias("n"))
+    per = geno.where("state = 1").join(order, "mut").groupBy("cell").agg(F.min("place").alias("clone_order"), F.count("*").alias("n"))
     return per.join(cells, "cell").select("cell", "cell_type", "clone_order", "n", F.row_number().over(Window.partitionBy("clone_order").orderBy(F.desc("n"), "cell")).alias("place"))
 
 
@@ -185,7 +185,7 @@ def clone_labels(geno: DataFrame, founders_: DataFrame) -> DataFrame:
     """cell, label (C1..): a label for each backbone mutation that the cell has, numbered in the order of groups."""
     w = Window.orderBy("grp")
     names = founders_.select(F.col("founder").alias("mut"), F.concat(F.lit("C"), F.dense_rank().over(w).cast("string")).alias("label"))
-    return geno.where("state = 1").join(F.broadcast(names), "mut").select("cell", "label", F.col("mut").alias("backbone"))
+    return geno.where("state = 1").join(names, "mut").select("cell", "label", F.col("mut").alias("backbone"))
 
 
 def cell_quality(counts: DataFrame, mitochondrial: str = "gene LIKE 'MT-%'", share: float = 0.25, genes: int = 500) -> DataFrame:

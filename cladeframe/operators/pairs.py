@@ -35,7 +35,7 @@ def jaccard(pairs: DataFrame) -> DataFrame:
 
 def fractions(pairs: DataFrame, ones: DataFrame) -> DataFrame:
     """fu, fv: shared cells by all cells with a 1 of u (of v), whether the other is known there or not."""
-    a, b = F.broadcast(ones.toDF("u", "ou")), F.broadcast(ones.toDF("v", "ov"))
+    a, b = ones.toDF("u", "ou"), ones.toDF("v", "ov")
     return pairs.join(a, "u").join(b, "v").withColumn("fu", F.expr("coalesce(try_divide(n11, ou), 0D)")).withColumn("fv", F.expr("coalesce(try_divide(n11, ov), 0D)")).drop("ou", "ov")
 
 
@@ -76,7 +76,7 @@ def reference_cells(geno: DataFrame, edges: DataFrame) -> DataFrame:
     )
     degree = near.groupBy("r").agg(F.count("*").alias("degree"))
     cut = cut.join(degree, "r").where("degree >= 3 AND top > 2 AND low <= 0.5").select("r", F.expr("coalesce(inside, top + 1)").alias("q"))
-    return own.select("r", "cell").union(sums.join(F.broadcast(cut), "r").where("s >= q").select("r", "cell")).distinct()
+    return own.select("r", "cell").union(sums.join(cut, "r").where("s >= q").select("r", "cell")).distinct()
 
 
 def false_positive_scores(geno: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def drop_lone(clones: DataFrame, stats: DataFrame, runs: float, mcf: float = 0.0
 
 def group_weights(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """a < b, w: summed weights between groups."""
-    g = F.broadcast(groups)
+    g = groups
     both = edges.join(g.toDF("u", "gu"), "u").join(g.toDF("v", "gv"), "v").where("gu <> gv")
     return both.groupBy(F.least("gu", "gv").alias("a"), F.greatest("gu", "gv").alias("b")).agg(F.sum("w").alias("w"))
 
@@ -156,7 +156,7 @@ def components_of(pairs: DataFrame) -> DataFrame:
 def backbone_support(geno: DataFrame, groups: DataFrame, backbone: DataFrame) -> DataFrame:
     """mut, grp, cells, share: for each mutation and backbone group, the mutation's mutant cells that carry the backbone."""
     ones = geno.where("state = 1").select("cell", "mut")
-    carriers = ones.join(F.broadcast(backbone.select(F.col("founder").alias("mut"), "grp")), "mut").select("cell", "grp").distinct()
+    carriers = ones.join(backbone.select(F.col("founder").alias("mut"), "grp"), "mut").select("cell", "grp").distinct()
     total = ones.groupBy("mut").agg(F.count("*").alias("n"))
     return ones.join(carriers, "cell").groupBy("mut", "grp").agg(F.count("*").alias("cells")).join(total, "mut").select("mut", "grp", "cells", F.expr("cells / n").alias("share"))
 
@@ -177,9 +177,9 @@ def clone_affinity(edges: DataFrame, groups: DataFrame, founders: DataFrame) ->
     """mut, grp, ratio, rep, score: the share of a group's mutations that a mutation is correlated to, whether its founder is one, and
     the share times a size factor 0.7 + 0.3 min(1, size / 10)."""
     size = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    near = neighbours(edges).toDF("mut", "other").join(F.broadcast(groups.toDF("other", "grp")), "other")
-    near = near.join(F.broadcast(founders.select("grp", "founder")), "grp")
-    out = near.groupBy("mut", "grp").agg(F.count("*").alias("k"), F.max((F.col("other") == F.col("founder")).cast("int")).alias("rep")).join(F.broadcast(size), "grp")
+    near = neighbours(edges).toDF("mut", "other").join(groups.toDF("other", "grp"), "other")
+    near = near.join(founders.select("grp", "founder"), "grp")
+    out = near.groupBy("mut", "grp").agg(F.count("*").alias("k"), F.max((F.col("other") == F.col("founder")).cast("int")).alias("rep")).join(size, "grp")
     return out.select("mut", "grp", F.expr("k / size").alias("ratio"), "rep", F.expr("k / size * (0.7D + 0.3D * least(1D, size / 10D))").alias("score"), "size")
 
 
@@ -192,6 +192,6 @@ def best_clone(affinity: DataFrame) -> DataFrame:
 def group_presence(geno: DataFrame, groups: DataFrame, clone: DataFrame) -> DataFrame:
     """grp, fraction: the share of a clone's cells that have any mutation of the group."""
     n = clone.agg(F.countDistinct("cell").alias("n"))
-    seen = geno.where("state = 1").join(clone.select("cell"), "cell", "left_semi").join(F.broadcast(groups), "mut").select("grp", "cell").distinct()
+    seen = geno.where("state = 1").join(clone.select("cell"), "cell", "left_semi").join(groups, "mut").select("grp", "cell").distinct()
     out = groups.select("grp").distinct().join(seen.groupBy("grp").agg(F.count("*").alias("k")), "grp", "left").crossJoin(F.broadcast(n))
     return out.select("grp", F.expr("coalesce(try_divide(coalesce(k, 0), n), 0D)").alias("fraction"))

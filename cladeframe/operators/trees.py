@@ -65,7 +65,7 @@ def star(founders: DataFrame, root: int = -1) -> DataFrame:
 def first_level(tree: DataFrame, root: int = ROOT) -> DataFrame:
     """clone, node: nodes below each child of the root, itself included."""
     tops = tree.where(F.col("parent") == root).select(F.col("node").alias("clone"))
-    return closure(tree).join(F.broadcast(tops), F.col("ancestor") == F.col("clone")).select("clone", "node")
+    return closure(tree).join(tops, F.col("ancestor") == F.col("clone")).select("clone", "node")
 
 
 def clone_backbones(tree: DataFrame, stats: DataFrame, root: int = ROOT) -> DataFrame:
@@ -76,7 +76,7 @@ def clone_backbones(tree: DataFrame, stats: DataFrame, root: int = ROOT) -> Data
 
 def cell_clones(geno: DataFrame, groups: DataFrame, founders: DataFrame) -> DataFrame:
     """cell, grp: the group with most mutations at 1; then whether its founder is 1; then the least group."""
-    ones = geno.where("state = 1").join(F.broadcast(groups), "mut").join(F.broadcast(founders.select("grp", "founder")), "grp")
+    ones = geno.where("state = 1").join(groups, "mut").join(founders.select("grp", "founder"), "grp")
     rows = ones.groupBy("cell", "grp").agg(F.count("*").alias("n"), F.max((F.col("mut") == F.col("founder")).cast("int")).alias("f"))
     w = Window.partitionBy("cell").orderBy(F.desc("n"), F.desc("f"), "grp")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("cell", "grp", F.col("n").alias("score"))
@@ -84,7 +84,7 @@ def cell_clones(geno: DataFrame, groups: DataFrame, founders: DataFrame) -> Data
 
 def weighted_cell_clones(geno: DataFrame, groups: DataFrame, founders: DataFrame, weight: float = 2.0) -> DataFrame:
     """cell, grp, score: a founder counts `weight`, other mutations 1."""
-    ones = geno.where("state = 1").join(F.broadcast(groups), "mut").join(F.broadcast(founders.select("grp", "founder")), "grp")
+    ones = geno.where("state = 1").join(groups, "mut").join(founders.select("grp", "founder"), "grp")
     rows = ones.groupBy("cell", "grp").agg(F.sum(F.expr(f"CASE WHEN mut = founder THEN {weight}D ELSE 1D END")).alias("score"))
     w = Window.partitionBy("cell").orderBy(F.desc("score"), "grp")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("cell", "grp", "score")
@@ -92,9 +92,9 @@ def weighted_cell_clones(geno: DataFrame, groups: DataFrame, founders: DataFrame
 
 def prevalent_cell_clones(geno: DataFrame, groups: DataFrame) -> DataFrame:
     """cell, grp, score: by count, then by how many mutant cells the group has, then by its size, then the least group."""
-    ones = geno.where("state = 1").join(F.broadcast(groups), "mut")
+    ones = geno.where("state = 1").join(groups, "mut")
     size = groups.groupBy("grp").agg(F.count("*").alias("size")).join(ones.groupBy("grp").agg(F.countDistinct("cell").alias("prevalence")), "grp", "left")
-    rows = ones.groupBy("cell", "grp").agg(F.count("*").alias("score")).join(F.broadcast(size), "grp")
+    rows = ones.groupBy("cell", "grp").agg(F.count("*").alias("score")).join(size, "grp")
     w = Window.partitionBy("cell").orderBy(F.desc("score"), F.desc("prevalence"), F.desc("size"), "grp")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("cell", "grp", "score")
 
@@ -110,7 +110,7 @@ def intersecting_nodes(geno: DataFrame, node_mut: DataFrame, mut: int) -> DataFr
     """node, shared: nodes with a mutation that shares a mutant cell with a new one; shared is the greatest count."""
     from .pairs import intersecting
 
-    return intersecting(geno, mut).join(F.broadcast(node_mut), "mut").groupBy("node").agg(F.max("shared").alias("shared"))
+    return intersecting(geno, mut).join(node_mut, "mut").groupBy("node").agg(F.max("shared").alias("shared"))
 
 
 def path_nodes(tree: DataFrame, nodes: DataFrame, root: int = ROOT) -> DataFrame:
@@ -185,7 +185,7 @@ def imputed_leaf(geno: DataFrame, imputed: DataFrame, tree: DataFrame, mut: int,
     """cell: a new leaf's cells, those of the mutation without cells of nodes outside the anchor's lineage (neither above nor the anchor itself)."""
     new = geno.where((F.col("mut") == mut) & (F.col("state") == 1)).select("cell")
     lineage = closure(tree).where(F.col("node") == anchor).select(F.col("ancestor").alias("mut")).union(tree.sparkSession.createDataFrame([(ROOT,), (anchor,)], "mut long")).distinct()
-    others = imputed.where(F.col("mut") != mut).join(F.broadcast(lineage), "mut", "left_anti").select("cell").distinct()
+    others = imputed.where(F.col("mut") != mut).join(lineage, "mut", "left_anti").select("cell").distinct()
     return new.join(others, "cell", "left_anti")
 
 
@@ -199,13 +199,13 @@ def chain_penalty(geno: DataFrame, imputed: DataFrame, new_cells: DataFrame, cha
 def remove_nodes(tree: DataFrame, gone: DataFrame) -> DataFrame:
     """tree without some nodes; children go to their nearest ancestor that stays."""
     up = closure(tree).where("depth > 0")
-    alive = up.join(F.broadcast(gone.select(F.col("node").alias("ancestor"))), "ancestor", "left_anti")
-    return alive.join(F.broadcast(gone.select("node")), "node", "left_anti").groupBy("node").agg(F.min_by("ancestor", "depth").alias("parent"))
+    alive = up.join(gone.select(F.col("node").alias("ancestor")), "ancestor", "left_anti")
+    return alive.join(gone.select("node"), "node", "left_anti").groupBy("node").agg(F.min_by("ancestor", "depth").alias("parent"))
 
 
 def branch_groups(tree: DataFrame, listed: DataFrame) -> DataFrame:
     """key, members: listed nodes along each path from the root, maximal sets only, keyed by the earliest."""
-    on = closure(tree).join(F.broadcast(listed.select(F.col("node").alias("ancestor"))), "ancestor", "left_semi")
+    on = closure(tree).join(listed.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
     sets = on.join(listed, "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("ancestor")).alias("members"), F.max_by("ancestor", "depth").alias("key")).select("key", "members").distinct()
     big = sets.select(F.col("key").alias("key"), F.col("members").alias("b"))
     inside = sets.join(big, "key").where("size(b) > size(members) AND size(array_except(members, b)) = 0").select("key", "members").distinct()

@@ -57,7 +57,7 @@ def imputed(spark: SparkSession, d: str) -> DataFrame:
     from cladeframe.operators.trees import closure
 
     above = closure(tree(spark)).select(F.col("node").alias("mut"), F.col("ancestor").alias("up"))
-    on = geno(spark, d).where("state = 1").join(F.broadcast(above), "mut").select("cell", F.col("up").alias("mut")).distinct()
+    on = geno(spark, d).where("state = 1").join(above, "mut").select("cell", F.col("up").alias("mut")).distinct()
     return on.withColumn("v", F.lit(1))
 
 
