@@ -18,25 +18,27 @@ from cladeframe.llm.secret_scan import redact
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labelled ones among docs."""
+    """Documents that the classifier rejects go. It learns from the labelled ones among docs. Null and empty texts are judged by their structure;
+    a row without doc_id stays, repeated rows go or stay together, an empty table stays empty."""
     scored = common.keep(quality(docs, common.load(spark, sf_dir, "labels"), metadata=["n_chars"]), "scored")
     return common.decided(docs, scored.where("predicted = 0"), "left_anti")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one of least doc_id."""
+    """One document of each class of near duplicates stays, the one of least doc_id. Texts without words and rows without doc_id stay; rows that
+    repeat a doc_id stay together if theirs is the least."""
     gone = common.keep(near_duplicates(docs).where("NOT kept").select("doc_id"), "gone")
     return common.decided(docs, gone, "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; a row without doc_id can't be named and stays."""
     found = common.keep(contamination(docs, common.load(spark, sf_dir, "benchmark")), "contaminated")
     return common.decided(docs, found, "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are overwritten and n_chars, where that column is, is counted again."""
+    """Every document stays; its secrets are overwritten and n_chars, where that column is, is counted again. Null texts stay null."""
     out = redact(docs)
     if "n_chars" not in docs.columns:
         return out
@@ -45,7 +47,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place."""
+    """The pieces of all documents, each with its sequence and place. A null or empty text is its end alone; equal lengths are told apart by doc_id
+    and place; an empty table gives no pieces."""
     return best_fit_packing(docs)
 
 
