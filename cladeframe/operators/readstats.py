@@ -118,13 +118,15 @@ def mean_read_length(reads: DataFrame, length: str = "qual") -> DataFrame:
 def allele_features(reads: DataFrame) -> DataFrame:
     """mut, base: reads, cells, umis, mean and median quality and mapping quality, reverse share, distinct places, share of the most
     common place, reads per umi and per cell, share of reads of mapping quality 0."""
-    place = reads.groupBy("mut", "base", "place").agg(F.count("*").alias("k")).groupBy("mut", "base").agg(F.max("k").alias("top"))
+    # distinct values in two aggregations each: several in one would multiply every read
+    kinds = lambda c, name: reads.groupBy("mut", "base", c).agg(F.count("*").alias("k")).groupBy("mut", "base").agg(F.count(c).alias(name), F.max("k").alias("top"))
     out = reads.groupBy("mut", "base").agg(
-        F.count("*").alias("reads"), F.count_distinct("cell").alias("cells"), F.count_distinct("umi").alias("umis"), F.avg("qual").alias("mean_quality"),
-        F.expr("median(qual)").alias("median_quality"), F.avg("mapq").alias("mean_mapq"), F.avg(F.expr("CASE WHEN reverse THEN 1D ELSE 0D END")).alias("reverse_share"),
-        F.count_distinct("place").alias("places"), F.avg(F.expr("CASE WHEN mapq = 0 THEN 1D ELSE 0D END")).alias("multi_share"),
+        F.count("*").alias("reads"), F.avg("qual").alias("mean_quality"), F.expr("median(qual)").alias("median_quality"), F.avg("mapq").alias("mean_mapq"),
+        F.avg(F.expr("CASE WHEN reverse THEN 1D ELSE 0D END")).alias("reverse_share"), F.avg(F.expr("CASE WHEN mapq = 0 THEN 1D ELSE 0D END")).alias("multi_share"),
     )
-    return out.join(place, ["mut", "base"]).select("*", F.expr("top / reads").alias("top_place"), F.expr("reads / umis").alias("per_umi"), F.expr("reads / cells").alias("per_cell")).drop("top")
+    for c, name in (("cell", "cells"), ("umi", "umis")):
+        out = out.join(kinds(c, name).drop("top"), ["mut", "base"])
+    return out.join(kinds("place", "places"), ["mut", "base"]).select("*", F.expr("top / reads").alias("top_place"), F.expr("reads / umis").alias("per_umi"), F.expr("reads / cells").alias("per_cell")).drop("top")
 
 
 def strand_table(reads: DataFrame, ref: str = "A", alt: str = "T") -> DataFrame:
