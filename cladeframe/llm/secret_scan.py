@@ -26,10 +26,10 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 # The method's own parts: a token of 20 characters or more with capitals, small letters and digits; a login
-# name; an endpoint
+# name; an endpoint (a mailbox's name has 64 characters at most, without which a long word would be tried from each of its places)
 TOKEN = r"[A-Za-z0-9+/]{20,}"
 LOGIN = r"""(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[cC][lL][iI][eE][nN][tT]_?[iI][dD])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-ENDPOINT = r"(?:https?|ftp|jdbc|s3|redis|amqp|postgres|postgresql|mysql|mongodb)://[^\x20\x09-\x0D\x22\x27<>]+|[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
+ENDPOINT = r"(?:https?|ftp|jdbc|s3|redis|amqp|postgres|postgresql|mysql|mongodb)://[^\x20\x09-\x0D\x22\x27<>]+|[A-Za-z0-9._-]{1,64}@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
 MARK = "[SECRET]"
 _RUN = 256  # places summed in one go, so that many matches cost no square
 

@@ -62,7 +62,7 @@ FEATURES = (
     _share("[0-9]", "host"), _share("[0-9]", "path"), _entropy("host"), _entropy("path"), _number("regexp_count(host, '-')"),
     _number("CASE WHEN instr(url, '?') > 0 THEN 1 + regexp_count(url, '&') ELSE 0 END"), _number("regexp_count(url, '=')"),
     "CASE WHEN instr(url, '#') > 0 THEN 1 ELSE 0 END", "CASE WHEN startswith(url, 'https') THEN 1 ELSE 0 END",
-    _scale("length(regexp_extract(path, '[^/]*$', 0))"), _number("regexp_count(path, '[.]')"),
+    _scale("length(substring_index(path, '/', -1))"), _number("regexp_count(path, '[.]')"),
 )
 SUFFIX_FEATURES = 2  # share of blocked among labelled urls of the suffix, and how many urls have it
 WIDTH = len(FEATURES) + SUFFIX_FEATURES
@@ -73,7 +73,7 @@ def parse(pages: DataFrame, key: str = "page_id") -> DataFrame:
     out = common.pick(pages, key, "url").toDF("page_id", "url").withColumn("url", F.coalesce("url", F.lit("")))
     for name, sql in PARSE.items():
         out = out.withColumn(name, F.expr(sql))
-    return out.select("page_id", "url", "host", "path", F.expr("regexp_extract(host, '[^.]*$', 0)").alias("suffix"))
+    return out.select("page_id", "url", "host", "path", F.expr("substring_index(host, '.', -1)").alias("suffix"))
 
 
 def with_features(parsed: DataFrame) -> DataFrame:

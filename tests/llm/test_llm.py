@@ -699,6 +699,38 @@ def test_own_ids_are_the_librarys():
         assert ids.known < 2000
 
 
+# ---- very long texts
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    rng = random.Random(77)
+    twenty = prose(rng, 20_000)
+    return [twenty, twenty + " and one more", "z" * 1_200_000, "z" * 1_200_000 + " tail", "#" * 300_000 + "\n" * 200_000, prose(rng, 40)]
+
+
+def test_long_texts(spark, long_texts):
+    """20000 words, words and runs of marks of a megabyte: every operator gives its row, and the right one where brute force can say."""
+    docs = frame(spark, long_texts)
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.token_counts(docs.where("doc_id IN (0, 4, 5)")).collect()}
+    assert [got[i][0] for i in (0, 4, 5)] == [20_000, 1, 40]
+    base = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert [base[i].n_words for i in range(6)] == [len(t.split()) for t in long_texts] and base[4].n_symbols == 300_000 and base[2].base_failed
+    near = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert near[0] == near[1] == 0 and len(near) == 6
+    found = [r for r in substring_dedup.repeated_passages(docs).collect() if r.kind == "exact"]
+    assert {(r.doc_id, r.start_word, r.end_word) for r in found} == {(0, 0, 20_000), (1, 0, 20_000)}
+    assert {r.doc_id: r.spans for r in secret_scan.secrets(docs).collect()} == dict.fromkeys(range(6), "")
+    bench = spark.createDataFrame([(1, " ".join(long_texts[0].split()[9000:9040])), (2, long_texts[2])], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, bench).collect()} == {(0, 1), (1, 1), (2, 2), (3, 2)}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.quality(docs, labels).count() == 6
+    packed = packing.best_fit_packing(docs.where("doc_id IN (0, 4, 5)")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in packed} == {0, 4, 5} and all(r.n > 20 for r in packed)
+    pages = spark.createDataFrame([(1, "https://" + "a" * 400_000 + ".com/" + "b" * 400_000), (2, "https://" + "a." * 200_000)], "page_id long, url string")
+    assert {r.page_id: len(r.host) for r in url_filter.judge(pages, trees=1).collect()} == {1: 400_004, 2: 400_000}
+
+
 # ---- shared
 
 

@@ -44,3 +44,24 @@ def test_stages(spark, tmp_path):
     assert all(r.text == texts[i] for i, r in final.items() if not brute_spans(texts[i])) and final[31].n_chars == len(final[31].text)
     assert set(left["best_fit_packing"]) == set(final)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_stages_on_odd_inputs(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, an empty table, a column whose name clashes."""
+    rng = random.Random(3)
+    good = prose(rng, 60)
+    rows = [(1, good, None, None, 5, "x"), (1, good, None, None, 5, "x"), (2, None, "en", "s", None, None), (3, "", "en", "s", 0, "y"), (None, "a b", None, "s", 3, "z"), (None, None, None, None, None, None), (4, "password=abcdefghijklmnop", "en", None, None, "w")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Text string"
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 5)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(rng, 30)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            assert out.columns == docs.columns and len(got) == n, name
+            if name == "secret_scans" and n:
+                text = {r[0]: r[1] for r in got}
+                assert text[4] == "[SECRET]" and text[1] == good and text[2] is None and {r[4] for r in got if r[0] == 4} == {8}
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert len(pieces) == n and all(r.length >= 1 for r in pieces)
