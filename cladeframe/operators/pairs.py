@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.session import keep
+
 from .graph import components
 
 LOW, FRACTION, CELLS = 0.08, 0.5, 1  # least Jaccard; else least fraction of either; least shared cells
@@ -82,7 +84,8 @@ def reference_cells(geno: DataFrame, edges: DataFrame) -> DataFrame:
 def false_positive_scores(geno: DataFrame, edges: DataFrame) -> DataFrame:
     """r, fp_mean, fp_std, fp_cv over mutations with any mutant cell: the share of their mutant cells outside r's cell set if they
     are r's neighbours, inside it otherwise."""
-    u = reference_cells(geno, edges).withColumn("inside", F.lit(1))
+    edges = keep(edges, "edges")  # mutation pairs, read four times
+    u = keep(reference_cells(geno, edges).withColumn("inside", F.lit(1)), "reference-cells")
     ones = geno.where("state = 1").select("mut", "cell")
     total = ones.groupBy("mut").agg(F.count("*").alias("n"))
     hits = ones.join(u, "cell").groupBy("r", "mut").agg(F.count("*").alias("k"))
