@@ -16,7 +16,7 @@ def reads(spark, rows):
 
 
 def test_dynamic_weights(spark):
-    """SB:3940-4027: omega and phi by missing, mutant and turned shares, kind and size of the tree."""
+    """Omega and phi by missing, mutant and turned shares, kind and size of the tree."""
     cases = [
         ("new_leaf", 50, 50, 5, 80, 30, 0.5 * 0.1, 0.3 * 0.8 * 0.9), ("on_node", 50, 50, 5, 80, 30, 0.05, 0.3 * 1.2), ("on_edge", 30, 70, 15, 60, 10, 0.004, 0.6 * 0.9), ("on_node", 30, 70, 15, 60, 60, 0.004, 0.6 * 1.1),
         ("on_edge", 0, 0, 50, 0, 21, 0.001, 0.9), ("new_leaf", 81, 19, 20, 60, 20, 0.09, 0.8), ("on_node", 61, 39, 5, 40, 1, 0.07, 1.2), ("on_node", 15, 85, 5, 40, 1, 0.002, 1.0), ("on_node", 6, 94, 5, 40, 1, 0.0015, 1.0),
@@ -28,7 +28,7 @@ def test_dynamic_weights(spark):
 
 
 def test_umi_likelihood(spark):
-    """UC:305-359: two reads of A and one of T."""
+    """Two reads of A and one of T."""
     got = {r.base: r for r in readstats.umi_likelihood(reads(spark, [(1, 1, [("A", 20), ("A", 30), ("T", 10)])])).collect()}
     a, t = 0.99 * 0.999, 0.9
     pcr = {b: 10 ** (-6 * (n + 0.5) / 5) for b, n in (("A", 2), ("T", 1), ("C", 0), ("G", 0))}
@@ -41,7 +41,7 @@ def test_umi_likelihood(spark):
 
 
 def test_umi_consensus(spark):
-    """UC:363-377 and UC:380-435: the best quality; ref among equal ones, else the first of A, T, C, G."""
+    """The best quality; ref among equal ones, else the first of A, T, C, G."""
     rows = reads(spark, [(1, 1, [("T", 30)]), (1, 2, [("T", 20), ("A", 20)]), (2, 3, [("G", 20), ("C", 20)])])
     assert {r.umi: r.base for r in readstats.umi_consensus(rows, "A").collect()} == {1: "T", 2: "A", 3: "C"}
     bulk = {r.base: r for r in readstats.bulk_consensus(rows, "A").collect()}
@@ -49,7 +49,7 @@ def test_umi_consensus(spark):
 
 
 def test_error_counts(spark):
-    """UC:438-493: three reads or more of another base beside a second one; more than three of a lone other base."""
+    """Three reads or more of another base beside a second one; more than three of a lone other base."""
     q = 20
     rows = [(1, 1, [("T", q)] * 3 + [("A", q)]), (1, 2, [("T", q)] * 3), (1, 3, [("G", q)] * 4), (1, 4, [("A", q)] * 5), (2, 1, [("C", q)] * 3 + [("G", q)]), (2, 2, [("C", q)] * 2 + [("A", q)])]
     r = readstats.error_counts(reads(spark, rows), "A").first()
@@ -59,7 +59,7 @@ def test_error_counts(spark):
 
 
 def test_distance_and_segregation(spark):
-    """MU:624-685 and MU:739-765."""
+    """Distance bias by depth, and segregation bias, by hand."""
 
     def one(places, length=120):
         frame = spark.createDataFrame([(1, "T", p) for p in places], "mut long, base string, place int")
@@ -77,7 +77,7 @@ def test_distance_and_segregation(spark):
 
 
 def test_rank_bias(spark):
-    """MU:688-732: places 1, 2 of ref, 2, 3 of alt: three pairs in order and one tie."""
+    """Places 1, 2 of ref, 2, 3 of alt: three pairs in order and one tie."""
     frame = spark.createDataFrame([(1, "A", 1), (1, "A", 2), (1, "T", 2), (1, "T", 3), (2, "A", 1)], "mut long, base string, place int")
     got = {r.mut: r.z for r in T.rank_bias(frame).collect()}
     assert got[2] == math.inf and got[1] == pytest.approx((3.5 - 2) / math.sqrt(4 / 12 * (5 - 6 / 12)))
