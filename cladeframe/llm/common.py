@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -206,6 +209,16 @@ def slices(batches, column: int, most: int = 2_000_000):
             part = batch.slice(at, to - at)
             yield part, as_bytes(part.column(column))
             at = to
+    release()
+
+
+def release() -> None:
+    """Where a task ends: gives unused memory back, since workers stay for other tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 # ------------------------------------------------------------------ buckets

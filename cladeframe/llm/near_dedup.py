@@ -140,6 +140,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                         for column, y in zip(found, (a[i], b[i], value)):
                             column.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+        common.release()
 
     return pivots.unionByName(others).repartition("a", "s").sortWithinPartitions("a", "s", "t").mapInArrow(compare, "a long, b long, similarity double")
 
