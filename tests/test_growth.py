@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.functions import tests_of as T
@@ -125,6 +126,44 @@ def test_traced_carriers():
     assert math.isclose(math.exp(p), 0.5 * two + 0.5 * one) and cells == ([0, 2] if two > one else [0, 3])
 
 
+def test_likeliest_number_of_many_cells():
+    """A site of 400000 cells: their square would be bits of 160 GB. The number lies within 1 of the mean, and its probability is a normal curve's top."""
+    p = np.random.default_rng(3).choice([0.05, 0.35, 0.5, 0.95], 400_000)
+    k, top = posterior.mode(np.log(p), np.log1p(-p))
+    assert abs(k - p.sum()) <= 1 and abs(top + 0.5 * math.log(2 * math.pi * (p * (1 - p)).sum())) < 1e-4
+    none, one, some, more = posterior.first_terms(np.log(p), np.log1p(-p))
+    assert math.isclose(none, np.log1p(-p).sum()) and math.isclose(one - none, math.log((p / (1 - p)).sum())) and abs(some) < 1e-6 and abs(more) < 1e-6
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 65, 700])
+def test_many_cells_as_few(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    mut, unmut = rng.normal(-1, 2, n), rng.normal(0, 2, n)
+    dp = posterior.count_distribution(mut, unmut)
+    got, want = posterior.first_terms(mut, unmut), (dp[0], dp[1] if n else -np.inf, posterior.total(dp[1:]), posterior.total(dp[2:]))
+    assert all(g == w or abs(g - w) < 1e-8 for g, w in zip(got, want))
+    monkeypatch.setattr(posterior, "PLAIN", 0)
+    k, p = posterior.mode(mut, unmut)
+    assert k == np.argmax(dp) == len(posterior.best_count(mut, unmut)[2]) and abs(p - dp.max()) < 1e-8
+
+
+def test_first_terms_of_sure_cells():
+    for sure in ([0], [0, 2]):
+        mut, unmut = np.log([0.3, 0.2, 0.6]), np.log([0.7, 0.8, 0.4])
+        mut[sure], unmut[sure] = 0, -np.inf
+        dp = posterior.count_distribution(mut, unmut)
+        assert np.allclose(np.exp(posterior.first_terms(mut, unmut)), np.exp([dp[0], dp[1], posterior.total(dp[1:]), posterior.total(dp[2:])]))
+
+
+def test_sites_of_many_cells(spark):
+    """100000 cells a site, half of them in each of two leaves."""
+    cells = spark.range(100_000).selectExpr("id AS cell", "explode(array(1L, 2L)) AS mut").selectExpr("cell", "mut", "CASE WHEN cell % 10 < mut THEN 0.95D ELSE 0.05D END AS p").selectExpr("cell", "mut", "ln(p) AS ll_mut", "ln(1 - p) AS ll_unmut")
+    kinds = spark.range(100_000).selectExpr("id AS cell", "cast(id % 2 AS int) AS cluster", "'leaf' AS kind")
+    for r in posterior.site_posteriors(cells, kinds).collect():
+        # the likeliest place is the leaf whose cells are mutant more often; of mutation 2 both leaves are alike and the first one is taken
+        assert r.place == "late" and abs(r.n_cells - (50_000 * 0.05 + 0.9 * (10_000))) <= 1 and abs(r.somatic - 1) < 1e-9
+
+
 def test_distributions():
     assert abs(T.fisher_two_sided(3, 1, 1, 3) - 34 / 70) < 1e-9
     assert abs(T.binomial_two_sided(2, 10) - 0.109375) < 1e-12
