@@ -214,19 +214,18 @@ def branch_sets(imputed: DataFrame) -> DataFrame:
 
 
 def carrier_counts(likelihoods: DataFrame) -> DataFrame:
-    """mut, cells, carriers, log_p, p_none, p_one, p_two: the count distribution of each site; cell, mut, ll_mut, ll_unmut. A site has as many
-    rows as cells are covered, and one group is one site."""
+    """mut, cells, carriers, log_p, p_none, p_one, p_two: the count distribution of each site; cell, mut, ll_mut, ll_unmut. Equal likelihoods are counted
+    first; a site's group is one row for each pair of them, and takes memory in proportion to its cells."""
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["ll_mut", "ll_unmut"]).sort_values("cell")
-        a, b = normalised(pdf.ll_mut.to_numpy(float), pdf.ll_unmut.to_numpy(float))
-        k, lp, _ = best_count(a, b)
-        dp = count_distribution(a, b)
-        tail = lambda n: float(np.exp(np.logaddexp.reduce(dp[n:]))) if len(dp) > n else 0.0
-        return pd.DataFrame([(key[0], len(pdf), k, lp, float(np.exp(dp[0])), tail(1), tail(2))], columns=["mut", "cells", "carriers", "log_p", "p_none", "p_one", "p_two"])
+        pdf = pdf.dropna(subset=["ll_mut", "ll_unmut"]).sort_values(["ll_mut", "ll_unmut"])
+        a, b = (np.repeat(x, pdf.n) for x in normalised(pdf.ll_mut.to_numpy(float), pdf.ll_unmut.to_numpy(float)))
+        none, _, some, more = np.exp(np.minimum(first_terms(a, b), 0))
+        return pd.DataFrame([(key[0], len(a), *mode(a, b), none, some, more)], columns=["mut", "cells", "carriers", "log_p", "p_none", "p_one", "p_two"])
 
     ship(likelihoods.sparkSession)
-    return likelihoods.select("cell", "mut", "ll_mut", "ll_unmut").groupBy("mut").applyInPandas(one, "mut long, cells long, carriers long, log_p double, p_none double, p_one double, p_two double")
+    rows = likelihoods.groupBy("mut", "ll_mut", "ll_unmut").agg(F.count("*").alias("n"))
+    return rows.groupBy("mut").applyInPandas(one, "mut long, cells long, carriers long, log_p double, p_none double, p_one double, p_two double")
 
 
 def site_posteriors(likelihoods: DataFrame, clusters: DataFrame) -> DataFrame:

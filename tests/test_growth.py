@@ -158,6 +158,10 @@ def test_first_terms_of_sure_cells():
 def test_sites_of_many_cells(spark):
     """100000 cells a site, half of them in each of two leaves."""
     cells = spark.range(100_000).selectExpr("id AS cell", "explode(array(1L, 2L)) AS mut").selectExpr("cell", "mut", "CASE WHEN cell % 10 < mut THEN 0.95D ELSE 0.05D END AS p").selectExpr("cell", "mut", "ln(p) AS ll_mut", "ln(1 - p) AS ll_unmut")
+    got = {r.mut: r for r in posterior.carrier_counts(cells).collect()}
+    for m in (1, 2):
+        mean = 100_000 * (0.05 + 0.09 * m)
+        assert got[m].cells == 100_000 and abs(got[m].carriers - mean) <= 1 and abs(got[m].log_p + 0.5 * math.log(2 * math.pi * 100_000 * 0.0475)) < 1e-4
     kinds = spark.range(100_000).selectExpr("id AS cell", "cast(id % 2 AS int) AS cluster", "'leaf' AS kind")
     for r in posterior.site_posteriors(cells, kinds).collect():
         # the likeliest place is the leaf whose cells are mutant more often; of mutation 2 both leaves are alike and the first one is taken
