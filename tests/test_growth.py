@@ -168,6 +168,16 @@ def test_sites_of_many_cells(spark):
         assert r.place == "late" and abs(r.n_cells - (50_000 * 0.05 + 0.9 * (10_000))) <= 1 and abs(r.somatic - 1) < 1e-9
 
 
+def test_ends_of_many_cells(spark):
+    """What t14_none_and_some shows, of a site whose cells squared take 40 GB as bits; each end has a closed form."""
+    cells = spark.range(200_000).selectExpr("id AS cell", "7L AS mut", "1e-6 * (1 + id % 5) AS p").selectExpr("cell", "mut", "ln(p) AS ll_mut", "ln(1 - p) AS ll_unmut")
+    r = posterior.carrier_counts(cells).first()
+    p = 1e-6 * (1 + np.arange(200_000) % 5)
+    none = np.log1p(-p).sum()
+    assert r.cells == 200_000 and math.isclose(r.p_none, math.exp(none), rel_tol=1e-9) and math.isclose(r.p_one, -math.expm1(none), rel_tol=1e-9)
+    assert math.isclose(r.p_two, 1 - math.exp(none) * (1 + (p / (1 - p)).sum()), rel_tol=1e-9) and r.carriers == 0 and math.isclose(r.log_p, none, rel_tol=1e-9)
+
+
 def test_distributions():
     assert abs(T.fisher_two_sided(3, 1, 1, 3) - 34 / 70) < 1e-9
     assert abs(T.binomial_two_sided(2, 10) - 0.109375) < 1e-12
