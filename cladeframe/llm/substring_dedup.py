@@ -7,13 +7,15 @@ A passage is a stretch of at least `least_words` words. Two kinds stand in sever
   exact Jaccard similarity of their shingle sets, and paragraphs cluster by connected components.
 * exact copies of any stretch, also within lines or across them. Runs of SEED words that have the least hash among those that start in
   a reach of words are its seeds; the reach is such that any passage holds a seed, chosen by the passage alone. Seeds
-  that other documents have too are chained along the diagonal (place here less place in the first document that has it), and
-  each chain is extended word by word to both sides while the two documents agree. Stretches of a first document that
+  that other documents have too are chained along the diagonal (place here less place in the first document that has it) while all words between
+  them are the same, and each chain is extended word by word to both sides while the two documents agree. Windows of `least_words` words that
+  hold a seed but go beyond what the first document shares there, or hold one that it has in several places, meet those of all documents by
+  a hash of all their words (`_whole`): so no window that two documents have is left out. Stretches of a first document that
   overlap are one passage: intervals on a line, so components need no rounds.
 
 Scale. A seed is 20 bytes and one word in ten has one; equal seeds meet in one aggregation that keeps numbers only. Frequent
 seeds, paragraphs and places are joined by broadcast, the others by shuffle (`common.join_hot`), so no key gathers in a task, and no
-pairs of documents are made: every copy meets the first document alone. Texts are read again only around the ends of chains and for
+pairs of documents are made: every copy meets the first document alone, or all others in one aggregation. Texts are read again only around the ends of chains and for
 paragraphs that collide.
 """
 
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAST, SEED, RECALL = 26, 8, 0.99
+LEAST, SEED, RECALL = 26, 8, 1 - 1e-6
 _SEEDS = common.mix(np.arange(1, 65, dtype=np.uint64))
 
 
-def tune(similar: float = common.SIMILAR, recall: float = RECALL, most: int = 16) -> tuple[int, int]:
+def tune(similar: float = common.SIMILAR, recall: float = RECALL, most: int = 32) -> tuple[int, int]:
     """(bands, rows): of those with the recall, with few bands, the most rows."""
     fits = [(r, b) for r in range(1, 9) for b in range(1, most + 1) if 1 - (1 - similar**r) ** b >= recall]
     rows = max(r for r, b in fits if b <= most // 2) if any(b <= most // 2 for _, b in fits) else 1
@@ -65,10 +67,19 @@ def _sliding(which, x: np.ndarray, reach: int) -> np.ndarray:
 def winnowed(keys: np.ndarray, reach: int) -> np.ndarray:
     """Places of the least of every `reach` keys in a row; of equal keys closer than
     `reach`, as in a text that says one word over and over, only as many as every reach needs."""
+    return thinned(keys, least_of(keys, reach), reach)
+
+
+def least_of(keys: np.ndarray, reach: int) -> np.ndarray:
+    """Places of the least of every `reach` keys in a row, all of equal ones."""
     if not len(keys):
         return np.zeros(0, np.int64)
     reach = min(reach, len(keys))
-    places = np.flatnonzero(_sliding(np.maximum, np.pad(_sliding(np.minimum, keys, reach), reach - 1), reach) == keys)
+    return np.flatnonzero(_sliding(np.maximum, np.pad(_sliding(np.minimum, keys, reach), reach - 1), reach) == keys)
+
+
+def thinned(keys: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
+    reach = min(reach, len(keys))
     if len(places) > 1 and (keys[places[1:]] == keys[places[:-1]]).any():
         kept = [int(places[0])]
         for p in places[1:].tolist():
@@ -78,18 +89,30 @@ def winnowed(keys: np.ndarray, reach: int) -> np.ndarray:
     return places
 
 
-def seeds(hashes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, starts) of a text's seeds; any `least_words` words in a row hold one."""
+def seeds(hashes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, starts, steps, links, many) of a text's seeds; any `least_words` words in a row hold one. A step is the way to the next seed's start, a link
+    the hash of all words up to the next seed's last one (0, 0: no next); many: the text has the key in several places."""
     size = min(SEED, least_words)
+    none = np.zeros(0, np.int64)
     if len(hashes) < least_words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none.view(np.uint64), none.astype(bool)
     keys = common.shingle_hashes(hashes, size)
-    places = winnowed(keys, least_words - size + 1)
-    return keys[places], places
+    all_ = least_of(keys, least_words - size + 1)
+    places = thinned(keys, all_, least_words - size + 1)
+    own, of, count = np.unique(keys[all_], return_inverse=True, return_counts=True)
+    many = count[np.searchsorted(own, keys[places])] > 1
+    step = np.append(np.diff(places), 0)
+    link = np.append(keys[places[1:]], np.uint64(0)) + step.astype(np.uint64)
+    for k in range(size, int(step.max())):
+        between = k < step
+        link[between] = link[between] * common._STEP + hashes[places[between] + k]
+    link = common.mix(link + keys[places])
+    link[-1] = 0
+    return keys[places], places, step, link, many
 
 
 def units(raw: bytes, least_words: int, bands: int, rows: int):
-    """(seeds: keys, starts), (paragraphs: bodies, starts, sizes, band keys) of a text; places in words."""
+    """(seeds: keys, starts, steps, links, many), (paragraphs: bodies, starts, sizes, band keys) of a text; places in words."""
     hashes, places, _ = common.word_hashes(raw)
     size = np.diff(np.searchsorted(places, np.concatenate(([0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), [len(raw)]))))
     shingles = common.shingle_hashes(hashes) if len(hashes) >= common.SHINGLE else np.zeros(0, np.uint64)
@@ -103,9 +126,9 @@ def units(raw: bytes, least_words: int, bands: int, rows: int):
 def _units(documents: DataFrame, least_words: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch, texts in common.slices(batches, 1, 1_000_000):
-            doc, key, start, size, again, sig, held = [], [], [], [], [], [], []
+            doc, key, start, size, again, many, step, link, sig, held = ([] for _ in range(10))
             for d, raw in zip(batch.column(0).to_pylist(), texts):
-                (k, p), (b, s, n, g) = units(raw, least_words, bands, rows)
+                (k, p, t, c, m), (b, s, n, g) = units(raw, least_words, bands, rows)
                 other = np.ones(len(k), bool)
                 other[np.unique(k, return_index=True)[1]] = False
                 doc.append(np.full(len(k) + len(b), d))
@@ -113,16 +136,19 @@ def _units(documents: DataFrame, least_words: int, bands: int, rows: int) -> Dat
                 start.append(np.concatenate([p, s]))
                 size.append(np.concatenate([np.zeros(len(p), np.int64), n]))
                 again.append(np.concatenate([other, np.zeros(len(b), bool)]))
+                many.append(np.concatenate([m, np.zeros(len(b), bool)]))
+                step.append(np.concatenate([t, np.zeros(len(b), np.int64)]))
+                link.append(np.concatenate([c, np.zeros(len(b), np.uint64)]))
                 sig.append(g.view(np.int64).ravel())
                 held.append(np.concatenate([np.zeros(len(k), np.int32), np.full(len(b), bands, np.int32)]))
-            doc, key, start, size, again, sig, held = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, key, start, size, again, sig, held))
+            doc, key, start, size, again, many, step, link, sig, held = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, key, start, size, again, many, step, link, sig, held))
             ends = pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc.astype(np.int64)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again.astype(bool)), pa.ListArray.from_arrays(ends, pa.array(sig, pa.int64()))],
-                ["doc", "key", "start", "size", "again", "bands"],
+                [pa.array(doc.astype(np.int64)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again.astype(bool)), pa.array(many.astype(bool)), pa.array(step.astype(np.int32)), pa.array(link.astype(np.uint64).view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(sig, pa.int64()))],
+                ["doc", "key", "start", "size", "again", "many", "step", "link", "bands"],
             )
 
-    return documents.mapInArrow(run, "doc long, key long, start int, size int, again boolean, bands array<long>")
+    return documents.mapInArrow(run, "doc long, key long, start int, size int, again boolean, many boolean, step int, link long, bands array<long>")
 
 
 # ------------------------------------------------------------------ near copies of paragraphs
@@ -174,56 +200,91 @@ def _near(documents: DataFrame, lines: DataFrame, least: float) -> DataFrame:
 # ------------------------------------------------------------------ exact copies
 
 
-def _flanks(documents: DataFrame, places: DataFrame, most: int) -> DataFrame:
-    """doc, at, side, words: hashes of up to `most` words of the text before (side 0, nearest first) or from (side 1) each place."""
-    places = places.distinct().groupBy("doc").agg(F.collect_list(F.struct("at", "side")).alias("places"))
+def _flanks(documents: DataFrame, places: DataFrame, most: int, size: int) -> DataFrame:
+    """doc, at, side, words: hashes of up to `most` words of the text before (side 0, nearest first) or from (side 1) each place; of places
+    wanted so: low, windows: hashes of `most` words from low, low + 1, .., that hold the seed that begins (0) or ends (1) there and reach beyond it to that side. Side 2: the
+    windows that hold the seed which begins there, no words."""
+    places = places.groupBy("doc", "at", "side").agg(F.max("wanted").alias("wanted")).groupBy("doc").agg(F.collect_list(F.struct("at", "side", "wanted")).alias("places"))
+    spare = most - size
 
     def run(batches):
         for batch, texts in common.slices(batches, 1, 500_000):
-            doc, at, side, words = [], [], [], []
+            doc, at, side, words, low, windows = ([] for _ in range(6))
             for d, raw, places in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                hashes = common.word_hashes(raw)[0].astype(np.uint32).view(np.int32)
+                full = common.word_hashes(raw)[0]
+                hashes = full.astype(np.uint32).view(np.int32)
+                whole = common.shingle_hashes(full, most).view(np.int64) if len(full) >= most and any(x["wanted"] for x in places) else hashes[:0].astype(np.int64)
                 for x in places:
                     a = x["at"]
                     doc.append(d)
                     at.append(a)
                     side.append(x["side"])
-                    words.append(hashes[a : a + most] if x["side"] else hashes[max(0, a - most) : a][::-1])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(words, pa.list_(pa.int32()))], ["doc", "at", "side", "words"])
+                    words.append(hashes[a : a + most] if x["side"] == 1 else hashes[max(0, a - most) : a][::-1] if x["side"] == 0 else hashes[:0])
+                    first, last = ((a - spare, a), (a - most + 1, a - size + 1), (a - spare, a + 1))[x["side"]] if x["wanted"] else (0, 0)
+                    low.append(max(0, first))
+                    windows.append(whole[max(0, first) : max(0, last)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(words, pa.list_(pa.int32())), pa.array(low, pa.int32()), pa.array(windows, pa.list_(pa.int64()))],
+                ["doc", "at", "side", "words", "low", "windows"],
+            )
 
     both = documents.join(places, documents["doc_id"] == places["doc"]).select("doc", "text", "places")
-    return both.mapInArrow(run, "doc long, at int, side int, words array<int>").dropDuplicates(["doc", "at", "side"])
+    return both.mapInArrow(run, "doc long, at int, side int, words array<int>, low int, windows array<long>").dropDuplicates(["doc", "at", "side"])
+
+
+def _whole(windows: DataFrame, least_words: int) -> DataFrame:
+    """doc, first_doc, diagonal, lo, hi: stretches of words that several documents have (windows: doc, start, key of `least_words` words)."""
+    windows = common.keep(windows.distinct(), "windows")
+    shared = windows.groupBy("key").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.min(F.struct("doc", "start")).alias("x"), F.count("*").alias("n"))
+    shared = common.keep(shared.where("first_doc <> last_doc").select("key", "first_doc", F.col("x.start").alias("first_start"), "n"), "shared-windows")
+    copies = common.join_hot(windows, shared, ["key"]).where("doc <> first_doc OR start <> first_start").select("doc", "first_doc", F.expr("start - first_start").alias("diagonal"), "start").distinct()
+    order = Window.partitionBy("doc", "first_doc", "diagonal").orderBy("start")
+    copies = copies.withColumn("new", F.when(F.col("start") - F.lag("start").over(order) <= least_words, 0).otherwise(1))
+    copies = copies.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = common.keep(copies.groupBy("doc", "first_doc", "diagonal", "run").agg(F.min("start").alias("lo"), F.expr(f"max(start) + {least_words}").alias("hi")).drop("run"), "whole")
+    common.drop(windows, shared)
+    return found
 
 
 def _exact(documents: DataFrame, table: DataFrame, least_words: int) -> DataFrame:
-    """doc, start_word, end_word, cluster, first_doc: stretches that other documents have word by word (table: doc, key, start, again)."""
+    """doc, start_word, end_word, cluster, first_doc: stretches that other documents have word by word (table: doc, key, start, again, many, step, link)."""
     size = min(SEED, least_words)
-    reach = least_words - size + 1
-    shared = table.groupBy("key").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.expr("min_by(start, CASE WHEN NOT again THEN doc END)").alias("first_start"), F.count("*").alias("n"))
-    shared = common.keep(shared.where("first_doc <> last_doc").select("key", "first_doc", "first_start", "n"), "shared")
-    copies = common.join_hot(table.select("key", "doc", "start"), shared, ["key"]).where("doc <> first_doc")
-    copies = copies.select("doc", "first_doc", F.expr("start - first_start").alias("diagonal"), "start").distinct()
+    first_of = lambda c: F.expr(f"min_by({c}, CASE WHEN NOT again THEN doc END)").alias(f"first_{c}")
+    shared = table.groupBy("key").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), *map(first_of, ("start", "link")), F.min(F.when(F.col("many"), F.col("doc"))).alias("many_doc"), F.count("*").alias("n"))
+    shared = shared.where("first_doc <> last_doc").select("key", "first_doc", "first_start", "first_link", F.expr("many_doc <=> first_doc").alias("many_first"), (F.col("n") > 2).alias("several"), "n")
+    shared = common.keep(shared, "shared")
+    met = common.join_hot(table.select("key", "doc", "start", "step", "link"), shared, ["key"])
+    # a seed that its first document has in several places: one of them is met below, so all windows around it are compared
+    whole = met.where("many_first").select("doc", F.col("start").alias("at"), F.lit(2).alias("side"), F.lit(True).alias("wanted"))
+    copies = met.where("doc <> first_doc").select("doc", "first_doc", F.expr("start - first_start").alias("diagonal"), "start", F.expr("CASE WHEN link = first_link THEN step ELSE 0 END").alias("step"), "several").distinct()
     by_place = Window.partitionBy("doc", "first_doc", "diagonal").orderBy("start")
-    copies = copies.withColumn("new", F.expr(f"CASE WHEN start - lag(start) OVER (PARTITION BY doc, first_doc, diagonal ORDER BY start) <= {reach} THEN 0 ELSE 1 END"))
+    # a chain goes on where seeds touch, or all words up to the next one are the same
+    copies = copies.withColumn("far", F.col("start") - F.lag("start").over(by_place)).withColumn("new", F.when((F.col("far") <= size) | (F.col("far") == F.lag("step").over(by_place)), 0).otherwise(1))
     copies = copies.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    chains = copies.groupBy("doc", "first_doc", "diagonal", "run").agg(F.min("start").alias("lo"), F.expr(f"max(start) + {size}").alias("hi")).drop("run")
+    chains = copies.groupBy("doc", "first_doc", "diagonal", "run").agg(F.min("start").alias("lo"), F.expr(f"max(start) + {size}").alias("hi"), F.max("several").alias("several")).drop("run")
     chains = common.keep(chains, "chains")
-    common.drop(shared)
     # two ends of each chain, here and in the first document
-    ends = chains.select("doc", "first_doc", "diagonal", "lo", "hi", F.explode(F.expr("array(0, 1)")).alias("side"))
+    ends = chains.select("doc", "first_doc", "diagonal", "lo", "hi", "several", F.explode(F.expr("array(0, 1)")).alias("side"))
     ends = ends.withColumn("at", F.expr("CASE WHEN side = 0 THEN lo ELSE hi END")).withColumn("first_at", F.expr("at - diagonal"))
-    places = ends.select("doc", "at", "side").unionByName(ends.select(F.col("first_doc").alias("doc"), F.col("first_at").alias("at"), "side"))
-    flanks = common.keep(_flanks(documents, places, least_words), "flanks")
-    ends = common.keep(ends.join(flanks, ["doc", "at", "side"]), "ends")
+    places = ends.select("doc", "at", "side", F.col("several").alias("wanted")).unionByName(ends.select(F.col("first_doc").alias("doc"), F.col("first_at").alias("at"), "side", F.lit(False).alias("wanted")))
+    flanks = common.keep(_flanks(documents, places.unionByName(whole), least_words, size), "flanks")
+    common.drop(shared)
+    ends = common.keep(ends.join(flanks.where("side < 2"), ["doc", "at", "side"]), "ends")
     first = ends.groupBy("first_doc", "first_at", "side").agg(F.count("*").alias("n"))
     first = common.keep(first.join(flanks.select(F.col("doc").alias("first_doc"), F.col("at").alias("first_at"), "side", F.col("words").alias("others")), ["first_doc", "first_at", "side"]), "first-ends")
     same = "array_position(zip_with(words, others, (x, y) -> x <=> y), false)"
     further = common.join_hot(ends, first, ["first_doc", "first_at", "side"]).withColumn("p", F.expr(same))
     further = further.withColumn("more", F.expr("cast(CASE WHEN p = 0 THEN size(words) ELSE p - 1 END AS int)"))
+    further = common.keep(further.select("doc", "first_doc", "diagonal", "lo", "hi", "side", "more", "several", "low", "windows"), "further")
     found = further.groupBy("doc", "first_doc", "diagonal", "lo", "hi").agg(F.expr("max(CASE WHEN side = 0 THEN more END)").alias("before"), F.expr("max(CASE WHEN side = 1 THEN more END)").alias("after"))
     found = found.select("doc", "first_doc", "diagonal", F.expr("lo - before").alias("lo"), F.expr("hi + after").alias("hi")).where(f"hi - lo >= {least_words}")
+    # what goes beyond the words that a first document shares may be in other documents too: those windows meet by all their words
+    beyond = further.where("several").select("doc", "side", "lo", "hi", "more", F.posexplode("windows").alias("i", "key"), "low").withColumn("start", F.expr("low + i"))
+    beyond = beyond.where(f"CASE WHEN side = 0 THEN start < lo - more ELSE start + {least_words} > hi + more END").select("doc", "start", "key")
+    around = flanks.where("side = 2").select("doc", F.posexplode("windows").alias("i", "key"), "low").select("doc", F.expr("low + i").alias("start"), "key")
+    found = found.unionByName(_whole(beyond.unionByName(around), least_words))
     found = common.keep(found.distinct().withColumn("first_lo", F.expr("lo - diagonal")), "copies")
-    common.drop(chains, flanks, ends, first)
+    common.drop(chains, flanks, ends, first, further)
     # stretches of a first document that share as many words as a seed are one passage
     origin = found.groupBy("first_doc", "first_lo").agg(F.expr("max(hi - diagonal)").alias("first_hi"), F.count("*").alias("n"))
     in_order = Window.partitionBy("first_doc").orderBy("first_lo")
@@ -252,8 +313,8 @@ def repeated_passages(documents: DataFrame, least: float = common.SIMILAR, recal
     Returns doc_id, start_word, end_word (exclusive), n_words, kind (`exact`: a stretch that another document has word by word, from its
     first word to its last; `near`: a line that is at least `least` similar to others, or linked to such), cluster (an id that copies of a
     passage share), first_doc (the least doc_id that has it) and removed (true but for the first). Rows of other clusters stay apart, also
-    where they touch or overlap, so each keeps its first copy. A stretch is compared with the first document that has its seeds, a
-    longer match with a later document shows as several rows, and a part of it that is shorter than a passage may be missed. Texts of null doc_id can't be told apart and are left out, as are
+    where they touch or overlap, so each keeps its first copy. Exact rows together hold every window of `least_words` words that several documents have,
+    and no other word; a stretch is compared with the first document that has its seeds, so a longer match with a later document may show as several rows. Texts of null doc_id can't be told apart and are left out, as are
     null, empty and shorter texts. Rows that repeat a doc_id and its text are one document. Text that repeats within one document
     only is no passage. Texts may be of any length. An empty table gives none.
     """

@@ -343,6 +343,45 @@ def test_adjacent_passages_stay_apart(spark, gap):
     assert {tuple(sorted(x)) for x in of.values()} == {(3, 5), (5, 9)}
 
 
+def exact_words(spark, docs):
+    found = collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(frame(spark, docs)).where("kind = 'exact'").collect():
+        found[r.doc_id] |= set(range(r.start_word, r.end_word))
+    return [found[d] for d in range(len(docs))]
+
+
+def test_no_passage_is_left_out(spark):
+    """The first document that has a passage's seeds isn't always one that has the passage."""
+    rng = random.Random(41)
+    lone = lambda: prose(rng, 40)
+    docs = [lone() for _ in range(10)]
+    # its seeds stand elsewhere in the first document, in words that go on otherwise
+    for n in (26, 30):
+        passage = prose(rng, n).split()
+        starts = substring_dedup.seeds(common.word_hashes(" ".join(passage).encode())[0], 26)[1].tolist()
+        docs += [" ".join([lone(), *(" ".join(passage[i : i + 8]) + " " + lone() for i in starts)])] + [f"{lone()} {' '.join(passage)} {lone()}" for _ in range(3)]
+    # a tail that is shorter than a passage, which later documents share only
+    for tail in range(1, 26, 4):
+        passage = prose(rng, 40 + tail).split()
+        docs += [" ".join([lone(), *passage[:40], lone()])] + [" ".join([lone(), *passage, lone()]) for _ in range(2)]
+    # the first document has the passage, or its beginning, twice
+    passage = prose(rng, 34).split()
+    docs += [" ".join([*passage[:12], lone(), *passage, lone(), *passage]), " ".join([lone(), *passage])]
+    docs += [" ".join([*passage[20:], lone()]), "again " * 70, "so again " + "again " * 60, "and again " * 40]
+    assert exact_words(spark, docs) == covered(docs, 26)
+
+
+def test_an_edit_ends_an_exact_passage(spark):
+    rng = random.Random(43)
+    docs = []
+    for i in range(40):
+        words = prose(rng, 90).split()
+        edited = list(words)
+        edited[30 + i] = "edited"
+        docs += [" ".join(words), " ".join(edited)]
+    assert exact_words(spark, docs) == covered(docs, 26)
+
+
 def test_every_passage_has_a_common_seed():
     rng = random.Random(2)
     for n in (26, 40):
@@ -355,6 +394,7 @@ def test_every_passage_has_a_common_seed():
 def test_bands_reach_recall():
     bands, rows = substring_dedup.tune()
     assert 1 - (1 - 0.8**rows) ** bands >= substring_dedup.RECALL
+    assert (1 - 0.8**rows) ** bands <= 1e-6 and bands <= 32
 
 
 # ---- 6
