@@ -5,7 +5,7 @@ its own (`symbols`; the text can be rebuilt from them), and an end. A symbol is
 commonest symbols that the training texts hold twice or more (the vocabulary); all others share one code, the escape, and are spelled. Every bit is
 predicted from contexts that cross the borders of words: the code's node alone, with the symbol before, with the two before, and
 with the last very common symbol, which tells languages apart. A context's slot counts zeros and
-ones. Nodes that hold less than SHARE of the training symbols are predicted by their own counts alone. The predictions, as log odds, are mixed by a logistic unit whose weights are chosen by a gate (how deep the node is,
+ones. Those of every node, however rare, as log odds, are mixed by a logistic unit whose weights are chosen by a gate (how deep the node is,
 how well the contexts are known) and learnt online; an adaptive probability map then refines the mixed probability.
 
 An escaped word's probability is a mixture of its share among the escaped words of the training texts and of its spelling: the same
@@ -37,7 +37,6 @@ VOCABULARY = 1 << 18  # symbols with a code of their own, broadcast
 SLOTS = 1 << 19  # of each hashed context, at most
 GROUP = 64_000_000  # bytes of training text that are learnt from in one go
 COMMON = 64  # words that tell languages apart
-SHARE = 1 / 1024  # of all training symbols: what shares a node with less is told apart by counts alone
 SMOOTH, RATE, MAP = 0.4, 0.15, 33
 PIECE, STEP, BLOCK = 12_000, 2_000, 1 << 13  # bytes of a piece, symbols of a step, slots of a block
 SALT = 64  # places where weights are added up
@@ -534,7 +533,7 @@ def lm_scores(documents: DataFrame, vocabulary: int = VOCABULARY, slots: int = S
             row += len(texts)
 
     encoded = common.keep(plain.mapInArrow(encode, "row long, doc_id long, held_out boolean, size long, ids binary, rare array<binary>"), "encoded")
-    learner = Learner(Tree(np.array(chosen.counts), SHARE), _sizes(everything, slots, 3))
+    learner = Learner(Tree(np.array(chosen.counts)), _sizes(everything, slots, 3))
     train(encoded.where("NOT held_out").select(F.col("ids").alias("data"), F.xxhash64("doc_id", "ids").alias("h")), learner, _WordSteps(chosen), size, group)
 
     # words beyond the vocabulary, with the log10 probability of each

@@ -490,6 +490,21 @@ def scores(words, model, texts):
     return out
 
 
+def test_lm_mixes_every_bit(spark, monkeypatch):
+    """Of 3000 words each is far below a thousandth of all; none is told apart by counts alone."""
+    trees, make = [], lm_scoring.Tree.__init__
+
+    def spy(tree, *args, **more):
+        make(tree, *args, **more)
+        trees.append(tree)
+
+    monkeypatch.setattr(lm_scoring.Tree, "__init__", spy)
+    docs = [" ".join(f"w{i}" for i in range(k % 5 * 600, k % 5 * 600 + 600)) for k in range(20)]
+    assert lm_scoring.lm_scores(frame(spark, docs)).count() == 20
+    words = max(trees, key=lambda x: len(x.rest))
+    assert len(words.rest) > 3000 and not words.rest.any() and np.log2(3000) - 1 < words.size[:3000].mean()
+
+
 def test_lm_contexts_cross_words():
     rng = random.Random(5)
     names = [f"w{i}" for i in range(40)]
