@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,18 +42,19 @@ def tune(similar: float = common.SIMILAR, recall: float = RECALL, most: int = 32
 
 
 def line_signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band keys of stretches [start, end) of a text's shingles, one row each."""
-    out = np.zeros((len(starts), bands), np.uint64)
+    """Band keys of stretches [start, end) of texts' shingles, one row each."""
+    out = np.zeros((bands, len(starts)), np.uint64)
     if not len(starts):
-        return out
-    cut = np.column_stack([starts, ends]).ravel()
-    padded = np.append(shingles, np.uint64(0xFFFFFFFFFFFFFFFF))
+        return out.T
+    size = ends - starts
+    cut = np.cumsum(size) - size
+    inside = shingles[np.arange(size.sum()) + np.repeat(starts - cut, size)]
+    hashed = np.empty_like(inside)
     for k in range(bands * rows):
-        hashed = (padded ^ _SEEDS[k]) * (_SEEDS[k] | np.uint64(1))
-        hashed[-1] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        least = np.minimum.reduceat(hashed, cut)[::2]
-        out[:, k // rows] = common.mix(out[:, k // rows] * common._STEP + least + np.uint64(k))
-    return out
+        np.bitwise_xor(inside, _SEEDS[k], out=hashed)
+        np.multiply(hashed, _SEEDS[k] | np.uint64(1), out=hashed)
+        out[k // rows] = common.mix(out[k // rows] * common._STEP + np.minimum.reduceat(hashed, cut) + np.uint64(k))
+    return out.T
 
 
 def _sliding(which, x: np.ndarray, reach: int) -> np.ndarray:
@@ -64,74 +66,101 @@ def _sliding(which, x: np.ndarray, reach: int) -> np.ndarray:
     return which(x[: len(x) - (reach - width)], x[reach - width :])
 
 
-def winnowed(keys: np.ndarray, reach: int) -> np.ndarray:
-    """Places of the least of every `reach` keys in a row; of equal keys closer than
-    `reach`, as in a text that says one word over and over, only as many as every reach needs."""
-    return thinned(keys, least_of(keys, reach), reach)
-
-
-def least_of(keys: np.ndarray, reach: int) -> np.ndarray:
-    """Places of the least of every `reach` keys in a row, all of equal ones."""
-    if not len(keys):
+def least_of(keys: np.ndarray, reach: int, inside: np.ndarray) -> np.ndarray:
+    """Places of the least of every `reach` keys in a row, all of equal ones; inside: whether the `reach` keys from each place are of one text."""
+    if not inside.any():
         return np.zeros(0, np.int64)
-    reach = min(reach, len(keys))
-    return np.flatnonzero(_sliding(np.maximum, np.pad(_sliding(np.minimum, keys, reach), reach - 1), reach) == keys)
-
-
-def thinned(keys: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
-    reach = min(reach, len(keys))
-    if len(places) > 1 and (keys[places[1:]] == keys[places[:-1]]).any():
-        kept = [int(places[0])]
-        for p in places[1:].tolist():
-            if keys[p] != keys[kept[-1]] or p - kept[-1] >= reach:
-                kept.append(p)
-        places = np.array(kept)
-    return places
-
-
-def seeds(hashes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, starts, steps, links, many) of a text's seeds; any `least_words` words in a row hold one. A step is the way to the next seed's start, a link
-    the hash of all words up to the next seed's last one (0, 0: no next); many: the text has the key in several places."""
+    least = np.where(inside, _sliding(np.minimum, keys, reach), np.uint64(0))
+    edge = np.zeros(reach - 1, np.uint64)
+    found = _sliding(np.maximum, np.concatenate([edge, least, edge]), reach) == keys
+    held = np.concatenate([[0], np.cumsum(np.concatenate([inside, edge.astype(bool)]))])
+    return np.flatnonzero(found & (held[1:] > held[np.maximum(np.arange(len(keys)) - reach + 1, 0)]))
+
+
+def thinned(same: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
+    """Which places to keep: of equal keys in a row (same: as the place before has in its text) closer than `reach`, as in a text that says one word over
+    and over, only as many as every reach needs."""
+    kept = np.ones(len(places), bool)
+    last = 0
+    for j in np.flatnonzero(same).tolist():
+        if not same[j - 1]:
+            last = places[j - 1]
+        if places[j] - last >= reach:
+            last = places[j]
+        else:
+            kept[j] = False
+    return kept
+
+
+def seeds(hashes: np.ndarray, least_words: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(keys, starts, steps, links, many, again) of the seeds of a text, or of texts one after the other (bounds: where each begins, and the end); any
+    `least_words` words in a row of a text hold one. A step is the way to the next seed's start, a link the hash of all words up to the next seed's last one
+    (0, 0: no next in the text); many: the text has the key in several places; again: in an earlier one."""
     size = min(SEED, least_words)
     none = np.zeros(0, np.int64)
-    if len(hashes) < least_words:
-        return none.view(np.uint64), none, none, none.view(np.uint64), none.astype(bool)
+    bounds = np.array([0, len(hashes)]) if bounds is None else bounds
+    if np.diff(bounds).max(initial=0) < least_words:
+        return none.view(np.uint64), none, none, none.view(np.uint64), none.astype(bool), none.astype(bool)
     keys = common.shingle_hashes(hashes, size)
-    all_ = least_of(keys, least_words - size + 1)
-    places = thinned(keys, all_, least_words - size + 1)
-    own, of, count = np.unique(keys[all_], return_inverse=True, return_counts=True)
-    many = count[np.searchsorted(own, keys[places])] > 1
-    step = np.append(np.diff(places), 0)
-    link = np.append(keys[places[1:]], np.uint64(0)) + step.astype(np.uint64)
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    reach = least_words - size + 1
+    places = least_of(keys, reach, of[: len(of) - least_words + 1] == of[least_words - 1 :])
+    key, of = keys[places], of[places]
+    order = np.lexsort((key, of))
+    new = np.append(True, (key[order[1:]] != key[order[:-1]]) | (of[order[1:]] != of[order[:-1]]))
+    many, again = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    many[order] = ~new | ~np.append(new[1:], True)
+    again[order] = ~new
+    same = np.append(False, (key[1:] == key[:-1]) & (of[1:] == of[:-1]))
+    if same.any():
+        kept = thinned(same, places, reach)
+        places, key, of, many, again = places[kept], key[kept], of[kept], many[kept], again[kept]
+    step = np.append(np.where(of[1:] == of[:-1], np.diff(places), 0), 0)
+    link = np.append(key[1:], np.uint64(0)) + step.astype(np.uint64)
     for k in range(size, int(step.max())):
-        between = k < step
+        between = np.flatnonzero(k < step)
         link[between] = link[between] * common._STEP + hashes[places[between] + k]
-    link = common.mix(link + keys[places])
-    link[-1] = 0
-    return keys[places], places, step, link, many
+    link = np.where(step > 0, common.mix(link + key), np.uint64(0))
+    return key, places, step, link, many, again
+
+
+def joined(texts: list[bytes], most: int = 1 << 17):
+    """(first, after, raw, starts): texts in a row that take `most` bytes at most, as one with a line end after each but the last, and where each begins in
+    it; a longer text is alone. Many short texts take few steps so, and their words are as they are alone."""
+    first, held = 0, 0
+    for i, x in enumerate([*texts, None]):
+        if i > first and (x is None or held + len(x) > most):
+            yield first, i, b"\n".join(texts[first:i]), np.cumsum([0, *(len(y) + 1 for y in texts[first : i - 1])])
+            first, held = i, 0
+        held += 0 if x is None else len(x) + 1
 
 
-def units(raw: bytes, least_words: int, bands: int, rows: int):
-    """(seeds: keys, starts, steps, links, many), (paragraphs: bodies, starts, sizes, band keys) of a text; places in words."""
+def units(raw: bytes, least_words: int, bands: int, rows: int, starts=(0,)):
+    """(seeds: keys, starts, steps, links, many, again, text), (paragraphs: bodies, starts, sizes, band keys, text) of a text, or of those that `joined`
+    gives; text: its number; places in words of the text."""
     hashes, places, _ = common.word_hashes(raw)
+    bounds = np.append(np.searchsorted(places, starts), len(hashes))
     size = np.diff(np.searchsorted(places, np.concatenate(([0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), [len(raw)]))))
     shingles = common.shingle_hashes(hashes) if len(hashes) >= common.SHINGLE else np.zeros(0, np.uint64)
     long = np.flatnonzero(size >= max(least_words, common.SHINGLE))
     start = (np.cumsum(size) - size)[long]
-    bodies = [xxhash.xxh64_intdigest(hashes[i : i + n].tobytes(), 3) for i, n in zip(start.tolist(), size[long].tolist())]
-    signatures = line_signatures(shingles, start, start + size[long] - common.SHINGLE + 1, bands, rows)
-    return seeds(hashes, least_words), (np.array(bodies, np.uint64), start, size[long], signatures)
+    size = size[long]
+    words = memoryview(hashes.tobytes())
+    bodies = [xxhash.xxh64_intdigest(words[8 * i : 8 * j], 3) for i, j in zip(start.tolist(), (start + size).tolist())]
+    signatures = line_signatures(shingles, start, start + size - common.SHINGLE + 1, bands, rows)
+    keys, at, *rest = seeds(hashes, least_words, bounds)
+    of, line_of = (np.searchsorted(bounds, x, side="right") - 1 for x in (at, start))
+    return (keys, at - bounds[of], *rest, of), (np.array(bodies, np.uint64), start - bounds[line_of], size, signatures, line_of)
 
 
 def _units(documents: DataFrame, least_words: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch, texts in common.slices(batches, 1, 1_000_000):
             doc, key, start, size, again, many, step, link, sig, held = ([] for _ in range(10))
-            for d, raw in zip(batch.column(0).to_pylist(), texts):
-                (k, p, t, c, m), (b, s, n, g) = units(raw, least_words, bands, rows)
-                other = np.ones(len(k), bool)
-                other[np.unique(k, return_index=True)[1]] = False
-                doc.append(np.full(len(k) + len(b), d))
+            ids = np.array(batch.column(0).to_pylist())
+            for first, after, raw, starts in joined(texts):
+                (k, p, t, c, m, other, of), (b, s, n, g, line_of) = units(raw, least_words, bands, rows, starts)
+                doc.append(ids[first:after][np.concatenate([of, line_of])])
                 key.append(np.concatenate([k, b]))
                 start.append(np.concatenate([p, s]))
                 size.append(np.concatenate([np.zeros(len(p), np.int64), n]))
@@ -174,8 +203,7 @@ def _shingle_sets(documents: DataFrame, places: DataFrame) -> DataFrame:
                     found.append(np.unique(common.shingle_hashes(words[x["start"] : x["start"] + x["size"]])).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(body, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "v"])
 
-    sets = documents.join(places, documents["doc_id"] == places["doc"]).select("text", "lines").mapInArrow(cut, "id long, v array<long>")
-    return sets.dropDuplicates(["id"])
+    return documents.join(places, documents["doc_id"] == places["doc"]).select("text", "lines").mapInArrow(cut, "id long, v array<long>")
 
 
 def _near(documents: DataFrame, lines: DataFrame, least: float) -> DataFrame:
@@ -209,27 +237,42 @@ def _flanks(documents: DataFrame, places: DataFrame, most: int, size: int) -> Da
 
     def run(batches):
         for batch, texts in common.slices(batches, 1, 500_000):
-            doc, at, side, words, low, windows = ([] for _ in range(6))
-            for d, raw, places in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                full = common.word_hashes(raw)[0]
-                hashes = full.astype(np.uint32).view(np.int32)
-                whole = common.shingle_hashes(full, most).view(np.int64) if len(full) >= most and any(x["wanted"] for x in places) else hashes[:0].astype(np.int64)
-                for x in places:
-                    a = x["at"]
-                    doc.append(d)
-                    at.append(a)
-                    side.append(x["side"])
-                    words.append(hashes[a : a + most] if x["side"] == 1 else hashes[max(0, a - most) : a][::-1] if x["side"] == 0 else hashes[:0])
-                    first, last = ((a - spare, a), (a - most + 1, a - size + 1), (a - spare, a + 1))[x["side"]] if x["wanted"] else (0, 0)
-                    low.append(max(0, first))
-                    windows.append(whole[max(0, first) : max(0, last)])
+            lists = batch.column(2)
+            number, flat = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy())), lists.flatten()
+            ids = np.repeat(batch.column(0).to_numpy(), np.diff(number))
+            at, side = (flat.field(c).to_numpy().astype(np.int64) for c in (0, 1))
+            wanted = flat.field(2).to_numpy(zero_copy_only=False).astype(bool)
+            words, windows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            n_words, n_windows, low = (np.zeros(len(at), np.int32) for _ in range(3))
+            for first, after, raw, starts in joined(texts):
+                full, places, _ = common.word_hashes(raw)
+                bounds = np.append(np.searchsorted(places, starts), len(full))
+                here = slice(number[first], number[after])
+                of = np.repeat(np.arange(after - first), np.diff(number[first : after + 1]))
+                a, s, w, begin, end = at[here] + bounds[of], side[here], wanted[here], bounds[of], bounds[of + 1]
+                top = np.minimum(np.where(s == 1, a + most, a), end)
+                n = np.where(s == 2, 0, np.maximum(top - np.maximum(np.where(s == 1, a, a - most), begin), 0))
+                step = np.where(s == 1, 1, -1)
+                words.append(full[np.repeat(np.where(s == 1, a, top - 1), n) + np.repeat(step, n) * _within(n)].astype(np.uint32).view(np.int32))
+                n_words[here] = n
+                if w.any() and len(full) >= most:
+                    lo = np.maximum(np.choose(s, (a - spare, a - most + 1, a - spare)), begin)
+                    m = np.where(w, np.maximum(np.minimum(np.choose(s, (a, a - size + 1, a + 1)), end - most + 1) - lo, 0), 0)
+                    windows.append(common.shingle_hashes(full, most)[np.repeat(lo, m) + _within(m)].view(np.int64))
+                    n_windows[here], low[here] = m, np.where(w, lo - begin, 0)
+            lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), np.concatenate(x)) for n, x in ((n_words, words), (n_windows, windows))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(words, pa.list_(pa.int32())), pa.array(low, pa.int32()), pa.array(windows, pa.list_(pa.int64()))],
+                [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), lists[0], pa.array(low), lists[1]],
                 ["doc", "at", "side", "words", "low", "windows"],
             )
 
     both = documents.join(places, documents["doc_id"] == places["doc"]).select("doc", "text", "places")
-    return both.mapInArrow(run, "doc long, at int, side int, words array<int>, low int, windows array<long>").dropDuplicates(["doc", "at", "side"])
+    return both.mapInArrow(run, "doc long, at int, side int, words array<int>, low int, windows array<long>")
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """0, 1, .. up to each of n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _whole(windows: DataFrame, least_words: int) -> DataFrame:
@@ -322,6 +365,8 @@ def repeated_passages(documents: DataFrame, least: float = common.SIMILAR, recal
     bands, rows = tune(least, recall)
     documents = common.pick(documents, "doc_id", "text").where("doc_id is not null")
     table = common.keep(_units(documents, least_words, bands, rows), "units")
+    if documents.groupBy("doc_id").count().where("count > 1").limit(1).count():  # texts are read again once for each place
+        documents = documents.groupBy("doc_id").agg(F.min("text").alias("text"))
     exact = common.keep(_exact(documents, table.where("size = 0"), least_words).withColumn("kind", F.lit("exact")), "exact")
     near = common.keep(_near(documents, table.where("size > 0"), least).withColumn("kind", F.lit("near")).distinct(), "near")
     common.drop(table)

@@ -391,6 +391,62 @@ def test_every_passage_has_a_common_seed():
             assert keys[0] & keys[1]
 
 
+def test_short_texts_are_read_together(monkeypatch):
+    """Their seeds and paragraphs are those that each has alone, in a few steps for all of them."""
+    rng = random.Random(47)
+    texts = ["", "\n", "again " * 90, "x " * 26, "y" * 70_000 + " " + prose(rng, 40), *("\n".join(prose(rng, rng.choice([0, 5, 26, 60])) for _ in range(rng.randint(1, 4))) for _ in range(300))]
+    texts = [x.encode() for x in texts + texts[5:50]]
+    rng.shuffle(texts)
+    calls = []
+    hashes = common.word_hashes
+    monkeypatch.setattr(common, "word_hashes", lambda *x: calls.append(1) or hashes(*x))
+    found = [[[] for _ in texts] for _ in range(2)]
+    for first, after, raw, starts in substring_dedup.joined(texts):
+        assert after == first + 1 or len(raw) <= 1 << 17
+        for rows, x in zip(found, substring_dedup.units(raw, 26, 3, 2, starts)):
+            for *row, of in zip(*(y.tolist() for y in x)):
+                rows[first + of].append(row)
+    assert len(calls) <= 2 + 2 * sum(map(len, texts)) // (1 << 17)
+    for i, x in enumerate(texts):
+        for rows, alone in zip(found, substring_dedup.units(x, 26, 3, 2)):
+            assert rows[i] == [list(row) for row in zip(*(y.tolist() for y in alone[:-1]))]
+    for i, x in enumerate(texts):
+        keys = common.shingle_hashes(hashes(x)[0], substring_dedup.SEED)
+        held = [r[1] for r in found[0][i]]
+        assert [r[0] for r in found[0][i]] == keys[held].tolist() if held else len(x.split()) < 26
+        assert [r[5] for r in found[0][i]] == [k in keys[held[:j]] for j, k in enumerate(keys[held])]
+        assert all(any(p in held for p in range(j, j + 19)) for j in range(len(x.split()) - 25))
+        lines = [x.split() for x in x.split(b"\n")]
+        assert [(r[1], r[2]) for r in found[1][i]] == [(sum(map(len, lines[:j])), len(y)) for j, y in enumerate(lines) if len(y) >= 26]
+
+
+def test_words_and_windows_at_places(spark):
+    """Of texts that are read together: what stands before and from each place, and the windows around it, are its own text's."""
+    rng = random.Random(53)
+    texts = [prose(rng, n) for n in (40, 26, 9, 60, 33)]
+    wanted = [(d, at, side, side == 2 or at % 2 == 0) for d, x in enumerate(texts) for at in range(0, len(x.split()) + 1, 3) for side in range(3)]
+    places = spark.createDataFrame(wanted, "doc long, at int, side int, wanted boolean")
+    rows = substring_dedup._flanks(common.pick(frame(spark, texts), "doc_id", "text"), places, 26, 8).collect()
+    assert sorted((r.doc, r.at, r.side) for r in rows) == [x[:3] for x in wanted]
+    want = {x[:3]: x[3] for x in wanted}
+    for r in rows:
+        words = common.word_hashes(texts[r.doc].encode())[0]
+        low = words.astype(np.uint32).view(np.int32).tolist()
+        assert r.words == (low[max(0, r.at - 26) : r.at][::-1], low[r.at : r.at + 26], [])[r.side]
+        inside = {0: (r.at - 18, r.at), 1: (r.at - 25, r.at - 7), 2: (r.at - 18, r.at + 1)}[r.side] if want[r.doc, r.at, r.side] else (0, 0)
+        starts = [i for i in range(*inside) if 0 <= i <= len(words) - 26]
+        assert r.windows == [int(common.shingle_hashes(words[i : i + 26], 26).view(np.int64)[0]) for i in starts] and (not starts or r.low == starts[0])
+
+
+def test_repeated_rows_are_one_document(spark):
+    rng = random.Random(59)
+    line = prose(rng, 40)
+    docs = [prose(rng, 30) + "\n" + line, prose(rng, 30), prose(rng, 20) + " " + line + "\n" + prose(rng, 30), line.replace(line.split()[20], "other")]
+    once = common.pick(frame(spark, docs), "doc_id", "text")
+    found = lambda x: sorted(tuple(r) for r in substring_dedup.repeated_passages(x).collect())
+    assert found(once.unionByName(once).unionByName(once)) == found(once) != []
+
+
 def test_bands_reach_recall():
     bands, rows = substring_dedup.tune()
     assert 1 - (1 - 0.8**rows) ** bands >= substring_dedup.RECALL
