@@ -180,13 +180,21 @@ def _units(documents: DataFrame, least_words: int, bands: int, rows: int) -> Dat
     return documents.mapInArrow(run, "doc long, key long, start int, size int, again boolean, many boolean, step int, link long, bands array<long>")
 
 
+def _kept(df: DataFrame, what: str) -> DataFrame:
+    """As `common.keep`; files of the shuffles behind it, which take more room than the table, go at once: Spark deletes them when the driver collects its garbage."""
+    table = common.keep(df, what)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
 # ------------------------------------------------------------------ near copies of paragraphs
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """pairs a, b of paragraphs whose sets of shingles (id, v) are similar enough."""
     both = pairs.join(sets.toDF("a", "va"), "a").join(sets.toDF("b", "vb"), "b")
-    return both.where(F.expr(f"size(array_intersect(va, vb)) >= {least}D * size(array_union(va, vb)) - 1e-9")).select("a", "b")
+    # that many of all distinct ones: va and vb repeat none
+    return both.where(F.expr(f"(1 + {least}D) * size(array_intersect(va, vb)) >= {least}D * (size(va) + size(vb)) - 1e-9")).select("a", "b")
 
 
 def _shingle_sets(documents: DataFrame, places: DataFrame) -> DataFrame:
@@ -212,7 +220,7 @@ def _near(documents: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     ids = common.keep(buckets.select(F.col("id").alias("body")).distinct(), "members")
     one = lines.groupBy(F.col("key").alias("body")).agg(F.min("doc").alias("doc"), F.expr("min_by(start, doc)").alias("start"), F.first("size").alias("size"))
     one = one.join(ids.hint("merge"), "body", "left_semi")  # counted first, so a frequent line is one row
-    sets = common.keep(_shingle_sets(documents, one), "lines")
+    sets = _kept(_shingle_sets(documents, one), "lines")
     links = common.links_in_buckets(buckets, lambda pairs: _verify(pairs, sets, least), lambda some: sets.join(some, "id", "left_semi"), least)
     label = common.components(links)
     common.drop(buckets, ids, sets)
@@ -295,7 +303,7 @@ def _exact(documents: DataFrame, table: DataFrame, least_words: int) -> DataFram
     first_of = lambda c: F.expr(f"min_by({c}, CASE WHEN NOT again THEN doc END)").alias(f"first_{c}")
     shared = table.groupBy("key").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), *map(first_of, ("start", "link")), F.min(F.when(F.col("many"), F.col("doc"))).alias("many_doc"), F.count("*").alias("n"))
     shared = shared.where("first_doc <> last_doc").select("key", "first_doc", "first_start", "first_link", F.expr("many_doc <=> first_doc").alias("many_first"), (F.col("n") > 2).alias("several"), "n")
-    shared = common.keep(shared, "shared")
+    shared = _kept(shared, "shared")
     met = common.join_hot(table.select("key", "doc", "start", "step", "link"), shared, ["key"])
     # a seed that its first document has in several places: one of them is met below, so all windows around it are compared
     whole = met.where("many_first").select("doc", F.col("start").alias("at"), F.lit(2).alias("side"), F.lit(True).alias("wanted"))
@@ -305,12 +313,12 @@ def _exact(documents: DataFrame, table: DataFrame, least_words: int) -> DataFram
     copies = copies.withColumn("far", F.col("start") - F.lag("start").over(by_place)).withColumn("new", F.when((F.col("far") <= size) | (F.col("far") == F.lag("step").over(by_place)), 0).otherwise(1))
     copies = copies.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     chains = copies.groupBy("doc", "first_doc", "diagonal", "run").agg(F.min("start").alias("lo"), F.expr(f"max(start) + {size}").alias("hi"), F.max("several").alias("several")).drop("run")
-    chains = common.keep(chains, "chains")
+    chains = _kept(chains, "chains")
     # two ends of each chain, here and in the first document
     ends = chains.select("doc", "first_doc", "diagonal", "lo", "hi", "several", F.explode(F.expr("array(0, 1)")).alias("side"))
     ends = ends.withColumn("at", F.expr("CASE WHEN side = 0 THEN lo ELSE hi END")).withColumn("first_at", F.expr("at - diagonal"))
     places = ends.select("doc", "at", "side", F.col("several").alias("wanted")).unionByName(ends.select(F.col("first_doc").alias("doc"), F.col("first_at").alias("at"), "side", F.lit(False).alias("wanted")))
-    flanks = common.keep(_flanks(documents, places.unionByName(whole), least_words, size), "flanks")
+    flanks = _kept(_flanks(documents, places.unionByName(whole), least_words, size), "flanks")
     common.drop(shared)
     ends = common.keep(ends.join(flanks.where("side < 2"), ["doc", "at", "side"]), "ends")
     first = ends.groupBy("first_doc", "first_at", "side").agg(F.count("*").alias("n"))
@@ -318,7 +326,7 @@ def _exact(documents: DataFrame, table: DataFrame, least_words: int) -> DataFram
     same = "array_position(zip_with(words, others, (x, y) -> x <=> y), false)"
     further = common.join_hot(ends, first, ["first_doc", "first_at", "side"]).withColumn("p", F.expr(same))
     further = further.withColumn("more", F.expr("cast(CASE WHEN p = 0 THEN size(words) ELSE p - 1 END AS int)"))
-    further = common.keep(further.select("doc", "first_doc", "diagonal", "lo", "hi", "side", "more", "several", "low", "windows"), "further")
+    further = _kept(further.select("doc", "first_doc", "diagonal", "lo", "hi", "side", "more", "several", "low", "windows"), "further")
     found = further.groupBy("doc", "first_doc", "diagonal", "lo", "hi").agg(F.expr("max(CASE WHEN side = 0 THEN more END)").alias("before"), F.expr("max(CASE WHEN side = 1 THEN more END)").alias("after"))
     found = found.select("doc", "first_doc", "diagonal", F.expr("lo - before").alias("lo"), F.expr("hi + after").alias("hi")).where(f"hi - lo >= {least_words}")
     # what goes beyond the words that a first document shares may be in other documents too: those windows meet by all their words
@@ -326,7 +334,7 @@ def _exact(documents: DataFrame, table: DataFrame, least_words: int) -> DataFram
     beyond = beyond.where(f"CASE WHEN side = 0 THEN start < lo - more ELSE start + {least_words} > hi + more END").select("doc", "start", "key")
     around = flanks.where("side = 2").select("doc", F.posexplode("windows").alias("i", "key"), "low").select("doc", F.expr("low + i").alias("start"), "key")
     found = found.unionByName(_whole(beyond.unionByName(around), least_words))
-    found = common.keep(found.distinct().withColumn("first_lo", F.expr("lo - diagonal")), "copies")
+    found = _kept(found.distinct().withColumn("first_lo", F.expr("lo - diagonal")), "copies")
     common.drop(chains, flanks, ends, first, further)
     # stretches of a first document that share as many words as a seed are one passage
     origin = found.groupBy("first_doc", "first_lo").agg(F.expr("max(hi - diagonal)").alias("first_hi"), F.count("*").alias("n"))
@@ -367,7 +375,7 @@ def repeated_passages(documents: DataFrame, least: float = common.SIMILAR, recal
     table = common.keep(_units(documents, least_words, bands, rows), "units")
     if documents.groupBy("doc_id").count().where("count > 1").limit(1).count():  # texts are read again once for each place
         documents = documents.groupBy("doc_id").agg(F.min("text").alias("text"))
-    exact = common.keep(_exact(documents, table.where("size = 0"), least_words).withColumn("kind", F.lit("exact")), "exact")
+    exact = _kept(_exact(documents, table.where("size = 0"), least_words).withColumn("kind", F.lit("exact")), "exact")
     near = common.keep(_near(documents, table.where("size > 0"), least).withColumn("kind", F.lit("near")).distinct(), "near")
     common.drop(table)
     out = exact.unionByName(near)
