@@ -22,6 +22,7 @@ weights averaged by their events. Texts are cut to pieces at blanks, contexts ca
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from itertools import chain
 
@@ -84,8 +85,8 @@ class Tree:
     def __init__(self, counts: np.ndarray, least: float = 0.0):
         n = len(counts)
         order = np.argsort(counts, kind="stable")
-        weight = np.concatenate([np.asarray(counts, np.int64)[order] + 1, np.zeros(max(0, n - 1), np.int64)]).tolist()
-        parent, side = [0] * (2 * n - 1), [0] * (2 * n - 1)
+        weight = array("q", (np.asarray(counts, np.int64)[order] + 1).tobytes() + bytes(8 * (n - 1)))
+        parent, side = array("i", bytes(4 * (2 * n - 1))), bytearray(2 * n - 1)
         leaf, inner = 0, n
         for new in range(n, 2 * n - 1):  # two queues: leaves and inner nodes, both by weight
             for bit in (0, 1):
@@ -95,28 +96,34 @@ class Tree:
                     child, inner = inner, inner + 1
                 weight[new] += weight[child]
                 parent[child], side[child] = new, bit
-        parent, side = np.array(parent), np.array(side, np.int8)
-        root, at, steps, bits = 2 * n - 2, np.arange(n), [], []
-        while (open_ := at != root).any():
-            steps.append(np.where(open_, root - parent[at], -1))
-            bits.append(side[at])
-            at = np.where(open_, parent[at], root)
-        up, bit = (np.array(x[::-1]).T.reshape(n, len(x)) for x in (steps, bits))
-        depth = (up >= 0).sum(1)
-        weight = np.array(weight, np.float64)
-        of = weight[root - np.maximum(up, 0)]
-        light = (up >= 0) & (of < least * weight[root])  # from some step of the path on, as weights fall
-        self.size, place = depth - light.sum(1), np.empty(n, np.int64)
-        top = np.where(light.any(1), of[np.arange(n), np.argmax(light, 1)], weight[:n]) if len(steps) else weight[:n]
+        weight, parent, side = np.frombuffer(weight, np.int64), np.frombuffer(parent, np.int32), np.frombuffer(side, np.int8)
+        root, place = 2 * n - 2, np.empty(n, np.int64)
         place[order] = np.arange(n)
-        self.rest, depth, self.size = np.log10(weight[:n] / top)[place], depth[place], self.size[place]
+
+        def climb():
+            """(leaves below the root, where they are, the nodes above), step by step: no table of all leaves by their depths."""
+            own, at = np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32)
+            while (open_ := at != root).any():
+                own, at = own[open_], at[open_]
+                yield own, at, parent[at]
+                at = parent[at]
+
+        light = weight < least * weight[root]  # weights rise on the way, so nodes of a path are light up to some step
+        size, top = np.zeros(n, np.int64), weight[:n].copy()
+        for own, _, up in climb():
+            size[own] += ~light[up]
+            top[own[light[up]]] = weight[up[light[up]]]
+        self.rest, self.size = np.log10(weight[:n] / top)[place], size[place]
         self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
-        row = np.repeat(place, self.size)
-        column = np.arange(len(row)) - np.repeat(self.start, self.size) + np.repeat(len(steps) - depth, self.size)
-        node, depth = up[row, column], np.arange(len(row)) - np.repeat(self.start, self.size)
-        self.nodes = int(node.max(initial=0)) + 1
-        # the bits' nodes, bits and gates by depth in one number, since looking up is what costs
-        self.packed = (node | bit[row, column].astype(np.int64) << 24 | ((depth >= 3) * 9 + (depth >= 8) * 9).astype(np.int64) << 25).astype(np.int32)
+        self.packed = np.zeros(int(size.sum()), np.int32)
+        left, start = size, self.start[order]
+        for own, at, up in climb():
+            own, at, up = (x[~light[up]] for x in (own, at, up))
+            left[own] -= 1
+            depth = left[own]
+            # the bits' nodes, bits and gates by depth in one number, since looking up is what costs
+            self.packed[start[own] + depth] = (root - up) | side[at].astype(np.int32) << 24 | ((depth >= 3) * np.int32(9) + (depth >= 8) * np.int32(9)) << 25
+        self.nodes = int((self.packed & 0xFFFFFF).max(initial=0)) + 1
 
 
 class Learner:
@@ -280,7 +287,7 @@ class Words:
     def _fill(self, words: list[tuple[int, bytes]]) -> None:
         """An open-addressed table of words' hashes, at most a quarter full; 0 is free."""
         number = np.array([i for i, _ in words], np.int32)
-        hashes = np.concatenate([*(common.word_hashes(w)[0] for _, w in words), np.zeros(0, np.uint64)])
+        hashes = common.word_hashes(b" ".join(w for _, w in words))[0]
         self.shift = np.uint64(64 - max(4, (4 * len(words)).bit_length()))
         self.keys = np.zeros(1 << (64 - int(self.shift)), np.uint64)
         self.number = np.full(len(self.keys), self.escape, np.int32)

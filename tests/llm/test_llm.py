@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import heapq
 import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -561,6 +563,30 @@ def test_lm_mixes_every_bit(spark, monkeypatch):
     assert len(words.rest) > 3000 and not words.rest.any() and np.log2(3000) - 1 < words.size[:3000].mean()
 
 
+def test_lm_tree_is_small_and_right():
+    """A code of many words takes memory by its bits, not a table of all words by all depths (a driver once went beyond its limit by that)."""
+    counts = np.sort((2e7 / np.arange(1, 30_001) ** 1.05).astype(np.int64) + 2)[::-1]
+    tracemalloc.start()
+    tree = lm_scoring.Tree(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * len(counts) and tree.size.max() < 32
+    heap, total = [int(x) + 1 for x in counts], 0  # any code of least length, counted as the tree counts (one more each)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        both = heapq.heappop(heap) + heapq.heappop(heap)
+        total += both
+        heapq.heappush(heap, both)
+    assert ((counts + 1) * tree.size).sum() == total
+    paths = [tuple(tree.packed[a : a + n].tolist()) for a, n in zip(tree.start[:2000], tree.size[:2000])]
+    node, bit = ([[(x >> k) & m for x in p] for p in paths] for k, m in ((0, 0xFFFFFF), (24, 1)))
+    assert len({tuple(b) for b in bit}) == len(paths) and all(n[0] == 0 for n in node)  # all begin at the root
+    after = {}  # a node and a bit lead to one node or leaf only
+    for i, (n, b) in enumerate(zip(node, bit)):
+        for x, side, to in zip(n, b, [*n[1:], -1 - i]):
+            assert after.setdefault((x, side), to) == to
+
+
 def test_lm_contexts_cross_words():
     rng = random.Random(5)
     names = [f"w{i}" for i in range(40)]
