@@ -108,7 +108,7 @@ class Memo(dict):
 
 
 _WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
-_SEGMENT = 1 << 18  # bytes hashed in one go; a longer word is hashed by the library
+_SEGMENT = 1 << 18  # bytes hashed in one go; a word of as many is hashed by the library, wherever it stands
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b".,;:!?\"'()[]{}<>*#$%&|-_")] = True
@@ -129,7 +129,7 @@ def word_hashes(raw: bytes, stripped: bool = False) -> tuple[np.ndarray, np.ndar
     hashes, places, ends, at = [], [], [], 0
     while at < len(raw):
         to = len(raw)
-        if to - at > _SEGMENT:
+        if to - at >= _SEGMENT:
             window = np.flatnonzero(_WHITE[np.frombuffer(raw, np.uint8, _SEGMENT, at)])
             if not len(window):  # one long word
                 to = at + _SEGMENT

@@ -614,6 +614,15 @@ def test_lm_symbols_rebuild_the_text():
         assert ids.tolist() == [*(names.index(s) if s in names else len(names) for s in said), 4] and rare == [s for s in said if s not in names]
 
 
+@pytest.mark.parametrize("more", [-1, 0, 1])
+def test_lm_finds_long_words_anywhere(more):
+    """A word of about as many bytes as are hashed in one go is the same word alone, first, last, inside a text and in the vocabulary."""
+    long = b"z" * (common._SEGMENT + more)
+    words = lm_scoring.Words([(w, 2) for w in [long, b"a", *sorted(lm_scoring.SPECIAL)]], 1)
+    for text, ids in ((long, [0]), (long + b" a", [0, 1]), (b"a " + long, [1, 0]), (b"a " + long + b" a", [1, 0, 1])):
+        assert words.ids(text)[0].tolist() == [*ids, words.end] and not words.ids(text)[1]
+
+
 def test_lm_pieces_of_long_texts(monkeypatch):
     rng = random.Random(6)
     texts = [prose(rng, 300).replace(" th", " \n th").encode(), b"", b"x" * 500 + b" y", b"  a  b  ", "é ü".encode() * 90]
