@@ -39,7 +39,7 @@ SLOTS = 1 << 19  # of each hashed context, at most
 GROUP = 64_000_000  # bytes of training text that are learnt from in one go
 COMMON = 64  # words that tell languages apart
 SMOOTH, RATE, MAP = 0.4, 0.15, 33
-PIECE, STEP, BLOCK = 12_000, 2_000, 1 << 13  # bytes of a piece, symbols of a step, slots of a block
+PIECE, STEP, BLOCK = 12_000, 2_000, 1 << 13  # bytes of a piece, symbols of a step of learning (of scoring: four times as many, which changes no score), slots of a block
 SALT = 64  # places where weights are added up
 KNOWN = 200_000  # words counted in a task before they are sent on
 END = b" "  # no symbol holds a blank
@@ -402,7 +402,7 @@ def spelling(words: list[bytes], most: int = 4 * STEP):
 def spelled(learner: Learner, words: list[bytes]) -> np.ndarray:
     """log10 probability of each word's bytes and its end."""
     out = np.zeros(len(words))
-    for number, own, ids, contexts in spelling(words):
+    for number, own, ids, contexts in spelling(words, 16 * STEP):
         np.add.at(out, number, np.bincount(own, learner.score(ids, contexts), len(number)))
     return out
 
@@ -577,7 +577,7 @@ def lm_scores(documents: DataFrame, vocabulary: int = VOCABULARY, slots: int = S
         chosen, learner, base, is_word = model.value
         for part, texts in common.slices(batches, 4):
             score, hot, known = (np.zeros(len(texts)) for _ in range(3))
-            for number, ids, first, contexts in chosen.steps([np.frombuffer(t, np.int32) for t in texts]):
+            for number, ids, first, contexts in chosen.steps([np.frombuffer(t, np.int32) for t in texts], 4 * STEP):
                 for total, each in ((score, learner.score(ids, contexts)), (hot, base.take(ids)), (known, is_word.take(ids))):
                     np.add.at(total, number, np.add.reduceat(each, first))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 2, 3, 5)), pa.array(known.astype(np.int64)), pa.array(hot + end), pa.array(score)], ["row", "doc_id", "held_out", "size", "n_rare", "n_hot", "hot_base", "lp"])
